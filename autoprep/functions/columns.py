@@ -28,8 +28,6 @@ DATE_FORMATS = (
     (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d'T'H:mm:ss"),
 )
 
-NUMERIC_TYPES = (T.NumericType,)
-
 
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
@@ -104,3 +102,9 @@ def distinct_token(c: Column, dtype: T.DataType) -> Column:
     if is_text(dtype):
         return F.when(F.octet_length(c) <= 64, c).otherwise(F.concat(F.lit("\u0001"), F.sha2(c, 256)))
     return c
+
+
+def sketch_distinct(c: Column) -> Column:
+    """Distinct count from a mergeable sketch, within about 1 %."""
+    sketch = F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(14))
+    return F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).cast("bigint")

@@ -6,10 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SMALL_DICTIONARY_ROWS
-from .columns import col_of
+from .columns import col_of, is_text
 
 HOT_KEYS = 1_000
 SALTS = 997
+LONG_KEY_BYTES = 256
+
+
+def small_copy(table: DataFrame, keys: list[str], limit: int = SMALL_DICTIONARY_ROWS) -> DataFrame | None:
+    """The table as a local relation when it has at most ``limit`` rows with short keys, else None.
+
+    At most ``limit + 1`` rows reach the driver and long text keys are blanked before they do,
+    so the copy is bounded before anything is moved.
+    """
+    long_key = F.lit(False)
+    safe = []
+    for c in table.columns:
+        if c in keys and is_text(table.schema[c].dataType):
+            too_long = F.coalesce(F.octet_length(col_of(c)) > LONG_KEY_BYTES, F.lit(False))
+            long_key = long_key | too_long
+            safe.append(F.when(~too_long, col_of(c)).alias(c))
+        else:
+            safe.append(col_of(c))
+    rows = table.select(*safe, long_key.alias("__long")).limit(limit + 1).collect()
+    if len(rows) > limit or any(r["__long"] for r in rows):
+        return None
+    return table.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], table.schema)
 
 
 def lookup(
@@ -18,46 +40,43 @@ def lookup(
     table: DataFrame,
     values: list[str],
     weight: str | None = None,
-    rows: int | None = None,
     small_rows: int = SMALL_DICTIONARY_ROWS,
 ) -> DataFrame:
     """Append ``values`` of ``table`` (one row per key) to every row of ``df``, null when absent.
 
-    A table with at most ``small_rows`` rows is broadcast; the size is counted, never assumed.
+    A table with at most ``small_rows`` rows is broadcast; the size is checked, never assumed.
     A larger one shuffles. Then the ``HOT_KEYS`` keys with the highest ``weight`` (rows per key)
     are answered by a bounded broadcast instead, and their rows, like rows with a null key, are
     spread over the shuffle by a salt the dictionary does not hold.
     """
-    slim = table.select(*[col_of(k) for k in keys], *[col_of(v) for v in values],
-                        *([col_of(weight)] if weight else []))
-    if rows is None:
-        rows = slim.limit(small_rows + 1).count()
-    if rows <= small_rows:
-        return df.join(F.broadcast(slim.drop(*([weight] if weight else []))), keys, "left").select(
+    small = small_copy(table.select(*[col_of(c) for c in [*keys, *values]]), keys, small_rows)
+    if small is not None:
+        return df.join(F.broadcast(small), keys, "left").select(
             *[col_of(c) for c in df.columns], *[col_of(v) for v in values]
         )
 
     renamed = {k: f"__key_{i}" for i, k in enumerate(keys)}
-    cold = slim.select(*[col_of(k).alias(renamed[k]) for k in keys],
-                       F.struct(*[col_of(v) for v in values]).alias("__cold"),
-                       F.lit(0).alias("__slot"))
+    cold = table.select(
+        *[col_of(k).alias(renamed[k]) for k in keys],
+        F.struct(*[col_of(v) for v in values]).alias("__cold"),
+        F.lit(0).alias("__slot"),
+    )
     absent = F.lit(False)
     for k in keys:
         absent = absent | col_of(k).isNull()
-    spread = F.pmod(F.xxhash64(*[col_of(c) for c in df.columns]), F.lit(SALTS)).cast("int") + 1
     if weight:
-        hot = slim.orderBy(col_of(weight).desc(), *[col_of(k) for k in keys]).limit(HOT_KEYS)
-        hot = hot.select(*[col_of(k) for k in keys],
-                         F.struct(*[col_of(v) for v in values]).alias("__hot"))
+        hot = table.orderBy(col_of(weight).desc(), *[col_of(k) for k in keys]).limit(HOT_KEYS)
+        hot = hot.select(*[col_of(k) for k in keys], F.struct(*[col_of(v) for v in values]).alias("__hot"))
         left = df.join(F.broadcast(hot), keys, "left")
         absent = absent | F.col("__hot").isNotNull()
     else:
         left = df.withColumn("__hot", F.lit(None).cast(cold.schema["__cold"].dataType))
+    spread = F.pmod(F.xxhash64(*[col_of(c) for c in df.columns]), F.lit(SALTS)).cast("int") + 1
     left = left.withColumn("__salt", F.when(absent, spread).otherwise(F.lit(0)))
     on = F.col("__salt") == F.col("__slot")
     for k in keys:
         on = on & (col_of(k) == F.col(renamed[k]))
-    joined = left.join(cold, on, "left")
     found = F.coalesce(F.col("__hot"), F.col("__cold"))
-    return joined.select(*[col_of(c) for c in df.columns],
-                         *[found.getField(v).alias(v) for v in values])
+    return left.join(cold, on, "left").select(
+        *[col_of(c) for c in df.columns], *[found.getField(v).alias(v) for v in values]
+    )
