@@ -12,7 +12,6 @@ from ..config import CATEGORY_VARIANTS, DATE_PART_SUFFIXES, NULL_TOKENS
 from ..functions.columns import (
     col_of,
     currency_value,
-    distinct_token,
     finite_or_null,
     fold_category,
     is_datetime,
@@ -24,7 +23,7 @@ from ..functions.columns import (
     safe_double,
 )
 from ..functions.quantiles import exact_quantiles
-from .detect import ColumnFacts, detect
+from .detect import ColumnFacts, detect, distinct_counts, negatives_after
 
 
 def _replace(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
@@ -104,21 +103,14 @@ def expand_dates(df: DataFrame, cols=None) -> DataFrame:
 
 
 def normalize_categories(df: DataFrame, cols=None, variants: dict[str, str] = CATEGORY_VARIANTS) -> DataFrame:
-    facts = detect(df, _text_cols(df, cols))
-    return _replace(df, {c: fold_category(col_of(c), variants) for c, f in facts.items() if f.distinct < 0.5 * f.n})
+    counts = distinct_counts(df, _text_cols(df, cols), limits=(0.5,))
+    return _replace(df, {c: fold_category(col_of(c), variants) for c, (d, n) in counts.items() if d < 0.5 * n})
 
 
 def detect_ids(df: DataFrame, cols=None, threshold: float = 0.9) -> list[str]:
     """Text columns in which more than ``threshold`` of the rows hold different values."""
-    facts = detect(df, _text_cols(df, cols))
-    near = [c for c, f in facts.items() if f.n and abs(f.distinct / f.n - threshold) <= 0.1 * threshold]
-    if near and threshold not in (0.5, 0.9):
-        exact = df.agg(*[
-            F.count_distinct(distinct_token(null_token_to_null(col_of(c)), df.schema[c].dataType)).alias(c) for c in near
-        ]).first()
-        for c in near:
-            facts[c].distinct = exact[c]
-    return [c for c, f in facts.items() if f.distinct > threshold * f.n]
+    counts = distinct_counts(df, _text_cols(df, cols), limits=(threshold,))
+    return [c for c, (d, n) in counts.items() if d > threshold * n]
 
 
 def drop_ids(df: DataFrame, cols=None, threshold: float = 0.9) -> DataFrame:
@@ -246,16 +238,15 @@ LOG_NAMES = {
 def fit_quick_clean(df: DataFrame, target: str | None = None) -> CleaningPlan:
     """Light pass before profiling: infinities, ``$`` money, ``%`` text, rare negatives."""
     plan = CleaningPlan()
-    for c, f in detect(df, target=target, with_distinct=False).items():
-        negatives = None
-        if f.kind == "text" and f.raw_dollar:
-            plan.rules[c], negatives = "currency", f.neg_currency
-        elif f.kind == "text" and f.raw_percent:
-            plan.rules[c], negatives = "percent", f.neg_percent
-        elif f.kind == "numeric":
-            plan.rules[c], negatives = "numeric", f.negative
-        if negatives is not None and f.rare_negatives(negatives):
-            plan.masked.append(c)
+    facts = detect(df, target=target, with_distinct=False)
+    parsers = {"currency": currency_value, "percent": percent_value}
+    parsed = {c: parsers[f.quick_rule](col_of(c)) for c, f in facts.items() if f.quick_rule in parsers}
+    negatives = negatives_after(df, parsed)
+    for c, f in facts.items():
+        if c in parsed or f.kind == "numeric":
+            plan.rules[c] = f.quick_rule
+            if f.rare_negatives(negatives.get(c, f.negative)):
+                plan.masked.append(c)
         _log(plan, c, f)
     return plan
 
