@@ -1,26 +1,30 @@
-"""Reliable checkpoints in the shared folder the cluster names."""
+"""Written intermediate tables in the shared folder the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint, so a lost executor costs no recomputation of earlier rounds."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; an own folder only on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="autoprep-checkpoint-")
-    sc.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="autoprep-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the table once and read it back.
+
+    Lost executors then cost no recomputation of earlier rounds, and unlike an RDD checkpoint the
+    plan runs once and later stages see the true table size.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/autoprep-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
