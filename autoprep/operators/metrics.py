@@ -19,6 +19,10 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
+def _side(cls: Column, support: Column, predicted: Column, hit: Column) -> Column:
+    return F.struct(cls.alias("cls"), support.alias("support"), predicted.alias("predicted"), hit.alias("hit"))
+
+
 def classification_metrics(df: DataFrame, label: str, pred: str, digits: int | None = 4) -> DataFrame:
     """Accuracy and support-weighted f1, precision, recall; an empty denominator counts as 0."""
     confusion = df.groupBy(col_of(label).cast("double").alias("y"), col_of(pred).cast("double").alias("p")).agg(
@@ -27,9 +31,8 @@ def classification_metrics(df: DataFrame, label: str, pred: str, digits: int | N
     zero = F.lit(0).cast("bigint")
     per_class = (
         confusion.select(F.inline(F.array(
-            F.struct(F.col("y").alias("cls"), F.col("n").alias("support"), zero.alias("predicted"),
-                     F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero).alias("hit")),
-            F.struct(F.col("p"), zero, F.col("n"), zero),
+            _side(F.col("y"), F.col("n"), zero, F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero)),
+            _side(F.col("p"), zero, F.col("n"), zero),
         )))
         .groupBy("cls").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hit").alias("hit"))
     )

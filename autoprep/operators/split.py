@@ -24,8 +24,8 @@ def hash_split(df: DataFrame, key, test_size: float = 0.2, seed: int = 42) -> Da
 def _class_cutoffs(df: DataFrame, key, label: str, probs: list[float], seed: int) -> DataFrame:
     return (
         df.where(col_of(label).isNotNull())
-        .select(col_of(label).alias("__label"), key_hash(_keys(key), seed, BUCKETS).alias("__h"))
-        .groupBy("__label")
+        .select(col_of(label).alias("__stratum"), key_hash(_keys(key), seed, BUCKETS).alias("__h"))
+        .groupBy("__stratum")
         .agg(F.count(F.lit(1)).alias("__n"),
              F.percentile("__h", F.array(*[F.lit(float(p)) for p in probs])).alias("__cuts"))
     )
@@ -33,7 +33,7 @@ def _class_cutoffs(df: DataFrame, key, label: str, probs: list[float], seed: int
 
 def _with_cutoffs(df: DataFrame, key, label: str, probs: list[float], seed: int) -> DataFrame:
     cuts = _class_cutoffs(df, key, label, probs, seed)
-    return lookup(df.withColumn("__label", col_of(label)), ["__label"], cuts, ["__cuts"], weight="__n")
+    return lookup(df.withColumn("__stratum", col_of(label)), ["__stratum"], cuts, ["__cuts"], weight="__n")
 
 
 def stratified_split(df: DataFrame, key, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
@@ -41,7 +41,7 @@ def stratified_split(df: DataFrame, key, label: str, test_size: float = 0.2, see
     h = key_hash(_keys(key), seed, BUCKETS)
     test = F.coalesce(h <= F.col("__cuts")[0], F.lit(False))
     out = _with_cutoffs(df, key, label, [test_size], seed)
-    return out.withColumn("split", F.when(test, "test").otherwise("train")).drop("__cuts", "__label")
+    return out.withColumn("split", F.when(test, "test").otherwise("train")).drop("__cuts", "__stratum")
 
 
 def assign_folds(df: DataFrame, key, label: str | None = None, k: int = 5, seed: int = 42) -> DataFrame:
@@ -51,4 +51,4 @@ def assign_folds(df: DataFrame, key, label: str | None = None, k: int = 5, seed:
     h = key_hash(_keys(key), seed, BUCKETS)
     passed = F.size(F.filter(F.col("__cuts"), lambda cut: h > cut))
     out = _with_cutoffs(df, key, label, [i / k for i in range(1, k)], seed)
-    return out.withColumn("fold", F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(passed).cast("int")).drop("__cuts", "__label")
+    return out.withColumn("fold", F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(passed).cast("int")).drop("__cuts", "__stratum")

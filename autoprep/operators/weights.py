@@ -11,7 +11,7 @@ from ..functions.lookup import lookup
 
 def weight_table(df: DataFrame, label: str) -> DataFrame:
     """``n / (k * n_c)`` per value: every value gets the same total, the mean over rows is 1."""
-    counts = df.where(col_of(label).isNotNull()).groupBy(col_of(label).alias("__label")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(col_of(label).isNotNull()).groupBy(col_of(label).alias("__weighed")).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
     return counts.withColumn("weight", totals.getField("n") / (totals.getField("k") * F.col("n")))
 
@@ -19,7 +19,7 @@ def weight_table(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str, new: str = "weight") -> DataFrame:
     """Append the balanced weight of the row's class."""
     table = weight_table(df, label).withColumnRenamed("weight", new)
-    return lookup(df.withColumn("__label", col_of(label)), ["__label"], table, [new], weight="n").drop("__label")
+    return lookup(df.withColumn("__weighed", col_of(label)), ["__weighed"], table, [new], weight="n").drop("__weighed")
 
 
 def inverse_frequency_weights(df: DataFrame, y: str, new: str = "weight") -> DataFrame:
