@@ -49,6 +49,9 @@ def lookup(
     are answered by a bounded broadcast instead, and their rows, like rows with a null key, are
     spread over the shuffle by a salt the dictionary does not hold.
     """
+    clash = set(values) & set(df.columns)
+    if clash:
+        raise ValueError(f"the table already has {sorted(clash)}")
     small = small_copy(table.select(*[col_of(c) for c in [*keys, *values]]), keys, small_rows)
     if small is not None:
         return df.join(F.broadcast(small), keys, "left").select(

@@ -121,10 +121,10 @@ class Dictionary:
             order = df.columns
             as_text = self.kind == "label"
             keyed = df.withColumn("__key", _text_key(c) if as_text else col_of(c))
-            found = lookup(keyed, ["__key"], table.withColumnRenamed("key", "__key"), ["value"], weight="n")
-            df = found.withColumn(c, F.coalesce(F.col("value"), F.lit(self.defaults[c]))).select(
-                *[col_of(x) for x in order]
-            )
+            renamed = table.withColumnsRenamed({"key": "__key", "value": "__value", "n": "__n"})
+            found = lookup(keyed, ["__key"], renamed, ["__value"], weight="__n")
+            coded = F.coalesce(F.col("__value"), F.lit(self.defaults[c])).alias(c)
+            df = found.select(*[coded if x == c else col_of(x) for x in order])
         return df
 
 
@@ -272,8 +272,8 @@ class Ratio:
         if self.group_col is None:
             return _replace(df, {}, {self.new: col_of(self.col)})
         keyed = df.withColumn("__key", col_of(self.group_col))
-        table = self.tables[self.group_col].withColumnRenamed("key", "__key").withColumnRenamed("value", "__mean")
-        found = lookup(keyed, ["__key"], table, ["__mean"], weight="n")
+        table = self.tables[self.group_col].withColumnsRenamed({"key": "__key", "value": "__mean", "n": "__n"})
+        found = lookup(keyed, ["__key"], table, ["__mean"], weight="__n")
         ratio = F.coalesce(F.try_divide(col_of(self.col), F.col("__mean")), F.lit(1.0))
         return found.select(*[col_of(c) for c in df.columns if c != self.new], ratio.alias(self.new))
 
