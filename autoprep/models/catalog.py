@@ -68,7 +68,7 @@ def _weighted(estimator, facts: TrainingFacts):
 def logistic(facts: TrainingFacts, C: float = 1.0):
     """The mean loss of the library against a summed loss: the penalty is 1 / (C n)."""
     return _weighted(LogisticRegression(
-        regParam=1.0 / (C * facts.n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8), facts)
+        regParam=1.0 / (C * facts.n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-5), facts)
 
 
 def rf_classifier(facts: TrainingFacts, n_estimators: int = 100, max_depth: int | None = None):
@@ -83,7 +83,7 @@ def gbt_classifier(facts: TrainingFacts, n_estimators: int = 100, learning_rate:
 
 
 def linear_svc(facts: TrainingFacts, C: float = 1.0):
-    svc = LinearSVC(regParam=1.0 / (C * facts.n), standardization=False, maxIter=1000)
+    svc = LinearSVC(regParam=1.0 / (C * facts.n), standardization=False, maxIter=50, tol=1e-3)
     return _weighted(svc if facts.classes <= 2 else OneVsRest(classifier=svc), facts)
 
 

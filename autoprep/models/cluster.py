@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -49,6 +50,14 @@ def bisecting_kmeans(df: DataFrame, features, ks=range(3, 9), seed: int = 42) ->
     return _best_k(df, features, lambda k: BisectingKMeans(k=k, seed=seed), ks)
 
 
+def _fit_twice(estimator: PCA, data: DataFrame):
+    """The driver's decomposition very rarely reports no convergence on a sound covariance."""
+    try:
+        return estimator.fit(data)
+    except Py4JJavaError:
+        return estimator.fit(data)
+
+
 def pca(df: DataFrame, features, variance: float = 0.95) -> tuple[DataFrame, list[float]]:
     """``(table with components, explained variance ratios)`` for the fewest components that
     together explain ``variance``."""
@@ -56,10 +65,10 @@ def pca(df: DataFrame, features, variance: float = 0.95) -> tuple[DataFrame, lis
     centered = StandardScaler(withMean=True, withStd=False, inputCol="__raw", outputCol="__centered").fit(data)
     data = centered.transform(data)
     d = len(data.select("__raw").first()["__raw"])
-    full = PCA(k=d, inputCol="__centered", outputCol="components").fit(data)
+    full = _fit_twice(PCA(k=d, inputCol="__centered", outputCol="components"), data)
     ratios = [float(v) for v in full.explainedVariance]
     count = min(d, int(np.searchsorted(np.cumsum(ratios), variance - 1e-12) + 1))
-    out = PCA(k=count, inputCol="__centered", outputCol="components").fit(data).transform(data)
+    out = _fit_twice(PCA(k=count, inputCol="__centered", outputCol="components"), data).transform(data)
     return out.drop("__raw", "__centered"), ratios[:count]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_of
+from ..functions.lineage import cut_lineage
 from ..functions.quantiles import exact_quantiles
 from ..operators.vectors import as_array
 
@@ -52,22 +53,15 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> list[tuple]:
 
 
 def fit_isolation_forest(df: DataFrame, key: str, features, n_trees: int = 100, seed: int = 42) -> list[list[tuple]]:
-    """Trees as node tables. Each tree sees the 256 rows with its lowest key hashes."""
+    """Trees as node tables. Each tree sees the 256 of its rows with the lowest key hashes."""
     rows = df.select(col_of(key).alias("id"), as_array(df, features).alias("x")).where(F.col("x").isNotNull())
     n = rows.count()
     if not n:
         raise ValueError("no rows to fit")
-    # Twice the sample in expectation survives the scan; the exact 256 are then picked per tree.
-    share = HASHES if n <= 4 * SAMPLE_ROWS else min(HASHES, math.ceil(HASHES * 2 * SAMPLE_ROWS / n))
-    draw = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(HASHES))
     chosen = Window.partitionBy("tree").orderBy("h", "id")
     sample = (
-        rows.withColumn("tree", F.explode(F.filter(
-            F.sequence(F.lit(0), F.lit(n_trees - 1)),
-            lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(HASHES)) < share,
-        )))
-        .withColumn("h", draw).withColumn("rn", F.row_number().over(chosen)).where(F.col("rn") <= SAMPLE_ROWS)
-        .select("tree", "h", "x")
+        _candidates(rows, n, n_trees, seed)
+        .withColumn("rn", F.row_number().over(chosen)).where(F.col("rn") <= SAMPLE_ROWS).select("tree", "h", "x")
     )
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,26 +75,49 @@ def fit_isolation_forest(df: DataFrame, key: str, features, n_trees: int = 100,
     return [sorted(trees[t]) for t in sorted(trees)]
 
 
+def _candidates(rows: DataFrame, n: int, n_trees: int, seed: int) -> DataFrame:
+    """``(tree, h, id, x)``: about twice the sample per tree survives the scan.
+
+    With rows to spare each row is drawn for at most one tree, at one hash per row; otherwise
+    every row may serve in several trees.
+    """
+    if n >= 4 * SAMPLE_ROWS * n_trees:
+        share = math.ceil(HASHES * 2 * SAMPLE_ROWS * n_trees / n)
+        return rows.withColumn("h", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(HASHES))).where(F.col("h") < share).withColumn(
+            "tree", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n_trees)).cast("int"))
+    share = HASHES if n <= 4 * SAMPLE_ROWS else min(HASHES, math.ceil(HASHES * 2 * SAMPLE_ROWS / n))
+    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    drawn = drawn.withColumn("h", F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(HASHES)))
+    return drawn.where(F.col("h") < share)
+
+
 def score_isolation_forest(df: DataFrame, trees: list[list[tuple]], features, sample_rows: int) -> DataFrame:
     """Append ``anomaly_score`` in (0, 1]."""
-    packed = [(np.array([n[1] for n in t]), np.array([n[2] for n in t]), np.array([n[3] for n in t]),
-               np.array([n[4] for n in t]), np.array([n[5] for n in t])) for t in trees]
+    # One table of all trees: leaves point to themselves, so every row takes the same steps.
+    start, feature, cut, left, right, depth = [], [], [], [], [], []
+    for t in trees:
+        base = len(feature)
+        start.append(base)
+        for node, f, c, goes_left, goes_right, d in t:
+            leaf = f < 0
+            feature.append(0 if leaf else f)
+            cut.append(np.inf if leaf else c)
+            left.append(base + (node if leaf else goes_left))
+            right.append(base + (node if leaf else goes_right))
+            depth.append(d)
+    start, feature, cut = np.array(start), np.array(feature), np.array(cut)
+    step, depth = np.array([left, right]), np.array(depth)
+    levels = math.ceil(math.log2(max(sample_rows, 2)))
     scale = float(average_path(sample_rows)) or 1.0
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         v = np.stack(x.to_numpy()).astype(float)
-        at_row, total = np.arange(len(v)), np.zeros(len(v))
-        for feature, cut, left, right, depth in packed:
-            node = np.zeros(len(v), dtype=int)
-            inner = feature[node] >= 0
-            while inner.any():
-                f = np.where(inner, feature[node], 0)
-                step = np.where(v[at_row, f] <= cut[node], left[node], right[node])
-                node = np.where(inner, step, node)
-                inner = feature[node] >= 0
-            total += depth[node]
-        return pd.Series(2.0 ** (-(total / len(packed)) / scale))
+        at_row = np.arange(len(v))[:, None]
+        node = np.repeat(start[None, :], len(v), axis=0)
+        for _ in range(levels):
+            node = step[(v[at_row, feature[node]] > cut[node]).astype(int), node]
+        return pd.Series(2.0 ** (-depth[node].mean(axis=1) / scale))
 
     return df.withColumn("anomaly_score", score(as_array(df, features)))
 
@@ -115,5 +132,6 @@ def isolation_forest(
     scored = score_isolation_forest(rows, trees, features, sample_rows).select(col_of(key).alias("key"), "anomaly_score")
     limit = AUTO_LIMIT
     if contamination != "auto":
+        scored = cut_lineage(scored)  # the limit and the result both read the scores
         limit = exact_quantiles(scored, ["anomaly_score"], [1 - float(contamination)])["anomaly_score"][0]
     return scored.withColumn("is_outlier", F.col("anomaly_score") > F.lit(limit))

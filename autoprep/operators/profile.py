@@ -152,18 +152,32 @@ def column_roles(columns: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None, top: int = VALUE_LIST_MAX) -> DataFrame:
-    """Most frequent values per column. Without ``cols``: the columns with few distinct values."""
+    """Most frequent values per column. Without ``cols``: the columns with few distinct values.
+
+    A sketch rules out the columns with clearly too many values; the exact number of values is
+    then read off the counts themselves.
+    """
+    limits = None
     if cols is None:
-        p = profile_columns(df).select("column", "type", "unique_count").collect()
-        cols = [r["column"] for r in p if r["type"] == "categorical_numeric" or r["type"] == "boolean"
-                or (r["type"] == "categorical" and r["unique_count"] <= VALUE_LIST_MAX)]
+        sketch = df.agg(*[sketch_distinct(_clean_value(df, c)).alias(c) for c in df.columns]).first()
+        limits = {}
+        for c in df.columns:
+            base = _base_type(df.schema[c].dataType)
+            most = CATEGORICAL_NUMERIC_MAX if base == "numeric" else VALUE_LIST_MAX
+            if base in ("numeric", "boolean", "categorical") and sketch[c] <= 2 * most:
+                limits[c] = most
+        cols = list(limits)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint, rank int")
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), _clean_value(df, c).cast("string").alias("value")) for c in cols
-    ]))).where(F.col("value").isNotNull())
+    entries = [F.struct(F.lit(c).alias("column"), _clean_value(df, c).cast("string").alias("value")) for c in cols]
+    long = df.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
+    if limits:
+        # At most twice the limit of values per column is left here.
+        most = F.create_map(*[x for kv in limits.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+        counts = counts.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy("column")))
+        counts = counts.where(F.col("__k") <= most[F.col("column")]).drop("__k")
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 

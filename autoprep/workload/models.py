@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..functions.lineage import shared_folder
+from ..functions.lineage import cut_lineage, shared_folder
 from ..models import catalog, train
 from ..models.cluster import bisecting_kmeans, explained_variance, kmeans, pca
 from ..models.dbscan import dbscan
@@ -41,8 +41,8 @@ SHORT_GRIDS = {
 
 
 def _scaled_documents(spark, d):
-    df = labelled_documents(spark, d)
-    prep = fit_preparation(df.select("doc_id", "toxic", *NUMBERS), "toxic", ["doc_id"], "toxic")
+    df = cut_lineage(labelled_documents(spark, d).select("doc_id", "toxic", *NUMBERS))
+    prep = fit_preparation(df, "toxic", ["doc_id"], "toxic")
     return prep.transform(df, keep=["doc_id", "toxic"]), prep.features
 
 
@@ -124,7 +124,9 @@ def tomek_links(spark, d):
 
 
 def enn_keep(spark, d):
-    return b.enn_keep(table(spark, d, "embeddings"), "vec_id", "embedding", "label").select("vec_id", "label")
+    """Two uneven classes, so that some neighbourhoods agree."""
+    e = table(spark, d, "embeddings").withColumn("side", (F.col("label") >= 2).cast("int"))
+    return b.enn_keep(e, "vec_id", "embedding", "side").select("vec_id", "side")
 
 
 def _balanced(sampler):
@@ -204,7 +206,8 @@ QUERIES = {
       from n join r on r.vec_id = n.vec_id join r z on z.vec_id = n.neighbor group by 1"""),
     "tomek_links": (tomek_links, f"""with n as materialized (select * from {NEAR} where place = 1) select x.vec_id as a, x.neighbor as b from n x join n y
       on y.vec_id = x.neighbor and y.neighbor = x.vec_id where x.label <> x.neighbor_label and x.vec_id < x.neighbor"""),
-    "enn_keep": (enn_keep, f"select vec_id, any_value(label) as label from {NEAR} where place <= 3 group by 1 having count(*) filter (where label <> neighbor_label) = 0"),
+    "enn_keep": (enn_keep, f"""select vec_id, any_value((label >= 2)::int) as side from {NEAR} where place <= 3 group by 1
+      having count(*) filter (where (label >= 2) <> (neighbor_label >= 2)) = 0"""),
     "linear_fit": (linear_fit, "select round(regr_slope(l_extendedprice, l_quantity), 5) as slope, round(regr_intercept(l_extendedprice, l_quantity), 3) as intercept from lineitem"),
     "ridge_fit": (ridge_fit, """select round(s, 6) as slope, round(my - s * mx, 4) as intercept from (select avg(p_retailprice) as my, avg(p_size) as mx,
       covar_pop(p_retailprice, p_size) * count(*) / (var_pop(p_size) * count(*) + 10) as s from part)"""),
