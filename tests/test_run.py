@@ -25,7 +25,7 @@ def people(spark):
         F.when(income > 80, "baja").otherwise("sigue").alias("estado"),
         (income * 3 + i % 3).alias("gasto"),
     )
-    return df.unionByName(df.where("id < 20").withColumn("id", i + 1000).withColumn("codigo", F.concat(F.lit("cli"), i)))
+    return df.unionByName(df.where("id < 20").withColumn("id", i + 1000))
 
 
 def test_classification_from_dirty_table_to_stream(spark, people, tmp_path):
