@@ -9,7 +9,6 @@ from ..config import SMALL_DICTIONARY_ROWS
 from .columns import col_of, is_text
 
 HOT_KEYS = 1_000
-SALTS = 997
 LONG_KEY_BYTES = 256
 
 
@@ -46,8 +45,8 @@ def lookup(
 
     A table with at most ``small_rows`` rows is broadcast; the size is checked, never assumed.
     A larger one shuffles. Then the ``HOT_KEYS`` keys with the highest ``weight`` (rows per key)
-    are answered by a bounded broadcast instead, and their rows, like rows with a null key, are
-    spread over the shuffle by a salt the dictionary does not hold.
+    are answered by a bounded broadcast, and their rows, like rows with a null key, stay out of
+    the shuffle. Any key left to it holds less than one in ``HOT_KEYS`` of the rows.
     """
     clash = set(values) & set(df.columns)
     if clash:
@@ -58,28 +57,21 @@ def lookup(
             *[col_of(c) for c in df.columns], *[col_of(v) for v in values]
         )
 
-    renamed = {k: f"__key_{i}" for i, k in enumerate(keys)}
-    cold = table.select(
-        *[col_of(k).alias(renamed[k]) for k in keys],
-        F.struct(*[col_of(v) for v in values]).alias("__cold"),
-        F.lit(0).alias("__slot"),
-    )
-    absent = F.lit(False)
+    named = [F.col(f"__found.{v}").alias(v) for v in values]
+    unanswered = F.lit(True)
     for k in keys:
-        absent = absent | col_of(k).isNull()
+        unanswered = unanswered & col_of(k).isNotNull()
+    found = F.struct(*[col_of(v) for v in values])
+    left = df
     if weight:
         hot = table.orderBy(col_of(weight).desc(), *[col_of(k) for k in keys]).limit(HOT_KEYS)
-        hot = hot.select(*[col_of(k) for k in keys], F.struct(*[col_of(v) for v in values]).alias("__hot"))
-        left = df.join(F.broadcast(hot), keys, "left")
-        absent = absent | F.col("__hot").isNotNull()
+        left = df.join(F.broadcast(hot.select(*[col_of(k) for k in keys], found.alias("__found"))), keys, "left")
+        unanswered = unanswered & F.col("__found").isNull()
     else:
-        left = df.withColumn("__hot", F.lit(None).cast(cold.schema["__cold"].dataType))
-    spread = F.pmod(F.xxhash64(*[col_of(c) for c in df.columns]), F.lit(SALTS)).cast("int") + 1
-    left = left.withColumn("__salt", F.when(absent, spread).otherwise(F.lit(0)))
-    on = F.col("__salt") == F.col("__slot")
-    for k in keys:
-        on = on & (col_of(k) == F.col(renamed[k]))
-    found = F.coalesce(F.col("__hot"), F.col("__cold"))
-    return left.join(cold, on, "left").select(
-        *[col_of(c) for c in df.columns], *[found.getField(v).alias(v) for v in values]
-    )
+        kind = table.select(found.alias("__found")).schema["__found"].dataType
+        left = df.withColumn("__found", F.lit(None).cast(kind))
+    own = [col_of(c) for c in df.columns]
+    ready = left.where(~unanswered).select(*own, *named)
+    cold = table.select(*[col_of(k) for k in keys], found.alias("__found"))
+    shuffled = left.where(unanswered).drop("__found").join(cold, keys, "left").select(*own, *named)
+    return ready.unionByName(shuffled)

@@ -118,11 +118,14 @@ def _base_groups(base: DataFrame, key: str, features, need: int, tag: str | None
     """Distinct vectors with their ``need`` smallest keys; no later rank can reach beyond those."""
     rows = base.select(
         col_of(key).alias("id"), as_array(base, features).alias("x"), _tag(base, tag).alias("tag")
-    ).where(F.col("x").isNotNull())
-    same = Window.partitionBy(F.xxhash64("x"), "x").orderBy("id")
+    ).where(F.col("x").isNotNull()).withColumn("h", F.xxhash64("x"))
+    # The limit is applied before the shuffle too, and the bounded groups are gathered on the
+    # partitions the ranking already has.
+    same = Window.partitionBy("h", "x").orderBy("id")
     kept = rows.withColumn("rn", F.row_number().over(same)).where(F.col("rn") <= need)
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        kept.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("id", "tag"))).alias("r"))
+        kept.withColumn("r", F.collect_list(F.struct("id", "tag")).over(whole)).where("rn = 1")
         .select("x", F.transform("r", lambda e: e["id"]).alias("ids"), F.transform("r", lambda e: e["tag"]).alias("tags"))
     )
 

@@ -9,7 +9,7 @@ from ..functions.columns import col_of, key_hash
 from ..functions.lookup import lookup
 
 # Hash buckets bound the exact-percentile buffer of one class at this many entries.
-BUCKETS = 1_000_000
+BUCKETS = 100_000
 
 
 def _keys(key: str | list[str]) -> list[str]:

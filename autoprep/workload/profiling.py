@@ -234,6 +234,15 @@ def _counts_sql(source: str, cols: list[str]) -> str:
       from ({body})) where rank <= 20"""
 
 
+def _few_values_sql(source: str, columns: dict) -> str:
+    """Value counts of the columns with at most 10 (numeric) or 20 (text) values."""
+    body = " union all ".join(
+        f"select '{c}' as column_name, {c}::varchar as value, count(*) as n, {20 if kind == 'string' else 10} as most from {source} where {c} is not null group by 2"
+        for c, kind in columns.items())
+    return f"""select column_name, value, n, (row_number() over (partition by column_name order by n desc, value))::int as rank
+      from (select *, count(*) over (partition by column_name) as k from ({body})) where k <= most"""
+
+
 QUERIES = {
     "profile_lineitem": (profile_lineitem, _profile_sql("lineitem", LINEITEM)),
     "profile_documents": (profile_documents, DOCUMENTS_SQL),
@@ -248,7 +257,8 @@ QUERIES = {
       from ({EVENTS_SQL})"""),
     "role_flags": (role_flags, f"""select column_name, is_numeric_role, is_categorical_role, is_high_cardinality, is_high_null
       from ({_profile_sql(GAPPY, EVENTS, 'event_type')})"""),
-    "value_counts_top": (value_counts_top, _counts_sql("lineitem", ["l_linenumber", "l_tax", "l_returnflag", "l_linestatus"])),
+    "value_counts_top": (value_counts_top, _few_values_sql(
+        "lineitem", {c: k for c, k in LINEITEM.items() if k != "timestamp_ntz"})),
     "value_counts_chosen": (value_counts_chosen, _counts_sql("part", ["p_name", "p_brand"])),
     "corr_matrix": (corr_matrix, _corr_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"])),
     "corr_matrix_gaps": (corr_matrix_gaps, _corr_sql(

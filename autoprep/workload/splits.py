@@ -133,7 +133,7 @@ def _class_sql(source: str, y: str, p: str) -> str:
 
 
 def _cuts_sql(t: str, key: str, label: str, k: int) -> str:
-    h = duck_hash(key, buckets=1_000_000)
+    h = duck_hash(key, buckets=sp.BUCKETS)
     probs = ", ".join(f"quantile_cont(h, {i / k}) as q{i}" for i in range(1, k))
     passed = " + ".join(f"(h > q{i})::int" for i in range(1, k))
     return f"""with a as (select {key}, {label}, {h} as h from {t}), q as (select {label}, {probs} from a group by 1)
@@ -144,7 +144,7 @@ _STRATA = f"""with a as (select *, {{h}} as h from {{t}}), q as (select {{y}} as
 
 
 def _strata(t: str, key: str, y: str) -> str:
-    return _STRATA.format(h=duck_hash(key, buckets=1_000_000), t=t, y=y)
+    return _STRATA.format(h=duck_hash(key, buckets=sp.BUCKETS), t=t, y=y)
 
 
 VOTES = """(select doc_id, c, sum(w) as s from (select doc_id, (doc_id % 3)::double as c, {0} as w from {docs}
@@ -159,7 +159,7 @@ QUERIES = {
     "split_shares": (split_shares, _strata("labels", "doc_id", "toxic")
       + " select toxic, case when h <= cut then 'test' else 'train' end as split, count(*) as n from a join q on y = toxic group by 1, 2"),
     "fold_stratified": (fold_stratified, _cuts_sql("labels", "doc_id", "toxic", 5)),
-    "fold_plain": (fold_plain, f"select p_partkey, ({duck_hash('p_partkey', buckets=1_000_000)} % 5)::int as fold from part"),
+    "fold_plain": (fold_plain, f"select p_partkey, ({duck_hash('p_partkey', buckets=sp.BUCKETS)} % 5)::int as fold from part"),
     "class_weights": (class_weights, """select doc_id, toxic, round((select count(*) from labels) /
       ((select count(distinct toxic) from labels) * (count(*) over (partition by toxic)))::double, 6) as weight from labels"""),
     "inverse_frequency_weights": (inverse_frequency_weights, """select p_partkey, p_size, round(x / avg(x) over (), 6) as weight
