@@ -55,6 +55,15 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
+def _walsh(size: int) -> list[int]:
+    """The rows of a Hadamard matrix as bit patterns: reference fingerprints that lie as far apart as can be."""
+    return [sum(1 << j for j in range(size) if bin(i & j).count("1") % 2) for i in range(size)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def pivot_table(fps: DataFrame, name: str = "fp") -> DataFrame:
     """Add ``d``, the distances to 64 reference fingerprints, block by block.
 
