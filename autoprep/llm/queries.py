@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hosts
 from .shared import read_table
 from .simhash import simhash_groups
+from .vectors import near_vectors
+
+
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge_urls(read_table(spark, sf_dir, "pages"), hosts.outcomes_of(read_table(spark, sf_dir, "labels")))
+
+
+def op7_vector_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
 def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +27,11 @@ def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_host_reputation": op4_host_reputation,
+    "op7_vector_pigeonhole": op7_vector_pigeonhole,
     "op9_simhash_pivot": op9_simhash_pivot,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_host_reputation": hosts.oracle(),
+}
