@@ -11,6 +11,11 @@ from . import hosts
 from .shared import read_table
 from .simhash import simhash_groups
 from .vectors import near_vectors
+from .wrappers import extract_text
+
+
+def op3_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
 
 
 def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +32,7 @@ def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_wrapper_text": op3_wrapper_text,
     "op4_host_reputation": op4_host_reputation,
     "op7_vector_pigeonhole": op7_vector_pigeonhole,
     "op9_simhash_pivot": op9_simhash_pivot,
