@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hosts
+from . import hosts, mixing
+from .resample import resampled
 from .shared import read_table
 from .simhash import simhash_groups
 from .vectors import near_vectors
@@ -22,10 +23,18 @@ def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_urls(read_table(spark, sf_dir, "pages"), hosts.outcomes_of(read_table(spark, sf_dir, "labels")))
 
 
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read_table(spark, sf_dir, "documents"))
+
+
 def op7_vector_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,10 +43,13 @@ def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wrapper_text": op3_wrapper_text,
     "op4_host_reputation": op4_host_reputation,
+    "op6_temperature_mixing": op6_temperature_mixing,
     "op7_vector_pigeonhole": op7_vector_pigeonhole,
     "op9_simhash_pivot": op9_simhash_pivot,
+    "op10_importance_resampling": op10_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op4_host_reputation": hosts.oracle(),
+    "op6_temperature_mixing": mixing.oracle(),
 }
