@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hosts, mixing
+from .kneser import score_documents
 from .resample import resampled
 from .shared import read_table
 from .simhash import simhash_groups
@@ -35,6 +36,10 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_host_reputation": op4_host_reputation,
     "op6_temperature_mixing": op6_temperature_mixing,
     "op7_vector_pigeonhole": op7_vector_pigeonhole,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash_pivot": op9_simhash_pivot,
     "op10_importance_resampling": op10_importance_resampling,
 }
