@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hosts, mixing
+from .decontaminate import leaks
 from .kneser import score_documents
 from .resample import resampled
 from .shared import read_table
@@ -24,6 +25,10 @@ def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_urls(read_table(spark, sf_dir, "pages"), hosts.outcomes_of(read_table(spark, sf_dir, "labels")))
 
 
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wrapper_text": op3_wrapper_text,
     "op4_host_reputation": op4_host_reputation,
+    "op5_latent_decontamination": op5_latent_decontamination,
     "op6_temperature_mixing": op6_temperature_mixing,
     "op7_vector_pigeonhole": op7_vector_pigeonhole,
     "op8_kneser_ney": op8_kneser_ney,

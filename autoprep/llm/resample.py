@@ -7,17 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from .arrays import summed_array
 from .shared import saved
 from .words import chain, fold_table, hashed_words, mix
 
 #: Buckets of the hashed words, and as many of the hashed word pairs.
 BUCKETS = 1 << 19
-SUM_BLOCKS = 64
 #: Labelled documents that the target model and its cutoff learn from, at most.
 LABELS = 40_000
 #: Pseudo-counts that pull a bucket's ratio towards one, and the log ratio below which it counts against a text.
@@ -59,43 +58,23 @@ class Models:
 def count_models(docs: DataFrame, roles: dict[int, int]) -> Models:
     """Count all documents into the raw model and those of role 1 into the target model.
 
-    Each task sends one array per model, and at most a few tasks per core read the input; the
-    arrays are summed in salted blocks. Only the summed buckets, whose number is fixed, reach the driver.
+    Only the summed buckets, whose number is fixed, reach the driver.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(roles)
-    size = 2 * BUCKETS // SUM_BLOCKS
     fold = fold_table()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        both = np.zeros((2, 2 * BUCKETS))
         for batch in batches:
             fits = np.array([known.value.get(i) == 1 for i in batch.column(0).to_pylist()], bool)
             for owner, bucket in _features([(t or "").encode().translate(fold) for t in batch.column(1).to_pylist()]):
-                raw += np.bincount(bucket, minlength=2 * BUCKETS)
-                target += np.bincount(bucket[fits[owner]], minlength=2 * BUCKETS)
-        salt = TaskContext.get().partitionId() % 32
-        for b in range(SUM_BLOCKS):
-            part = slice(b * size, (b + 1) * size)
-            yield pa.record_batch(
-                [pa.array([b], pa.int32()), pa.array([salt], pa.int32()), pa.array([raw[part].astype(np.float64).tobytes()]), pa.array([target[part].astype(np.float64).tobytes()])],
-                ["block", "salt", "raw", "target"],
-            )
-
-    def add(group: pa.Table) -> pa.Table:
-        sums = [
-            sum((np.frombuffer(v.as_py(), np.float64) for v in group.column(c)), np.zeros(size)).tobytes() for c in ("raw", "target")
-        ]
-        return pa.table({"block": group.column("block").slice(0, 1), "salt": group.column("salt").slice(0, 1), "raw": [sums[0]], "target": [sums[1]]})
-
-    schema = "block int, salt int, raw binary, target binary"
-    most = 4 * spark.sparkContext.defaultParallelism
-    parts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).coalesce(most).mapInArrow(count, schema)
-    parts = parts.groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    raw, target = np.zeros((SUM_BLOCKS, size)), np.zeros((SUM_BLOCKS, size))
-    for r in parts.collect():
-        raw[r["block"]], target[r["block"]] = np.frombuffer(r["raw"]), np.frombuffer(r["target"])
-    raw, target = raw.ravel(), target.ravel()
+                both[0] += np.bincount(bucket, minlength=2 * BUCKETS)
+                both[1] += np.bincount(bucket[fits[owner]], minlength=2 * BUCKETS)
+        return both.ravel()
+
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    raw, target = summed_array(texts, 4 * BUCKETS, count).reshape(2, -1)
     share = tuple(float(target[s].sum() / max(1.0, raw[s].sum())) for s in (slice(0, BUCKETS), slice(BUCKETS, None)))
     return Models(raw.astype(np.float32), target.astype(np.float32), share)
 
