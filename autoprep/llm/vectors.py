@@ -14,28 +14,28 @@ from .components import components
 from .shared import saved
 from .tiles import meeting_tiles
 
-BLOCK_DIMS = 8
-TILE_ROWS = 1500
+BLOCK_DIMS = 16
+TILE_ROWS = 16_000
 #: Rows of a tile compared at once: bounds the distance matrix.
-STRIP = 512
+STRIP = 128
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _matrix(packed: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), kind).astype(np.float64).reshape(len(packed), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def second_moment(vectors: DataFrame, dims: int) -> np.ndarray:
+def second_moment(vectors: DataFrame, dims: int, kind: str) -> np.ndarray:
     """Sum of the outer products of the unit vectors; only a dims x dims matrix reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
         for batch in batches:
             if batch.num_rows:
-                x = _unit(_matrix(batch.column(0)))
+                x = _unit(_matrix(batch.column(0).to_pylist(), kind))
                 total += x.T @ x
         yield pa.record_batch([pa.array(np.arange(dims * dims)), pa.array(total.ravel())], ["at", "value"])
 
@@ -104,6 +104,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     their own. Equal vectors are joined before the search and count as links. An empty table gives
     an empty result; extra columns are ignored.
     """
+    kind = "f4" if dict(table.dtypes)["embedding"] == "array<float>" else "f8"
     numbers = F.col("embedding").cast("array<double>")
     rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), numbers.alias("embedding"))
     sizes = rows.where("embedding is not null").groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c"))
@@ -120,16 +121,16 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            # A common scale keeps squares of huge or tiny components finite.
-            flat = flat / np.abs(flat).max(1, keepdims=True)
-            packed = pa.array([r.tobytes() for r in flat], pa.binary())
+            if kind == "f8":  # a power of two per vector keeps the squares of huge or tiny components finite
+                flat = np.ldexp(flat, -np.frexp(np.abs(flat).max(1, keepdims=True))[1])
+            packed = pa.array([r.tobytes() for r in flat.astype(kind)], pa.binary())
             yield pa.record_batch([batch.column(0), packed, batch.column(2)], ["rep", "v", "copies"])
 
     distinct = saved(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors")
     reps = saved(distinct.select("rep", "embedding", "copies").mapInArrow(pack, "rep bigint, v binary, copies bigint"), "vectors")
     limit = 2 - 2 * threshold
-    rotation, slices, budget = blocks_of(second_moment(reps, dims), limit)
-    found = saved(_search(reps, rotation, slices, budget, threshold), "links")
+    rotation, slices, budget = blocks_of(second_moment(reps, dims, kind), limit)
+    found = saved(_search(reps, kind, rotation, slices, budget, threshold), "links")
     groups = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per_rep = (
@@ -147,7 +148,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _search(reps: DataFrame, rotation: np.ndarray, slices: list[slice], budget: np.ndarray, threshold: float) -> DataFrame:
+def _search(reps: DataFrame, kind: str, rotation: np.ndarray, slices: list[slice], budget: np.ndarray, threshold: float) -> DataFrame:
     """``(rep, links, root)``: linked rows counted per vector, and edges that connect what is linked.
 
     In each block a grid over its two leading directions, as wide as the block's radius, brings
@@ -160,7 +161,7 @@ def _search(reps: DataFrame, rotation: np.ndarray, slices: list[slice], budget:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            turned = _unit(_matrix(batch.column(1))) @ rotation
+            turned = _unit(_matrix(batch.column(1).to_pylist(), kind)) @ rotation
             ids = batch.column(0).to_numpy()
             for b, s in enumerate(slices):
                 x = np.floor(turned[:, s.start] / width[b]).astype(np.int64)
@@ -171,27 +172,30 @@ def _search(reps: DataFrame, rotation: np.ndarray, slices: list[slice], budget:
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         block = int(group["cell"].iat[0] >> 49)
-        group = group.sort_values("rep", kind="stable")
-        ids, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
-        raw = np.frombuffer(b"".join(group["v"]), np.float64).reshape(len(group), -1)
+        across = group["tile_a"].iat[0] != group["tile_b"].iat[0]
+        group = group.sort_values(["tile", "rep"], kind="stable")
+        ids, copies, home = group["rep"].to_numpy(), group["copies"].to_numpy(), group["home"].to_numpy()
+        raw = _matrix(group["v"].tolist(), kind)
         norm = np.sqrt((raw * raw).sum(1))
         unit = raw / norm[:, None]
         turned = (unit @ rotation[:, slices[block]]).astype(np.float32)
         square = (turned * turned).sum(1)
-        home, tile = group["home"].to_numpy(), group["tile"].to_numpy()
-        across = group["tile_a"].iat[0] != group["tile_b"].iat[0]
+        split = int((group["tile"] == group["tile_a"].iat[0]).sum()) if across else len(ids)
         links, ends = np.zeros(len(ids), np.int64), [[], []]
-        for at in range(0, len(ids), STRIP):
-            i = slice(at, at + STRIP)
-            gap = square[i, None] + square[None, at:] - 2 * (turned[i] @ turned[at:].T)
+        for at in range(0, split, STRIP):
+            i, other = slice(at, min(at + STRIP, split)), split if across else at
+            gap = turned[i] @ turned[other:].T
+            gap *= -2
+            gap += square[i, None]
+            gap += square[None, other:]
             a, b = np.nonzero(gap <= budget[block] * (1 + 1e-4) + 1e-6)
-            a, b = a + at, b + at
-            met = (a < b) & (home[a] | home[b])
-            if across:
-                met &= tile[a] != tile[b]
+            a, b = a + at, b + other
+            met = (ids[a] != ids[b]) & (home[a] | home[b])
+            if not across:
+                met &= a < b
             a, b = a[met], b[met]
-            for k in range(0, len(a), 1 << 16):
-                p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            for k in range(0, len(a), 1 << 14):
+                p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
                 near = (raw[p] * raw[q]).sum(1) / (norm[p] * norm[q]) >= threshold
                 p, q = p[near], q[near]
                 own = _first_block(unit[p] - unit[q], rotation, slices, budget) == block
