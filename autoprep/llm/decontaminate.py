@@ -16,10 +16,11 @@ from .words import fold_table, hashed_words
 
 #: Words of a passage of the index, and the longest query; a longer benchmark text is several queries.
 PASSAGE, QUERY = 32, 64
-RANK, OVERSAMPLE = 64, 16
+RANK, OVERSAMPLE = 96, 16
 #: Terms in more than this share of the passages tell nothing about a benchmark text and get no weight.
-COMMON = 0.1
-COSINE = 0.4
+COMMON, ALWAYS_RARE = 0.005, 20
+#: A window is a candidate from this part of the cosine that a copy among average text has, and from COSINE at the latest.
+PART, COSINE, LEAST = 0.5, 0.35, 0.2
 #: A copy keeps this share of the query's words in order; a paraphrase less, but with the answer in one piece.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 4
 SHORTEST = 5
@@ -123,7 +124,7 @@ def _product(encoded: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarr
     terms, rank = right.shape
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros((terms, rank))
+        out, thin = np.zeros((terms, rank)), right.astype(np.float32)
         for batch in batches:
             for _, _, _, (passage, term) in _passages(batch.column(0), 500_000):
                 some = idf[term] > 0
@@ -131,9 +132,9 @@ def _product(encoded: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarr
                 for at in range(0, len(both), 200_000):
                     # A passage cut at a border counts as two; borders are far apart.
                     p, t = both[at : at + 200_000] // terms, both[at : at + 200_000] % terms
-                    weight = (times[at : at + 200_000] * idf[t])[:, None]
+                    weight = (times[at : at + 200_000] * idf[t]).astype(np.float32)[:, None]
                     starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-                    latent = np.add.reduceat(weight * right[t], starts)
+                    latent = np.add.reduceat(weight * thin[t], starts)
                     spread = np.repeat(latent, np.diff(np.append(starts, len(p))), axis=0) * weight
                     order = np.argsort(t, kind="stable")
                     firsts = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0]))
@@ -183,22 +184,31 @@ def _verdict(query: np.ndarray, words: np.ndarray, answer: np.ndarray) -> tuple[
     return common, None
 
 
-def _leaks(encoded: DataFrame, queries: Queries, idf: np.ndarray, space: np.ndarray) -> DataFrame:
-    latent = np.zeros((len(queries.codes), space.shape[1]))
+def _leaks(encoded: DataFrame, queries: Queries, idf: np.ndarray, space: np.ndarray, noise: float) -> DataFrame:
+    """``noise`` is the mean squared length of a window's TF-IDF vector: what else lies beside a copy."""
+    latent, enough = np.zeros((len(queries.codes), space.shape[1])), np.zeros(len(queries.codes), np.float32)
     for i, codes in enumerate(queries.codes):
         t, times = np.unique(codes - 1, return_counts=True)
         latent[i] = (times * idf[t]) @ space[t]
+        square = ((times * idf[t]) ** 2).sum()
+        # Where the space holds little of a query, its cosine says less and has to reach less.
+        held = np.sqrt((latent[i] ** 2).sum() / max(square, 1e-12))
+        enough[i] = min(COSINE, PART * np.sqrt(square / max(square + noise, 1e-12))) * min(1, max(LEAST, 2 * held))
     length = np.sqrt((latent * latent).sum(1))
-    latent /= np.maximum(length, 1e-12)[:, None]
+    latent = (latent / np.maximum(length, 1e-12)[:, None]).astype(np.float32)
     # A query of common or unseen terms alone has no place in the space: it meets each passage with one of its terms.
     blind = np.flatnonzero(length < 1e-9)
-    weighted = idf[:, None] * space
+    enough[blind] = 2
+    weighted = (idf[:, None] * space).astype(np.float32)
+    # A hit keeps PARAPHRASE of a query's words at least: so many of its different words have to be there at all.
+    different = [np.unique(c) for c in queries.codes]
+    least = [int(np.ceil(min(PARAPHRASE, COPY) * len(c))) - (len(c) - len(d)) for c, d in zip(queries.codes, different)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[int, int], tuple[float, int, int, str, int]] = {}
             for rows, held, first, (passage, term) in _passages(batch.column(1), 400_000):
-                vectors = np.zeros((first[-1] + 1, space.shape[1]))
+                vectors = np.zeros((first[-1] + 1, space.shape[1]), np.float32)
                 some = idf[term] > 0
                 p, t = passage[some], term[some]
                 if len(p):
@@ -208,8 +218,9 @@ def _leaks(encoded: DataFrame, queries: Queries, idf: np.ndarray, space: np.ndar
                 size = np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-12)
                 for at in range(0, len(latent), 1000):
                     cosine = vectors @ latent[at : at + 1000].T / size[:, None]
-                    near, query = np.nonzero(cosine >= COSINE)
-                    _check(found, rows, held, first, near, query + at, cosine[near, query])
+                    near, query = np.nonzero(cosine >= enough[at : at + 1000])
+                    cosine, query = cosine[near, query], query + at
+                    _check(found, rows, held, first, near, query, cosine)
                 for q in blind:
                     hit = np.unique(passage[np.isin(term, queries.codes[q] - 1)])
                     _check(found, rows, held, first, hit, np.full(len(hit), q), np.zeros(len(hit)))
@@ -227,15 +238,22 @@ def _leaks(encoded: DataFrame, queries: Queries, idf: np.ndarray, space: np.ndar
 
     def _check(found, rows, held, first, near, query, cosine) -> None:
         doc = np.searchsorted(first, near, "right") - 1
-        for d, p, q, c in zip(doc.tolist(), (near - first[np.minimum(doc, len(held) - 1)]).tolist(), query.tolist(), cosine.tolist()):
-            if d >= len(held):
-                continue
+        inside = doc < len(held)
+        near, query, cosine, doc = near[inside], query[inside], cosine[inside], doc[inside]
+        present, last, words = np.zeros(len(idf) + 1, bool), -1, np.zeros(0, np.int64)
+        for d, w, q, c in zip(doc.tolist(), near.tolist(), query.tolist(), cosine.tolist()):
             old = found.get((rows[d], q))
             if old is not None and old[1] == old[2]:
                 continue
-            # The window of two passages and one more on each side: a query lies in it as a whole.
-            start = max(0, p - 1) * PASSAGE
-            words = held[d][start : (p + 3) * PASSAGE].astype(np.int64)
+            if w != last:
+                # The window of two passages and one more on each side: a query lies in it as a whole.
+                present[words] = False
+                start = max(0, w - int(first[d]) - 1) * PASSAGE
+                words = held[d][start : (w - int(first[d]) + 3) * PASSAGE].astype(np.int64)
+                present[words] = True
+                present[0], last = False, w
+            if np.count_nonzero(present[different[q]]) < least[q]:
+                continue
             codes = queries.codes[q]
             common, kind = _verdict(codes, words, codes[-ANSWER:])
             if kind is not None and (old is None or common > old[1]):
@@ -249,7 +267,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, kind, cosine, common_words, query_words, first_word)``: benchmark texts found in documents.
 
     Benchmark texts are the stated queries, searched for in blocks, against every passage of every
-    document. Candidates are windows of two passages whose latent cosine reaches ``COSINE``; a hit
+    document. Candidates are windows of two passages whose latent cosine reaches the query's bound; a hit
     keeps ``COPY`` of the query's words in order, or ``PARAPHRASE`` of them with its last words (the
     answer) in one piece. Texts are compared as lower-cased words without punctuation. Of several
     hits of one item in one document the best is returned. Null and blank texts and items hit
@@ -264,8 +282,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         encoded = saved(_encoded(docs, queries), "encoded")
         seen, passages = _frequencies(encoded, len(queries.terms))
-        idf = np.where((seen > 0) & (seen <= max(COMMON * passages, 1)), np.log((1 + passages) / (1 + seen)), 0.0)
-        found = _leaks(encoded, queries, idf, latent_space(encoded, idf))
+        idf = np.where((seen > 0) & (seen <= max(COMMON * passages, ALWAYS_RARE)), np.log((1 + passages) / (1 + seen)), 0.0)
+        found = _leaks(encoded, queries, idf, latent_space(encoded, idf), 2 * float((seen * idf**2).sum()) / max(passages, 1))
         out = found if out is None else out.union(found)
     if out is None:
         out = docs.sparkSession.createDataFrame(
