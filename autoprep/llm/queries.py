@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import hosts, mixing
 from .decontaminate import leaks
 from .kneser import score_documents
+from .passages import repeated_spans
 from .resample import resampled
 from .shared import read_table
 from .simhash import simhash_groups
@@ -17,6 +18,11 @@ from .vectors import near_vectors
 from .wrappers import extract_text
 
 
+def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = repeated_spans(read_table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "start", "stop", F.col("words").alias("n_words"), "first_doc")
+
+
 def op3_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
 
@@ -51,6 +57,7 @@ def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_paragraph_minhash": op2_paragraph_minhash,
     "op3_wrapper_text": op3_wrapper_text,
     "op4_host_reputation": op4_host_reputation,
     "op5_latent_decontamination": op5_latent_decontamination,

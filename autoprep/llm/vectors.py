@@ -68,7 +68,7 @@ def blocks_of(moment: np.ndarray, limit: float) -> tuple[np.ndarray, list[slice]
     return np.ascontiguousarray(vectors[:, sum(dealt, [])]), slices, limit * weight / weight.sum()
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def linked_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable over the links, among n."""
     label = np.arange(n)
     while True:
@@ -204,7 +204,7 @@ def _search(reps: DataFrame, kind: str, rotation: np.ndarray, slices: list[slice
                 np.add.at(links, q, copies[p])
                 ends[0].append(p), ends[1].append(q)
         p, q = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in ends)
-        root = _labels(len(ids), p, q)
+        root = linked_labels(len(ids), p, q)
         some = links > 0
         return pd.DataFrame({"rep": ids[some], "links": links[some], "root": ids[root[some]]})
 
