@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import hosts, mixing
 from .decontaminate import leaks
 from .kneser import score_documents
+from .language import identify
 from .passages import repeated_spans
 from .resample import resampled
 from .shared import read_table
@@ -18,6 +19,10 @@ from .vectors import near_vectors
 from .wrappers import extract_text
 
 
+def op1_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = repeated_spans(read_table(spark, sf_dir, "documents"))
     return spans.select("doc_id", "start", "stop", F.col("words").alias("n_words"), "first_doc")
@@ -57,6 +62,7 @@ def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_gru": op1_byte_gru,
     "op2_paragraph_minhash": op2_paragraph_minhash,
     "op3_wrapper_text": op3_wrapper_text,
     "op4_host_reputation": op4_host_reputation,
