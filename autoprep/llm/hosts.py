@@ -61,7 +61,8 @@ def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     A host's rate of good pages has a beta prior around its registered domain's posterior mean, that
     one around its suffix's, and that one around the overall rate. Each level's strength is fitted
-    over all its groups. ``upper`` is the posterior mean plus ``Z`` posterior deviations. Without
+    over all its groups. A host's outcomes also count in its domain, so where hosts are all good or
+    all bad a single bad page can decide about a host that is its domain's only one. ``upper`` is the posterior mean plus ``Z`` posterior deviations. Without
     any outcome every mean is one half.
     """
     counted = outcomes.where("good is not null").groupBy("host").agg(
