@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SMALL_DICTIONARY_ROWS
 from .columns import col_of, is_text
+from .lineage import cut_lineage
 
 HOT_KEYS = 1_000
 LONG_KEY_BYTES = 256
@@ -44,9 +45,10 @@ def lookup(
     """Append ``values`` of ``table`` (one row per key) to every row of ``df``, null when absent.
 
     A table with at most ``small_rows`` rows is broadcast; the size is checked, never assumed.
-    A larger one shuffles. Then the ``HOT_KEYS`` keys with the highest ``weight`` (rows per key)
-    are answered by a bounded broadcast, and their rows, like rows with a null key, stay out of
-    the shuffle. Any key left to it holds less than one in ``HOT_KEYS`` of the rows.
+    A larger one is written once and joined once. The ``HOT_KEYS`` keys with the highest ``weight``
+    (rows per key) are answered by a bounded broadcast of digests; their rows, like rows with a
+    null key, get a salt from their own hash, so they spread over the join's tasks and match
+    nothing there. Any key left to it holds less than one in ``HOT_KEYS`` of the rows.
     """
     clash = set(values) & set(df.columns)
     if clash:
@@ -57,21 +59,28 @@ def lookup(
             *[col_of(c) for c in df.columns], *[col_of(v) for v in values]
         )
 
-    named = [F.col(f"__found.{v}").alias(v) for v in values]
-    unanswered = F.lit(True)
+    table = cut_lineage(table.select(*[col_of(c) for c in dict.fromkeys([*keys, *values, *([weight] if weight else [])])]))
+    found = F.struct(*[col_of(v) for v in values])
+    left, unanswered, answers = df, F.lit(True), []
     for k in keys:
         unanswered = unanswered & col_of(k).isNotNull()
-    found = F.struct(*[col_of(v) for v in values])
-    left = df
     if weight:
         hot = table.orderBy(col_of(weight).desc(), *[col_of(k) for k in keys]).limit(HOT_KEYS)
-        left = df.join(F.broadcast(hot.select(*[col_of(k) for k in keys], found.alias("__found"))), keys, "left")
-        unanswered = unanswered & F.col("__found").isNull()
-    else:
-        kind = table.select(found.alias("__found")).schema["__found"].dataType
-        left = df.withColumn("__found", F.lit(None).cast(kind))
-    own = [col_of(c) for c in df.columns]
-    ready = left.where(~unanswered).select(*own, *named)
-    cold = table.select(*[col_of(k) for k in keys], found.alias("__found"))
-    shuffled = left.where(unanswered).drop("__found").join(cold, keys, "left").select(*own, *named)
-    return ready.unionByName(shuffled)
+        digests = [f"__digest{i}" for i in range(len(keys))]
+        hot = hot.select(*[_digest(table, k).alias(d) for k, d in zip(keys, digests)], found.alias("__hot"))
+        left = df.select("*", *[_digest(df, k).alias(d) for k, d in zip(keys, digests)]).join(F.broadcast(hot), digests, "left").drop(*digests)
+        unanswered = unanswered & F.col("__hot").isNull()
+        answers.append("__hot")
+    hashable = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+    salt = F.when(unanswered, 0).otherwise(F.xxhash64(*[col_of(c) for c in hashable]) % 100_000 - 100_001)
+    asked = [F.when(unanswered, col_of(k)).alias(f"__key{i}") for i, k in enumerate(keys)]
+    left = left.select("*", *asked, salt.cast("int").alias("__salt"))
+    cold = table.select(*[col_of(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.lit(0).alias("__salt"), found.alias("__cold"))
+    joined = left.join(cold, [*[f"__key{i}" for i in range(len(keys))], "__salt"], "left")
+    answer = F.coalesce(*[F.col(a) for a in [*answers, "__cold"]])
+    return joined.withColumn("__answer", answer).select(*[col_of(c) for c in df.columns], *[F.col("__answer").getField(v).alias(v) for v in values])
+
+
+def _digest(df: DataFrame, key: str) -> Column:
+    """A short stand-in for a text key, so that no long key is broadcast."""
+    return F.sha2(col_of(key), 256) if is_text(df.schema[key].dataType) else col_of(key)

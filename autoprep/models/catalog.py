@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # "No limit" on tree depth: the library rejects more than 30, and deep levels cost memory.
-DEEPEST = 20
+DEEPEST = 30
 
 # Search grids.
 FOREST_GRID = {"n_estimators": [50, 100, 200], "max_depth": [5, 10, None]}

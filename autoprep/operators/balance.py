@@ -14,10 +14,14 @@ from .vectors import as_array
 
 DRAWS = 1_000_003
 ENN_NEIGHBORS = 3
+COPIES_PER_BLOCK = 1_000
 
 
 def _class_sizes(df: DataFrame, label: str) -> dict:
-    rows = df.where(col_of(label).isNotNull()).groupBy(col_of(label).alias("c")).count().limit(SMALL_DICTIONARY_ROWS).collect()
+    counts = df.where(col_of(label).isNotNull()).groupBy(col_of(label).alias("c")).count()
+    rows = counts.limit(SMALL_DICTIONARY_ROWS + 1).collect()
+    if len(rows) > SMALL_DICTIONARY_ROWS:
+        raise ValueError(f"{label!r} has more than {SMALL_DICTIONARY_ROWS} classes: it is no class label")
     return {r["c"]: r["count"] for r in rows}
 
 
@@ -31,16 +35,27 @@ def _draw(buckets: Column | int, purpose: str, seed: int) -> Column:
 
 
 def _interpolate(seeds: DataFrame, neighbors: DataFrame, k: int, seed: int) -> DataFrame:
-    """``seeds(key, copies)`` to synthetic points between each key and drawn neighbours."""
+    """``seeds(key, copies)`` to synthetic points between each key and drawn neighbours.
+
+    A seed meets its neighbours once, as one array; its copies are made afterwards, in blocks that
+    are dealt over all tasks. So a few seeds with very many copies are no hot keys.
+    """
+    around = neighbors.groupBy("key").agg(
+        F.first("x").alias("x"), F.array_sort(F.collect_list(F.struct("rank", "neighbor_x"))).alias("near")
+    )
+    blocks = (
+        seeds.where("copies > 0").join(around, "key")
+        .select("key", "copies", "x", "near", F.explode(F.expr(f"sequence(0L, cast(copies - 1 as bigint), {COPIES_PER_BLOCK}L)")).alias("at"))
+        .repartition("key", "at")
+    )
+    last = F.least(F.col("at") + COPIES_PER_BLOCK, F.col("copies")) - 1
     drawn = (
-        seeds.where("copies > 0")
-        .select("key", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("j"))
-        .withColumn("rank", (_draw(k, "neighbor", seed) + 1).cast("int"))
+        blocks.select("key", "x", "near", F.explode(F.sequence("at", last.cast("bigint"))).alias("j"))
+        .withColumn("neighbor_x", F.element_at("near", (_draw(k, "neighbor", seed) + 1).cast("int"))["neighbor_x"])
         .withColumn("step", _draw(DRAWS, "step", seed) / F.lit(float(DRAWS)))
     )
-    joined = drawn.join(neighbors.select("key", "rank", "x", "neighbor_x"), ["key", "rank"])
     step = F.col("step")
-    return joined.select(
+    return drawn.select(
         F.concat_ws("~", "key", "j").alias("key"), F.zip_with("x", "neighbor_x", lambda a, b: a + step * (b - a)).alias("x")
     )
 

@@ -128,9 +128,17 @@ def mask_rare_negatives(df: DataFrame, cols=None, max_share: float = 0.05) -> Da
     return _replace(df, {c: F.when(~(col_of(c) < 0), col_of(c)) for c in rare})
 
 
-def dedup(df: DataFrame) -> DataFrame:
-    """Distinct rows, nulls equal. The partial aggregate keeps one copy per task before the shuffle."""
-    return df.dropDuplicates()
+def dedup(df: DataFrame, subset: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Distinct rows, nulls equal. The partial aggregate keeps one copy per task before the shuffle.
+
+    With a ``subset`` of columns, rows equal in them are copies; the smallest by ``order`` and then by
+    the other columns stays.
+    """
+    if subset is None:
+        return df.dropDuplicates()
+    first = ([order] if order else []) + [c for c in df.columns if c not in subset and c != order]
+    kept = df.groupBy(*[col_of(c) for c in subset]).agg(F.min(F.struct(*[col_of(c) for c in first])).alias("__kept")) if first else df.select(*[col_of(c) for c in subset]).distinct()
+    return kept.select(*[col_of(c) if c in subset and c != order else F.col("__kept").getField(c).alias(c) for c in df.columns])
 
 
 def outlier_bounds(df: DataFrame, cols=None, k: float = 3.0, lo: float = 0.01, hi: float = 0.10) -> dict[str, tuple]:

@@ -26,6 +26,8 @@ MAX_PIVOTS = 1_024
 PIVOT_BYTES = 32 << 20
 # Share of the squared norms by which the matrix product may misjudge a squared distance.
 ROUNDING = 1e-9
+# Distances a worker holds at once.
+TILE_CELLS = 1 << 22
 
 
 def knn(
@@ -185,6 +187,20 @@ def _chunk(chunks: dict[int, int], name: str):
     return F.pmod(F.xxhash64(name, F.lit(7)), table[F.col("cell")].cast("bigint")).cast("int")
 
 
+def _near(q: np.ndarray, b: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may be among the ``need`` nearest, from strips of at most about ``TILE_CELLS`` distances."""
+    bn, kth, strip = (b ** 2).sum(1), min(need, len(b)) - 1, max(1, TILE_CELLS // len(b))
+    out = []
+    for at in range(0, len(q), strip):
+        part = q[at : at + strip]
+        qn = (part ** 2).sum(1)
+        rough = qn[:, None] + bn[None, :] - 2 * part @ b.T
+        limit = np.partition(rough, kth, axis=1)[:, kth] + 4 * ROUNDING * (qn + bn.max())
+        i, j = np.nonzero(rough <= limit[:, None])
+        out.append((i + at, j))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
 def _best_of(d: int, need: int, vectors: bool):
     """Per block pair: candidates by one matrix product, then exact distances for the near ones."""
 
@@ -193,11 +209,7 @@ def _best_of(d: int, need: int, vectors: bool):
             for row in frame.itertuples(index=False):
                 q = np.asarray(row.qx, dtype=float).reshape(-1, d)
                 b = np.asarray(row.bx, dtype=float).reshape(-1, d)
-                qn, bn = (q ** 2).sum(1), (b ** 2).sum(1)
-                rough = qn[:, None] + bn[None, :] - 2 * q @ b.T
-                kth = min(need, len(b)) - 1
-                limit = np.partition(rough, kth, axis=1)[:, kth] + 4 * ROUNDING * (qn + bn.max())
-                qi, bi = np.nonzero(rough <= limit[:, None])
+                qi, bi = _near(q, b, need)
                 dist = np.sqrt(((q[qi] - b[bi]) ** 2).sum(1))
                 sizes = np.asarray(row.bn)
                 start = np.concatenate([[0], np.cumsum(sizes)[:-1]])

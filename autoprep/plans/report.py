@@ -20,6 +20,9 @@ def report(result) -> DataFrame:
         for item, c in (("rows", "n_rows"), ("columns", "n_columns"))
     ]
     parts.append(result.table.select(F.inline(F.array(*sizes))))
+    parts.append(_rows(spark, "data", {
+        "duplicates removed": result.duplicates_removed, "rows without a target removed": result.null_targets_removed,
+    }))
     if result.target_row:
         t = result.target_row
         parts.append(_rows(spark, "data", {"target": t["name"], "task": result.task, "target values": t["unique_count"]}))

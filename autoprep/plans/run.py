@@ -14,7 +14,7 @@ from ..models.catalog import specs
 from ..models.cluster import kmeans
 from ..models.train import cross_validate, cv_runs, feature_importance, rank, ranked, test_scores
 from ..operators.balance import balance
-from ..operators.clean import fit_quick_clean
+from ..operators.clean import dedup, fit_quick_clean
 from ..operators.metrics import binary_auc, classification_metrics, regression_metrics
 from ..operators.profile import profile_columns, profile_table, target_profile
 from ..operators.split import assign_folds, hash_split, stratified_split
@@ -41,6 +41,9 @@ class RunResult:
     balance_log: DataFrame | None = None
     balance_error: str | None = None
     trained: list = field(default_factory=list)
+    rows_in: int = 0
+    duplicates_removed: int = 0
+    null_targets_removed: int = 0
     runs: DataFrame | None = None
     ranking: DataFrame | None = None
     importance: DataFrame | None = None
@@ -62,24 +65,26 @@ def run(
     force_task: str | None = None,
     config: RunConfig | None = None,
     models: list[str] | None = None,
+    duplicate_columns: list[str] | None = None,
 ) -> RunResult:
     """The whole way for one table. ``key`` names the row; it takes no part in the features.
 
-    Duplicates are removed on all columns but the key's, every fitted value comes from training
-    rows only, and balancing touches the training part only.
+    Rows equal in all columns, the key's included, are one row; with ``duplicate_columns`` those
+    equal in these columns are, and the one with the smallest key stays. What goes, and rows
+    without a target, is counted in the result and the report. Every fitted value comes from
+    training rows only, and balancing touches the training part only.
     """
     config = config or RunConfig()
     if target is not None and target not in df.columns:
         raise KeyError(target)
-    # Rows that differ only in their key are copies; the smallest key stays.
-    others = [c for c in df.columns if c != key]
-    unique = df.groupBy(*[col_of(c) for c in others]).agg(F.min(col_of(key)).alias(key)).select(*[col_of(c) for c in df.columns])
-    clean_target = unique.where(col_of(target).isNotNull()) if target else unique
-    data = cut_lineage(clean_target)
+    unique = cut_lineage(dedup(df, duplicate_columns, key))
+    rows_in, distinct = df.count(), unique.count()
+    data = unique.where(col_of(target).isNotNull()) if target else unique
+    removed = {"rows_in": rows_in, "duplicates_removed": rows_in - distinct, "null_targets_removed": distinct - data.count()}
     quick = fit_quick_clean(data, target).transform(data)
     profile = profile_columns(quick.drop(key), target)
     if target is None:
-        return _without_target(spark, data, key, profile, config)
+        return _without_target(spark, data, key, profile, config, removed)
 
     row = target_profile(data, target)
     facts = row.first().asDict()
@@ -108,7 +113,7 @@ def run(
     test = prep.transform(test_raw, keep=[key, "__label"])
     result = RunResult(
         spark, task, profile_table(df), profile, prep,
-        spark.createDataFrame(prep.actions, "column string, action string"), train, test, facts,
+        spark.createDataFrame(prep.actions, "column string, action string"), train, test, facts, **removed,
     )
 
     balanced = train
@@ -135,6 +140,7 @@ def run(
     usable = [t for t in result.trained if t.model is not None]
     if not usable:
         result.report = report(result)
+        _write(result, key, config)
         return result
     best = usable[0]
     result.best_score = best.cv_mean
@@ -151,6 +157,7 @@ def run(
     result.ensemble_method = config.ensemble_method if len(members) > 1 else "single"
     if tested.isEmpty():
         result.report = report(result)
+        _write(result, key, config)
         return result
     result.best_test_scores = test_scores(best.model, tested, task)
     predicted = cut_lineage(result.artifact.predict(test_raw, keep=["__label"]))
@@ -173,13 +180,13 @@ def _scored(predicted: DataFrame, key: str, task: str, classes: list | None) ->
     return scored(predicted, "__label", "prediction", task, [key])
 
 
-def _without_target(spark, data: DataFrame, key: str, profile: DataFrame, config: RunConfig) -> RunResult:
+def _without_target(spark, data: DataFrame, key: str, profile: DataFrame, config: RunConfig, removed: dict) -> RunResult:
     """No target: prepare every row, cluster, and pick k by silhouette."""
     prep = fit_preparation(data, None, [key], None, config.feature_selection)
     train = cut_lineage(prep.transform(data, keep=[key]))
     clustered, runs = kmeans(train, prep.features, seed=config.seed)
     result = RunResult(spark, "clustering", profile_table(data), profile, prep,
-                       spark.createDataFrame(prep.actions, "column string, action string"), train)
+                       spark.createDataFrame(prep.actions, "column string, action string"), train, **removed)
     result.scored = clustered.select(key, "cluster")
     result.runs = spark.createDataFrame(
         [("KMeans", f'{{"n_clusters": {k}}}', s, 0.0, "ok") for k, s in runs],

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import NULL_TOKENS
@@ -21,8 +22,14 @@ def read_table(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     null_tokens: Iterable[str] | None = NULL_TOKENS,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Scan a file or folder; text null tokens, NaN and infinities become null."""
+    """Scan a file or folder; text null tokens, NaN and infinities become null.
+
+    CSV types are inferred after null tokens have gone, so a number column with ``NA`` stays one.
+    ``multi_line`` reads quoted line breaks, each file in one task: turn it off for huge files that
+    are known to have none, so that they are split.
+    """
     fmt = fmt or FORMATS.get(os.path.splitext(path.rstrip("/"))[1].lower())
     if fmt not in FORMATS.values():
         raise ValueError(f"unsupported format for {path!r}: use one of {sorted(set(FORMATS.values()))}")
@@ -30,10 +37,10 @@ def read_table(
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("quote", '"').option("escape", '"')
-        if schema is None:
-            reader = reader.option("inferSchema", True)
+        reader = reader.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     df = reader.load(path)
+    if fmt == "csv" and schema is None:
+        df = _typed(df, null_tokens)
     out = []
     for f in df.schema.fields:
         c = col_of(f.name)
@@ -45,6 +52,35 @@ def read_table(
     return df.select(*out)
 
 
+# Shapes of typed text, tried in this order.
+SHAPES = (
+    ("int", r"[+-]?\d{1,18}"), ("double", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"), ("boolean", "(?i:true|false)"),
+    ("date", r"\d{4}-\d{2}-\d{2}"), ("timestamp", r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?"),
+)
+
+
+def _typed(df: DataFrame, null_tokens: Iterable[str] | None) -> DataFrame:
+    """Give each text column the first type that fits all its values; one pass over the table decides."""
+    clean = {c: F.trim(null_token_to_null(col_of(c), null_tokens) if null_tokens is not None else col_of(c)) for c in df.columns}
+    counts = []
+    for i, c in enumerate(df.columns):
+        v = clean[c]
+        counts.append(F.count(v).alias(f"n{i}"))
+        for kind, shape in SHAPES:
+            fits = v.rlike(f"^({shape})$") & v.try_cast("bigint" if kind == "int" else kind).isNotNull()
+            counts.append(F.count_if(fits).alias(f"{kind}{i}"))
+        counts.append(F.max(F.abs(v.try_cast("bigint"))).alias(f"max{i}"))
+    row = df.agg(*counts).first()
+    out = []
+    for i, c in enumerate(df.columns):
+        n = row[f"n{i}"]
+        kind = next((k for k, _ in SHAPES if n and row[f"{k}{i}"] == n), None)
+        if kind == "int" and row[f"max{i}"] > 2**31 - 1:
+            kind = "bigint"
+        out.append((clean[c].try_cast(kind) if kind else col_of(c)).alias(c))
+    return df.select(*out)
+
+
 def write_predictions(
     df: DataFrame, path: str, fmt: str = "csv", key_cols: Iterable[str] = (), mode: str = "errorifexists"
 ) -> None:

@@ -27,11 +27,10 @@ TARGETS = (("labels", "toxic"), ("labels", "quality"), ("orders", "o_orderstatus
 
 
 def _profile(df, target=None):
-    """Means and shares are decimal fractions that may lie midway between two roundings, where the
-    engines differ; a nudge takes them off the midpoint."""
+    """Means are decimal fractions that may lie midway between two roundings, where the engines
+    differ; a nudge takes them off the midpoint."""
     out = p.profile_columns(df, target).withColumnRenamed("column", "column_name")
-    share = F.col("unique_count") / F.col("n_rows") + F.lit(1e-9)
-    out = rounded(out.withColumns({"cardinality_ratio": share, "mean_value": F.col("mean_value") + F.lit(1e-9)}))
+    out = rounded(out.withColumns({"mean_value": F.col("mean_value") + F.lit(1e-9)}))
     return out.drop("is_target", "min_ts", "max_ts", "position")
 
 
@@ -188,7 +187,7 @@ def _column_sql(source: str, name: str, kind: str, target: str = "") -> str:
         null_pct, cardinality_ratio, type, {free} and type in ('numeric', 'categorical_numeric') as is_numeric_role,
         {free} and type = 'categorical' as is_categorical_role, {free} and cardinality_ratio > 0.5 as is_high_cardinality,
         {free} and null_pct > 50 as is_high_null
-      from (select *, round_even(nulls * 100.0 / n_rows, 2)::double as null_pct, round(unique_count / n_rows + 1e-9, 6) as cardinality_ratio,
+      from (select *, round_even(nulls * 100.0 / n_rows, 2)::double as null_pct, round_even(unique_count / n_rows, 4)::double as cardinality_ratio,
           case when '{base}' = 'numeric' and unique_count <= 10 then 'categorical_numeric' else '{base}' end as type
         from (select count(*) as n_rows, count(*) - count({name}) as nulls, count(distinct {name}) as unique_count, {stats} from {source}))"""
 

@@ -124,3 +124,11 @@ def test_csv_round_trip(spark, tmp_path):
     assert again.columns[0] == "precio" and again.count() == 2
     with pytest.raises(ValueError):
         read_table(spark, "table.xlsx")
+
+
+def test_csv_with_line_breaks_in_quotes_and_null_tokens(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text('id,note,amount,big,when\n1,"a\nb, ""c""",3,5000000000,2024-01-15\n2,c,NA,7,\n')
+    df = read_table(spark, str(path))
+    assert dict(df.dtypes) == {"id": "int", "note": "string", "amount": "int", "big": "bigint", "when": "date"}
+    assert [(r.id, r.note, r.amount) for r in df.orderBy("id").collect()] == [(1, 'a\nb, "c"', 3), (2, "c", None)]

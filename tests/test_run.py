@@ -25,7 +25,7 @@ def people(spark):
         F.when(income > 80, "baja").otherwise("sigue").alias("estado"),
         (income * 3 + i % 3).alias("gasto"),
     )
-    return df.unionByName(df.where("id < 20").withColumn("id", i + 1000))
+    return df.unionByName(df.where("id < 20"))
 
 
 def test_classification_from_dirty_table_to_stream(spark, people, tmp_path):
@@ -80,3 +80,16 @@ def test_without_target(spark, people):
     assert result.task == "clustering" and result.scored.count() == 400 and result.test is None
     with pytest.raises(KeyError):
         run(spark, people, "id", "nothing")
+
+
+def test_rows_that_differ_in_their_key_stay_and_what_goes_is_counted(spark):
+    df = spark.range(400).select("id", (F.col("id") % 4).cast("double").alias("a"), (F.col("id") % 3).alias("b"), F.when(F.col("id") % 12 < 6, "x").otherwise("y").alias("target"))
+    dirty = df.unionByName(df.where("id < 10")).unionByName(df.where("id < 5").withColumn("id", F.col("id") + 900).withColumn("target", F.lit(None)))
+    config = RunConfig(cv_folds=2, grids=GRIDS)
+    result = run(spark, dirty, "id", "target", config=config, models=["LogisticRegression"])
+    assert (result.rows_in, result.duplicates_removed, result.null_targets_removed) == (415, 10, 5)
+    assert result.train.where("id is not null").count() + result.test.count() == 400
+    items = {r["item"]: r["value"] for r in result.report.collect() if r["section"] == "data"}
+    assert items["duplicates removed"] == "10" and items["rows without a target removed"] == "5"
+    few = run(spark, df, "id", "target", config=config, models=["LogisticRegression"], duplicate_columns=["a", "b", "target"])
+    assert few.duplicates_removed == 388 and few.train.count() + few.test.count() == 12

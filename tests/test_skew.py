@@ -65,3 +65,33 @@ def test_splits_do_not_depend_on_partitions(spark, data, parts):
     for y in (0, 1):
         total = sizes[(y, "test")] + sizes[(y, "train")]
         assert abs(sizes[(y, "test")] - 0.2 * total) <= 1
+
+
+def test_chained_lookups_read_their_input_once(spark, data):
+    source = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey")
+    df = source
+    for i, k in enumerate(["l_orderkey", "l_partkey", "l_suppkey"]):
+        table = source.groupBy(k).agg(F.count(F.lit(1)).alias(f"n{i}"))
+        df = lk.lookup(df, [k], table, [f"n{i}"], weight=f"n{i}", small_rows=0)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # The source, and per lookup the written dictionary for its hot keys and for its join.
+    assert plan.count("Relation [") == 1 + 2 * 3, plan
+    assert df.where("n0 is null or n1 is null or n2 is null").isEmpty()
+
+
+def test_distance_tiles_are_bounded():
+    from autoprep.operators import knn
+
+    rng = np.random.default_rng(1)
+    q, b = rng.normal(size=(50, 3)), rng.normal(size=(70, 3))
+    whole = knn._near(q, b, 4)
+    cells, knn.TILE_CELLS = knn.TILE_CELLS, 150
+    try:
+        tiled = knn._near(q, b, 4)
+    finally:
+        knn.TILE_CELLS = cells
+    assert [x.tolist() for x in whole] == [x.tolist() for x in tiled]
+    for d in (1, 3, 16, 64):
+        for n in (1000, 10**6, 10**9):
+            rows = knn._block_rows(n, d, 8)
+            assert max(1, knn.TILE_CELLS // rows) * rows <= knn.TILE_CELLS
