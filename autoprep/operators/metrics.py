@@ -99,12 +99,15 @@ def clustering_metrics(df: DataFrame, features: str, cluster: str, silhouette: b
     }
     scatter = np.array([spread[i]["scatter"] for i in ids])
     within = sum(spread[i]["within"] for i in ids)
-    apart = np.sqrt(((centers[:, None, :] - centers[None, :, :]) ** 2).sum(-1))
+    # Around the overall mean, so that the squared norms stay small; no k x k x d array.
+    overall = (centers * n[:, None]).sum(0) / n.sum()
+    moved = centers - overall
+    squares = (moved ** 2).sum(1)
+    apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * moved @ moved.T, 0))
     np.fill_diagonal(apart, np.inf)
     with np.errstate(divide="ignore"):
         db = float(((scatter[:, None] + scatter[None, :]) / apart).max(axis=1).mean())
-    overall = (centers * n[:, None]).sum(0) / n.sum()
-    between = float((n * ((centers - overall) ** 2).sum(1)).sum())
+    between = float((n * squares).sum())
     k, total = len(ids), n.sum()
     ch = between * (total - k) / (within * (k - 1)) if within > 0 else None
     sil = None

@@ -381,5 +381,9 @@ def encode_target(df: DataFrame, y: str, classes: list | None = None, new: str =
 
 
 def decode_target(df: DataFrame, pred: str, classes: list, new: str) -> DataFrame:
-    table = F.array(*[F.lit(v) for v in classes])
-    return _replace(df, {}, {new: F.get(table, col_of(pred).cast("int"))})
+    """Positions back to target values; null for positions no class has."""
+    rows = list(enumerate(classes))
+    kind = df.select(F.array(*[F.lit(v) for v in (classes[0], classes[-1])])[0].alias("v")).schema["v"].dataType.simpleString() if classes else "string"
+    table = df.sparkSession.createDataFrame(rows, f"__code int, `{new}` {kind}")
+    joined = df.join(F.broadcast(table), col_of(pred).cast("int") == F.col("__code"), "left")  # at most SMALL_DICTIONARY_ROWS rows
+    return joined.select(*[col_of(c) for c in df.columns if c != new], col_of(new))

@@ -99,8 +99,9 @@ def fit_preparation(
     # The cleaned rows are written once; the passes below then read only the columns they need.
     labelled = train.select(*[col_of(c) for c in raw.columns], *([col_of(label).alias("__y")] if label else []))
     state = cut_lineage(prep.clean(labelled))
-    # Decisions come from their profile: at most one row per column reaches the driver.
-    plan = recommend_columns(profile_columns(state.drop("__y"))).orderBy("position").collect()
+    # Decisions come from their profile: at most one row per column reaches the driver. Sketched distinct
+    # counts will do, as columns near a limit are counted exactly.
+    plan = recommend_columns(profile_columns(state.drop("__y"), approx=True)).orderBy("position").collect()
     prep.actions = [(c, "drop (id)") for c in prep.dropped]
     impute = {r["column"]: r["impute"] for r in plan if r["impute"] in ("mean", "median")}
     rejected = [r["column"] for r in plan if r["impute"] == "drop" or r["encode"] == "drop"]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..operators import clean as c
 from ..operators.detect import detection_table
 from ..operators.profile import duplicate_rows
-from ..sources.tables import preview
+from ..sources.tables import preview, read_table, write_predictions
 from .base import (
     DUCK_DIRTY_ORDERS,
     dirty_orders,
@@ -182,7 +185,21 @@ DETECT_SQL = f"""with o as ({DUCK_DIRTY_ORDERS}),
       union all select 'amount', 'numeric', 'numeric', n, amounts, 0 from n
       union all select 'finished', 'boolean', 'boolean', 0, 0, 0"""
 
+def csv_round_trip(spark, d):
+    """Orders written as CSV, with a quoted line break and null tokens, and read back."""
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}.csv"
+    orders = table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", F.concat_ws("\n", "o_orderstatus", "o_orderpriority").alias("note"),
+        F.when(F.col("o_orderkey") % 7 == 0, "NA").otherwise(F.col("o_custkey").cast("string")).alias("owner"),
+    )
+    write_predictions(orders, path)
+    back = read_table(spark, path)
+    return back.select(*[F.col(c).cast("bigint").alias(c) if c in ("o_orderkey", "o_custkey") else F.col(c) for c in back.columns])
+
+
 QUERIES = {
+    "csv_round_trip": (csv_round_trip, """select o_orderkey, o_custkey, o_totalprice, o_orderstatus || chr(10) || o_orderpriority as note,
+      case when o_orderkey % 7 <> 0 then o_custkey end::int as owner from orders"""),
     "clean_null_tokens": (clean_null_tokens, f"select o_orderkey, {duck_nulls('priority')} as priority from ({DUCK_DIRTY_ORDERS})"),
     "clean_currency": (clean_currency, f"""select o_orderkey, round({CURRENCY}, 6) as money from ({DUCK_DIRTY_ORDERS})
       where (select count(*) filter (where starts_with(money, '$')) * 20 >= count(money) from ({DUCK_DIRTY_ORDERS}))"""),

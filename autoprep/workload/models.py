@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ def _training_table(spark, d, task: str):
         df = df.withColumn("label", F.col("toxic").cast("double"))
         df, key = assign_folds(df, "doc_id", "label", 3), "doc_id"
     else:
-        df, features = table(spark, d, "part"), ["p_partkey", "p_size"]
+        df, features = table(spark, d, "part").withColumn("name_length", F.length("p_name").cast("double")), ["p_size", "name_length"]
         df = assign_folds(df.withColumn("label", F.col("p_retailprice")), "p_partkey", None, 3)
         key = "p_partkey"
     return VectorAssembler(inputCols=features, outputCol="features").transform(df).select(key, "features", "label", "fold"), key, features
@@ -139,11 +139,11 @@ def _balanced(sampler):
 
 
 def kmeans_clusters(spark, d):
-    return kmeans(table(spark, d, "embeddings"), "embedding", [3, 4])[0].select("vec_id", "cluster")
+    return kmeans(table(spark, d, "embeddings"), "embedding")[0].select("vec_id", "cluster")
 
 
 def bisecting_clusters(spark, d):
-    return bisecting_kmeans(table(spark, d, "embeddings"), "embedding", [3, 4])[0].select("vec_id", "cluster")
+    return bisecting_kmeans(table(spark, d, "embeddings"), "embedding")[0].select("vec_id", "cluster")
 
 
 def cluster_silhouette(spark, d):
@@ -158,7 +158,7 @@ def dbscan_clusters(spark, d):
 
 def isolation_scores(spark, d):
     df = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("line"), "l_quantity", "l_extendedprice", "l_discount")
-    return isolation_forest(df, "line", ["l_quantity", "l_extendedprice", "l_discount"], 50, 0.05)
+    return isolation_forest(df, "line", ["l_quantity", "l_extendedprice", "l_discount"], 100, 0.05)
 
 
 def pca_variance(spark, d):
@@ -180,9 +180,21 @@ def run_scored(spark, d):
     return run(spark, table(spark, d, "part"), "p_partkey", "p_retailprice", config=config, models=["LinearRegression", "Ridge"]).scored
 
 
+def run_dedup(spark, d):
+    """What a run counts as removed: equal rows and rows without a target; rows that differ in their key stay."""
+    part = table(spark, d, "part").withColumn("p_retailprice", F.when(F.col("p_partkey") % 11 != 0, F.col("p_retailprice")))
+    dirty = part.unionByName(part.where("p_partkey % 7 = 0")).drop("p_name")
+    result = run(spark, dirty, "p_partkey", "p_retailprice", config=RunConfig(cv_folds=3), models=["LinearRegression"])
+    kept = result.train.count() + result.test.count()
+    return spark.createDataFrame(
+        [(result.rows_in, result.duplicates_removed, result.null_targets_removed, kept)],
+        "rows_in bigint, duplicates_removed bigint, null_targets_removed bigint, kept bigint",
+    )
+
+
 def score_saved(spark, d):
     """Train, store, load and score every document."""
-    folder = f"{shared_folder(spark)}/run-{next(tempfile._get_candidate_names())}"
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
     config = RunConfig(cv_folds=3, grids=SHORT_GRIDS, output_dir=folder, save_model=True)
     df = _features(spark, d)
     run(spark, df, "doc_id", "toxic", config=config, models=["LogisticRegression", "RandomForestClassifier"])
@@ -226,6 +238,8 @@ QUERIES = {
     "dbscan_clusters": (dbscan_clusters, None),
     "isolation_scores": (isolation_scores, None),
     "pca_variance": (pca_variance, None),
+    "run_dedup": (run_dedup, """select count(*) + count(*) filter (where p_partkey % 7 = 0) as rows_in, count(*) filter (where p_partkey % 7 = 0) as duplicates_removed,
+      count(*) filter (where p_partkey % 11 = 0) as null_targets_removed, count(*) filter (where p_partkey % 11 <> 0) as kept from part"""),
     "run_report": (run_report, None),
     "run_scored": (run_scored, None),
     "score_saved": (score_saved, None),

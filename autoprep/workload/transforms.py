@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.lookup import lookup
 from ..operators import transform as tf
 from ..operators.split import hash_split
 from .base import DUCK_GAPPY_EVENTS, duck_hash, gappy_events, rounded, table
@@ -27,6 +28,15 @@ def _impute(method, col="value"):
     return query
 
 
+def encode_large_keys(spark, d):
+    """Frequencies of two large keys, by the lookup that shuffles."""
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    for key, name in (("l_orderkey", "n_order"), ("l_partkey", "n_part")):
+        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+        df = lookup(df, [key], counts, [name], weight=name, small_rows=0)
+    return df
+
+
 def missing_flags(spark, d):
     return tf.missing_flags(gappy_events(spark, d), ["value", "user_id", "event_type"]).drop("value")
 
@@ -194,6 +204,8 @@ QUERIES = {
       select event_id, round(coalesce(m, (select avg(value) from e)), 6) as event_type from e
       left join (select event_type, avg(value) as m from e group by 1) using (event_type)"""),
     "encode_frequency": (encode_frequency, "select o_orderkey, (count(*) over (partition by o_custkey))::double as o_custkey from orders"),
+    "encode_large_keys": (encode_large_keys, """select l_orderkey, l_linenumber, l_partkey, count(*) over (partition by l_orderkey) as n_order,
+      count(*) over (partition by l_partkey) as n_part from lineitem"""),
     "scale_standard": (_scale("standard"), _scale_sql("avg({c})", "stddev_pop({c})")),
     "scale_minmax": (_scale("minmax"), _scale_sql("min({c})", "(max({c}) - min({c}))")),
     "scale_robust": (_scale("robust"), _scale_sql("quantile_cont({c}, 0.5)", "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))")),
