@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -165,6 +166,22 @@ def pca_variance(spark, d):
     return explained_variance(pca(table(spark, d, "embeddings"), "embedding", 0.9)[1], spark)
 
 
+def pca_total(spark, d):
+    """All components together carry the whole variance, and each carries its ratio of it."""
+    out, ratios = pca(table(spark, d, "embeddings"), "embedding", 1.0)
+    parts = out.select(F.posexplode(vector_to_array("components")).alias("i", "v")).groupBy("i").agg(F.var_samp("v").alias("v"))
+    ratio = F.array(*[F.lit(r) for r in ratios])[F.col("i")]
+    total = parts.agg(F.sum("v").alias("total_variance")).first()["total_variance"]
+    return parts.agg(
+        F.round(F.sum("v"), 6).alias("total_variance"), F.count_if(F.abs(F.col("v") - ratio * total) > 1e-9).alias("off")
+    )
+
+
+def silhouette(spark, d):
+    found = clustering_metrics(table(spark, d, "embeddings"), "embedding", "label")
+    return found.select(F.round("silhouette", 6).alias("silhouette"))
+
+
 def _features(spark, d):
     return labelled_documents(spark, d).drop("quality")
 
@@ -238,6 +255,12 @@ QUERIES = {
     "dbscan_clusters": (dbscan_clusters, None),
     "isolation_scores": (isolation_scores, None),
     "pca_variance": (pca_variance, None),
+    "pca_total": (pca_total, """select round(sum(v), 6) as total_variance, 0 as off from (select i, var_samp(x) as v from (
+      select unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings) group by i)"""),
+    "silhouette": (silhouette, f"""with p as (select a.vec_id, a.label = z.label as same, z.label as other, count(*) as n,
+      sum(list_distance(a.embedding::double[], z.embedding::double[]) ** 2) as s from embeddings a cross join embeddings z group by all),
+      own as (select vec_id, s / (n - 1) as a, n from p where same), far as (select vec_id, min(s / n) as b from p where not same group by 1)
+      select round(avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from own join far using (vec_id)"""),
     "run_dedup": (run_dedup, """select count(*) + count(*) filter (where p_partkey % 7 = 0) as rows_in, count(*) filter (where p_partkey % 7 = 0) as duplicates_removed,
       count(*) filter (where p_partkey % 11 = 0) as null_targets_removed, count(*) filter (where p_partkey % 11 <> 0) as kept from part"""),
     "run_report": (run_report, None),
