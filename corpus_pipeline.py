@@ -30,8 +30,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: of each group the document with the smallest id stays, once if its row repeats."""
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id")
-    return _with_ids(docs, kept, "left_semi").dropDuplicates(["doc_id"])
+    kept = saved(simhash_groups(docs).where("doc_id = component_id").select("doc_id"), "kept")
+    out = _with_ids(docs, kept, "left_semi")
+    # Only where rows repeat an id do the texts have to be shuffled for it.
+    repeats = kept.groupBy("doc_id").count().where("count > 1")
+    return out if repeats.isEmpty() else out.dropDuplicates(["doc_id"])
 
 
 def drop_repeated_parts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
