@@ -275,7 +275,8 @@ def target_profile(df: DataFrame, target: str | None) -> DataFrame:
     level = ladder(ratio, BALANCE_LEVELS, "extreme", strict=False)
     remedy = F.create_map(*[F.lit(x) for kv in BALANCE_REMEDY.items() for x in kv])
     quantiles = [F.lit(None).cast("double")] * 3
-    if numeric:
+    # A bounded look at the values tells whether quartiles are wanted at all.
+    if numeric and counts.where("value is not null").limit(REGRESSION_MIN_UNIQUE).count() >= REGRESSION_MIN_UNIQUE:
         q = exact_quantiles(df, [target], [0.25, 0.5, 0.75])[target]
         quantiles = [F.when(regression, F.lit(v).cast("double")) for v in (q or [None] * 3)]
     keep = [F.when(regression, F.col(c)).alias(c) for c in ("min_value", "max_value", "mean_value", "std_value")]

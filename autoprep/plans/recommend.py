@@ -18,54 +18,56 @@ def _dropped():
     return F.col("is_high_null") & F.col("is_numeric_role")
 
 
-def recommend_impute(columns: DataFrame) -> DataFrame:
-    """Numeric columns with gaps: drop above half missing, median when skewed, else mean."""
-    method = (
+def _impute():
+    """Gaps: drop above half missing, median when skewed, else mean."""
+    return (
         F.when(F.col("null_pct") == 0, "none")
         .when(F.col("null_pct") > DROP_NULL_PCT, "drop")
         .when(_skew() > SKEW_MEDIAN, "median")
         .otherwise("mean")
     )
-    return columns.where("is_numeric_role").select("column", method.alias("impute"))
 
 
-def recommend_encode(columns: DataFrame) -> DataFrame:
+def _encode():
     u = F.col("unique_count")
-    method = (
+    return (
         F.when(F.col("is_high_cardinality") & (u > 50), "drop")
         .when(u <= 2, "label")
         .when(u <= 10, "onehot")
         .otherwise("target")
     )
-    return columns.where("is_categorical_role").select("column", method.alias("encode"))
+
+
+def _log1p():
+    return F.coalesce((_skew() > SKEW_ROBUST) & (F.col("min_value") >= 0) & ~_dropped(), F.lit(False))
+
+
+def _scale():
+    return F.when(_dropped(), "none").when(_skew() > SKEW_ROBUST, "robust").otherwise("standard")
+
+
+def recommend_impute(columns: DataFrame) -> DataFrame:
+    return columns.where("is_numeric_role").select("column", _impute().alias("impute"))
+
+
+def recommend_encode(columns: DataFrame) -> DataFrame:
+    return columns.where("is_categorical_role").select("column", _encode().alias("encode"))
 
 
 def recommend_log1p(columns: DataFrame) -> DataFrame:
-    wanted = (_skew() > SKEW_ROBUST) & (F.col("min_value") >= 0) & ~_dropped()
-    return columns.where("is_numeric_role").select("column", F.coalesce(wanted, F.lit(False)).alias("log1p"))
+    return columns.where("is_numeric_role").select("column", _log1p().alias("log1p"))
 
 
 def recommend_scale(columns: DataFrame) -> DataFrame:
-    method = F.when(_dropped(), "none").when(_skew() > SKEW_ROBUST, "robust").otherwise("standard")
-    return columns.where("is_numeric_role").select("column", method.alias("scale"))
+    return columns.where("is_numeric_role").select("column", _scale().alias("scale"))
 
 
 def recommend_columns(columns: DataFrame) -> DataFrame:
     """All four column decisions side by side, evaluated in one pass over the profile rows."""
-    keys = columns.select("position", "column", "type", "is_numeric_role", "is_categorical_role", "is_high_null",
-                          "is_high_cardinality", "null_pct", "unique_count", "skew_value", "min_value")
-    u = F.col("unique_count")
     numeric, text = F.col("is_numeric_role"), F.col("is_categorical_role")
-    return keys.select(
-        "position", "column", "type", "null_pct", "unique_count", "skew_value",
-        F.when(numeric, F.when(F.col("null_pct") == 0, "none").when(F.col("null_pct") > DROP_NULL_PCT, "drop")
-               .when(_skew() > SKEW_MEDIAN, "median").otherwise("mean")).alias("impute"),
-        F.when(text, F.when(F.col("is_high_cardinality") & (u > 50), "drop").when(u <= 2, "label")
-               .when(u <= 10, "onehot").otherwise("target")).alias("encode"),
-        F.when(numeric, F.coalesce((_skew() > SKEW_ROBUST) & (F.col("min_value") >= 0) & ~_dropped(), F.lit(False)))
-        .alias("log1p"),
-        F.when(numeric, F.when(_dropped(), "none").when(_skew() > SKEW_ROBUST, "robust").otherwise("standard"))
-        .alias("scale"),
+    return columns.select(
+        "position", "column", "type", "null_pct", "unique_count", "skew_value", F.when(numeric, _impute()).alias("impute"),
+        F.when(text, _encode()).alias("encode"), F.when(numeric, _log1p()).alias("log1p"), F.when(numeric, _scale()).alias("scale"),
     )
 
 
