@@ -26,6 +26,8 @@ COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 4
 SHORTEST = 5
 #: Benchmark texts searched for in one go: bounds what every task holds.
 ITEMS_AT_ONCE = 5000
+#: Cells of the passages' term marks at once.
+MARKS = 32_000_000
 
 
 def _fold(texts: list[str | None]) -> list[bytes]:
@@ -110,8 +112,14 @@ def _frequencies(encoded: DataFrame, terms: int) -> tuple[np.ndarray, float]:
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(terms + 1)
         for batch in batches:
-            for _, held, _, (passage, term) in _passages(batch.column(0)):
-                out[:terms] += np.bincount(np.unique(passage * terms + term) % terms, minlength=terms)
+            for _, held, first, (passage, term) in _passages(batch.column(0)):
+                # Which passage holds which term, for as many passages at once as fit into the bound.
+                rows = max(1, MARKS // max(1, terms))
+                for at in range(0, int(first[-1]), rows):
+                    low, high = np.searchsorted(passage, (at, at + rows))
+                    marks = np.zeros((min(rows, int(first[-1]) - at), terms), bool)
+                    marks[passage[low:high] - at, term[low:high]] = True
+                    out[:terms] += marks.sum(0)
                 out[terms] += sum(-(-len(c) // PASSAGE) for c in held)
         return out
 
@@ -157,13 +165,29 @@ def latent_space(encoded: DataFrame, idf: np.ndarray, rank: int = RANK, seed: in
     return basis @ vectors[:, np.argsort(-values)[:rank]]
 
 
+def _term_bits(row: np.ndarray, term: np.ndarray, rows: int, terms: int) -> np.ndarray:
+    """One bit per term and row."""
+    bits = np.zeros((rows, terms // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (row, term >> 6), np.uint64(1) << (term & 63).astype(np.uint64))
+    return bits
+
+
+def _shared(bits: np.ndarray, row: np.ndarray, asked: np.ndarray, query: np.ndarray, cells: int = 4_000_000) -> np.ndarray:
+    """Different terms that a row and a query have in common, pair by pair, in bounded strips."""
+    out, strip = np.zeros(len(row), np.int64), max(1, cells // bits.shape[1])
+    for at in range(0, len(row), strip):
+        part = slice(at, at + strip)
+        out[part] = np.bitwise_count(bits[row[part]] & asked[query[part]]).sum(1, dtype=np.int64)
+    return out
+
+
 def subsequence(query: np.ndarray, words: np.ndarray) -> int:
     """Length of the longest common subsequence, a bit per word of the query."""
     places: dict[int, int] = {}
     for i, w in enumerate(query.tolist()):
         places[w] = places.get(w, 0) | 1 << i
     row, full = (1 << len(query)) - 1, (1 << len(query)) - 1
-    for w in words.tolist():
+    for w in words[words > 0].tolist():
         if (hit := places.get(w)) is not None:
             met = row & hit
             row = ((row + met) | (row - met)) & full
@@ -202,7 +226,8 @@ def _leaks(encoded: DataFrame, queries: Queries, idf: np.ndarray, space: np.ndar
     weighted = (idf[:, None] * space).astype(np.float32)
     # A hit keeps PARAPHRASE of a query's words at least: so many of its different words have to be there at all.
     different = [np.unique(c) for c in queries.codes]
-    least = [int(np.ceil(min(PARAPHRASE, COPY) * len(c))) - (len(c) - len(d)) for c, d in zip(queries.codes, different)]
+    least = np.array([int(np.ceil(min(PARAPHRASE, COPY) * len(c))) - (len(c) - len(d)) for c, d in zip(queries.codes, different)])
+    asked = _term_bits(np.repeat(np.arange(len(different)), [len(d) for d in different]), np.concatenate(different) - 1, len(different), len(idf))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,10 +241,19 @@ def _leaks(encoded: DataFrame, queries: Queries, idf: np.ndarray, space: np.ndar
                     vectors[p[starts]] = np.add.reduceat(weighted[t], starts)
                 vectors[:-1] += vectors[1:]
                 size = np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-12)
+                bits = _term_bits(passage, term, int(first[-1]) + 1, len(idf))
+                # What the window of two passages and one more on each side holds: a query lies in it as a whole.
+                wide = bits.copy()
+                wide[1:] |= bits[:-1]
+                wide[:-1] |= bits[1:]
+                wide[:-2] |= bits[2:]
+                bits = wide
                 for at in range(0, len(latent), 1000):
                     cosine = vectors @ latent[at : at + 1000].T / size[:, None]
                     near, query = np.nonzero(cosine >= enough[at : at + 1000])
                     cosine, query = cosine[near, query], query + at
+                    some = _shared(bits, near, asked, query) >= least[query]
+                    near, query, cosine = near[some], query[some], cosine[some]
                     _check(found, rows, held, first, near, query, cosine)
                 for q in blind:
                     hit = np.unique(passage[np.isin(term, queries.codes[q] - 1)])
@@ -240,20 +274,12 @@ def _leaks(encoded: DataFrame, queries: Queries, idf: np.ndarray, space: np.ndar
         doc = np.searchsorted(first, near, "right") - 1
         inside = doc < len(held)
         near, query, cosine, doc = near[inside], query[inside], cosine[inside], doc[inside]
-        present, last, words = np.zeros(len(idf) + 1, bool), -1, np.zeros(0, np.int64)
         for d, w, q, c in zip(doc.tolist(), near.tolist(), query.tolist(), cosine.tolist()):
             old = found.get((rows[d], q))
             if old is not None and old[1] == old[2]:
                 continue
-            if w != last:
-                # The window of two passages and one more on each side: a query lies in it as a whole.
-                present[words] = False
-                start = max(0, w - int(first[d]) - 1) * PASSAGE
-                words = held[d][start : (w - int(first[d]) + 3) * PASSAGE].astype(np.int64)
-                present[words] = True
-                present[0], last = False, w
-            if np.count_nonzero(present[different[q]]) < least[q]:
-                continue
+            start = max(0, w - int(first[d]) - 1) * PASSAGE
+            words = held[d][start : (w - int(first[d]) + 3) * PASSAGE].astype(np.int64)
             codes = queries.codes[q]
             common, kind = _verdict(codes, words, codes[-ANSWER:])
             if kind is not None and (old is None or common > old[1]):
