@@ -25,7 +25,7 @@ def op1_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = repeated_spans(read_table(spark, sf_dir, "documents"))
-    return spans.select("doc_id", "start", "stop", F.col("words").alias("n_words"), "first_doc")
+    return spans.select("doc_id", "start", "stop", F.col("words").alias("n_words"), F.col("first_doc").alias("kept_doc_id"))
 
 
 def op3_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
