@@ -135,13 +135,16 @@ def _near_paragraphs(classes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = saved(docs.join(saved(wanted, "wanted"), ["doc_id", "version"]).select("h", line).dropDuplicates(["h"]), "lines")
     fold = fold_table()
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("h").sort_values(["tile", "h"])
-        ids = group["h"].to_numpy()
+    def similar(ids: list[int], lines: list[str]) -> Iterator[tuple[int, int]]:
         sets = []
-        for text in group["line"]:
+        for text in lines:
             words = [w for w in text.encode().translate(fold).split(b" ") if w]
-            sets.append({tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))})
+            sets.append(set(zip(*(words[i:] for i in range(SHINGLE)))) or {tuple(words)})
+        if len(sets) == 2:
+            common = len(sets[0] & sets[1])
+            if common >= JACCARD * (len(sets[0]) + len(sets[1]) - common) - 1e-9:
+                yield ids[1], ids[0]
+            return
         holders: dict[tuple, list[int]] = {}
         for i, s in enumerate(sets):
             for x in s:
@@ -152,12 +155,30 @@ def _near_paragraphs(classes: DataFrame, docs: DataFrame) -> DataFrame:
                 common[np.ix_(members, members)] += 1
         size = np.array([len(s) for s in sets])
         a, b = np.nonzero(np.triu(common >= JACCARD * (size[:, None] + size[None, :] - common) - 1e-9, 1) & (common > 0))
-        root = linked_labels(len(ids), a, b)
-        moved = root != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+        root = linked_labels(len(ids), a, b).tolist()
+        yield from ((ids[i], ids[r]) for i, r in enumerate(root) if i != r)
 
-    rows = met.join(texts, "h")
-    return rows.groupBy("key", "tile_a", "tile_b").applyInPandas(compare, "a bigint, b bigint").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; most groups are two lines, too small for a frame of their own."""
+        now, ids, lines = None, [], []
+        for batch in batches:
+            out = []
+            for key, tile_a, tile_b, h, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, tile_a, tile_b) != now:
+                    if len(ids) > 1:
+                        out.extend(similar(ids, lines))
+                    now, ids, lines = (key, tile_a, tile_b), [], []
+                ids.append(h)
+                lines.append(line)
+            yield pa.record_batch([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+        if len(ids) > 1:
+            out = list(similar(ids, lines))
+            yield pa.record_batch([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    group = ["key", "tile_a", "tile_b"]
+    rows = met.join(texts, "h").select(*group, "h", "line")
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "h")
+    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
