@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import saved
+from .shared import dropped, released, saved
 from .tiles import meeting_tiles
 from .vectors import linked_labels
 from .words import chain, fold_table, hash_spans, mix, pieces, word_spans
@@ -19,10 +19,13 @@ from .words import chain, fold_table, hash_spans, mix, pieces, word_spans
 SHINGLE, JACCARD = 5, 0.8
 #: Rows and bands: two paragraphs at the threshold miss each other in 1 - (1 - 0.8**3)**8, 3 of 1000 cases.
 ROWS, BANDS = 3, 8
-PARAGRAPH_WORDS, RUN_WORDS = 20, 10
-#: A passage starts where a word pair's hash is the least among so many on either side.
-REACH, PASSAGE_WORDS = 5, 5
+#: Words of the shortest line that is a paragraph, and of the shortest run that counts as repeated.
+PARAGRAPH_WORDS = RUN_WORDS = 10
 TILE_ROWS = 1000
+#: Texts are taken in chunks of neighbouring ids of so many bytes, at least and at most.
+CHUNK_LEAST, CHUNK_MOST, CHUNKS = 1 << 20, 8 << 20, 400
+#: Runs that one group of hashes holds at a time, about.
+BUCKET_RUNS = 1 << 20
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -51,22 +54,6 @@ def _units(which: list[int], parts: list[bytes], fold: bytes) -> Iterator[tuple[
     firsts = np.flatnonzero(new)
     size = np.diff(np.append(firsts, len(h)))
 
-    pair = chain(np.concatenate([h[:1], h[:-1]]), h)
-    cut = ~new
-    for k in range(1, REACH + 1):
-        same = paragraph[k:] == paragraph[:-k]
-        cut[k:] &= ~same | (pair[k:] < pair[:-k])
-        cut[:-k] &= ~same | (pair[:-k] <= pair[k:])
-    begin = np.flatnonzero(cut | new)
-    length = np.diff(np.append(begin, len(h)))
-    last = begin + length - 1
-    keep = length >= PASSAGE_WORDS
-    # A passage reaches up to the next one of its paragraph, so neighbours leave no gap.
-    after = np.append(begin[1:], len(h) - 1)
-    stop = np.where((paragraph[np.minimum(after, len(h) - 1)] == paragraph[begin]) & (last + 1 < len(h)), starts[np.minimum(after, len(h) - 1)], ends[last])
-    if keep.any():
-        yield piece[begin[keep]], np.zeros(keep.sum(), np.int32), starts[begin[keep]], stop[keep], length[keep], _run_hashes(h, begin, length)[keep], None
-
     long = size >= PARAGRAPH_WORDS
     if long.any():
         shingle = h.copy()
@@ -87,7 +74,7 @@ def _units(which: list[int], parts: list[bytes], fold: bytes) -> Iterator[tuple[
 
 
 def _mine(docs: DataFrame) -> DataFrame:
-    """Units of all documents: kind 1 a paragraph (a line) with its bands, kind 0 a passage. Offsets count characters."""
+    """Paragraphs (lines, kind 1) of all documents with their bands. Offsets count characters."""
     fold = fold_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +94,7 @@ def _mine(docs: DataFrame) -> DataFrame:
                 for piece, kind, start, stop, words, h, bands in _units(which.tolist(), parts, fold):
                     at = [chars[x] - chars[bound[piece]] + before[piece] for x in (start, stop)]
                     text = which[piece]
-                    lists = (
-                        pa.array([None] * len(text), pa.list_(pa.int64())) if bands is None
-                        else pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64)))
-                    )
+                    lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64)))
                     yield pa.record_batch(
                         [
                             pa.array(ids[text]), pa.array(versions[text]), pa.array(kind), pa.array(at[0].astype(np.int32)),
@@ -132,7 +116,8 @@ def _near_paragraphs(classes: DataFrame, docs: DataFrame) -> DataFrame:
     met = saved(meeting_tiles(keyed, "key", "h", TILE_ROWS), "met")
     wanted = met.select("h").distinct().join(classes, "h").select("h", "first.doc_id", "first.version", "first.start", "first.stop")
     line = F.expr("substring(text, start + 1, stop - start)").alias("line")
-    texts = saved(docs.join(saved(wanted, "wanted"), ["doc_id", "version"]).select("h", line).dropDuplicates(["h"]), "lines")
+    wanted = saved(wanted, "wanted")
+    texts = saved(docs.join(wanted, ["doc_id", "version"]).select("h", line).dropDuplicates(["h"]), "lines")
     fold = fold_table()
 
     def similar(ids: list[int], lines: list[str]) -> Iterator[tuple[int, int]]:
@@ -178,28 +163,18 @@ def _near_paragraphs(classes: DataFrame, docs: DataFrame) -> DataFrame:
     group = ["key", "tile_a", "tile_b"]
     rows = met.join(texts, "h").select(*group, "h", "line")
     rows = rows.repartition(*group).sortWithinPartitions(*group, "h")
-    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
-
+    links = saved(rows.mapInArrow(compare, "a bigint, b bigint").distinct(), "similar")
+    dropped(keyed, met, wanted, texts)
+    released(docs.sparkSession)
+    return links
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``(doc_id, version, start, stop, words, first_doc)``: parts of texts that repeat an earlier place.
 
-    Paragraphs (lines of at least ``PARAGRAPH_WORDS`` words) whose 5-word shingles are similar to 0.8
-    form classes by connected components. Passages, cut where their own words decide, are equal word
-    runs anywhere; neighbouring ones count as one. Of each class the place with the smallest doc_id
-    and offset stays. Spans of fewer than ``RUN_WORDS`` words are left alone. Offsets are characters,
-    ``stop`` exclusive. ``version`` tells texts of one doc_id apart; equal rows are one document.
-    Null ids and null, empty or blank texts have no spans; an empty table has none; extra columns
-    are ignored.
-    """
-    docs = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string")
-    )
+def _repeated_paragraphs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, version, start, stop, words, first_doc)`` of each line that is not the first of its class."""
     units = saved(_mine(docs), "units")
     place = F.struct("doc_id", "version", "start")
-    lines, runs = units.where("kind = 1"), units.where("kind = 0")
     first = F.min(F.struct("doc_id", "version", "start", "stop", "bands")).alias("first")
-    classes = saved(lines.groupBy("h").agg(first, F.count("*").alias("n")), "paragraphs")
+    classes = saved(units.groupBy("h").agg(first, F.count("*").alias("n")), "paragraphs")
     grouped = saved(components(_near_paragraphs(classes, docs)), "near")
     named = classes.select("h", "n", F.struct("first.doc_id", "first.version", "first.start").alias("first")).join(
         grouped, classes.h == grouped.node, "left"
@@ -207,34 +182,195 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     named = saved(named.select("h", "n", "first", F.coalesce("component", "h").alias("component")), "named")
     owner = named.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("all")).where("all > 1")
     kept = saved(named.join(saved(owner, "owners"), "component").select("h", "keeper"), "keepers")
-    same = runs.groupBy("h").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h", "keeper")
-    same = saved(same, "equal")
-    hits = [part.join(table, "h").where(place != F.col("keeper")) for part, table in ((lines, kept), (runs, same))]
-    found = hits[0].unionByName(hits[1]).select(
-        "doc_id", "version", F.struct("start", "stop", "words", "kind", F.col("keeper.doc_id").alias("first_doc")).alias("span")
+    hits = units.join(kept, "h").where(place != F.col("keeper"))
+    # Equal rows are one document.
+    hits = saved(hits.select("doc_id", "version", "start", "stop", "words", F.col("keeper.doc_id").alias("first_doc")).distinct(), "hits")
+    dropped(units, classes, grouped, named, kept)
+    released(docs.sparkSession)
+    return hits
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of equal bytes, which shrink when they are shuffled."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(packed: list[bytes], kind: str) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(kind).ravel() for b in packed]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows with the same first column, which have to follow one another."""
+    now, held = None, []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for at, end in zip([0, *edges], [*edges, len(keys)]):
+            if at < end:
+                if held and keys[at] != now:
+                    yield now, pa.Table.from_batches(held)
+                    held = []
+                now = int(keys[at])
+                held.append(batch.slice(at, end - at))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+class _Chunk:
+    """Words of the texts of one chunk in the order of their places, and the hash of each run of ``RUN_WORDS``."""
+
+    def __init__(self, rows: pa.Table, fold: bytes):
+        texts, hits = {}, {}
+        for doc, version, text, start, stop, words, first in zip(*(rows[c].to_pylist() for c in PLACED)):
+            if text is not None:
+                texts[doc, version] = text
+            elif start is not None:
+                hits.setdefault((doc, version), []).append((start, stop, words, first))
+        self.names = sorted(texts)
+        self.hits = [sorted(hits.get(name, ())) for name in self.names]
+        parts = [texts[name].encode() for name in self.names]
+        whole = b" ".join(parts)
+        bound = np.cumsum([0, *[len(p) + 1 for p in parts]])
+        starts, ends = word_spans(data := np.frombuffer(whole.translate(fold), np.uint8))
+        h = hash_spans(data, starts, ends)
+        self.doc = np.searchsorted(bound, starts, "right") - 1
+        chars = np.concatenate([[0], np.cumsum((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)])
+        before = chars[bound[:-1]][self.doc]
+        self.start, self.stop = chars[starts] - before, chars[ends] - before
+        # Words of paragraphs that go are no place that could stay.
+        gone = np.zeros(len(h) + 1, np.int64)
+        at = (self.doc << 32) + self.start
+        for d, spans in enumerate(self.hits):
+            for start, stop, *_ in spans:
+                gone[np.searchsorted(at, (d << 32) + start)] += 1
+                gone[np.searchsorted(at, (d << 32) + stop)] -= 1
+        gone = np.concatenate([[0], np.cumsum(np.cumsum(gone)[:-1] > 0)])
+        n = max(0, len(h) - RUN_WORDS + 1)
+        self.at = np.flatnonzero((self.doc[:n] == self.doc[len(h) - n :]) & (gone[RUN_WORDS:][:n] == gone[:n]))
+        two = chain(h[:-1], h[1:])
+        four = chain(two[:-2], two[2:])
+        eight = chain(four[:-4], four[4:])
+        self.run = chain(eight[:n], two[8:][:n])[self.at]
+        self.ids = np.array([name[0] for name in self.names], np.int64)
+
+
+PLACED = ["doc_id", "version", "text", "start", "stop", "words", "first_doc"]
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """``(doc_id, version, start, stop, words, first_doc)``: parts of texts that repeat an earlier place.
+
+    Paragraphs (lines of at least ``PARAGRAPH_WORDS`` words) whose 5-word shingles are similar to 0.8
+    form classes by connected components; of each the place with the smallest doc_id and offset
+    stays. In what is left every run of ``RUN_WORDS`` words, also across line breaks, is compared:
+    the first place of each run stays, and words of a later one go. Overlapping and touching runs are
+    one span. A run that overlaps its own first place, as in a text of one repeated word, is left
+    alone. Offsets are characters, ``stop`` exclusive. ``version`` tells texts of one doc_id apart;
+    equal rows are one document. Null ids and null, empty or blank texts have no spans; an empty
+    table has none; extra columns are ignored.
+
+    Chunks are ranges of doc_id, so a run's first place is in the first chunk that holds it: each chunk
+    sends its different runs once, and gets back those that an earlier one holds.
+    """
+    docs = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string")
     )
-    spans = found.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    hits = _repeated_paragraphs(docs)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = int(total // min(max(total // CHUNKS, CHUNK_LEAST), CHUNK_MOST)) + 1
+    share = [(k + 1) / chunks for k in range(chunks - 1)]
+    bounds = np.array(docs.agg(F.percentile_approx("doc_id", share, 20 * chunks).alias("b")).first()["b"] if share else [], np.int64)
+    # A word has six bytes about.
+    bits = max(1, int(total // (6 * BUCKET_RUNS)).bit_length())
+    fold = fold_table()
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, version, spans in zip(batch["doc_id"], batch["version"], batch["spans"]):
-                held = None
-                for s in spans:
-                    if held is not None and s["start"] <= held[1]:
-                        # A passage inside a paragraph that goes as a whole adds no words.
-                        held[2] += s["words"] if s["stop"] > held[1] else 0
-                        held[1] = max(held[1], s["stop"])
-                    else:
-                        if held is not None:
-                            out.append((doc, version, *held))
-                        held = [s["start"], s["stop"], s["words"], s["first_doc"]]
-                if held is not None:
-                    out.append((doc, version, *held))
-            frame = pd.DataFrame(out, columns=["doc_id", "version", "start", "stop", "words", "first_doc"])
-            yield frame[frame["words"] >= RUN_WORDS]
-
-    return spans.mapInPandas(join, "doc_id bigint, version bigint, start int, stop int, words int, first_doc bigint")
+    @F.pandas_udf("int")
+    def chunk_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64)).astype(np.int32))
+
+    none = [F.lit(None).cast("int").alias(c) for c in ("start", "stop", "words")]
+    rows = docs.select("doc_id", "version", "text", *none, F.lit(None).cast("bigint").alias("first_doc")).unionByName(
+        hits.withColumn("text", F.lit(None).cast("string"))
+    )
+    rows = rows.select(chunk_of("doc_id").alias("chunk"), *PLACED)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, table in _groups(batches):
+            c = _Chunk(table, fold)
+            run, first = np.unique(c.run, return_index=True)
+            docs_of = c.ids[c.doc[c.at[first]]]
+            bucket = (run >> np.uint64(64 - bits)).astype(np.int64)
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(run)] if len(run) else [0]
+            spans = list(zip(edges, edges[1:]))
+            yield pa.record_batch(
+                [
+                    pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([chunk] * len(spans), pa.int32()),
+                    pa.array([_planes(run[a:b]) for a, b in spans], pa.binary()), pa.array([_planes(docs_of[a:b]) for a, b in spans], pa.binary()),
+                ],
+                ["bucket", "chunk", "runs", "firsts"],
+            )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _groups(batches):
+            packed = table["runs"].to_pylist()
+            run, doc = _numbers(packed, "u8"), _numbers(table["firsts"].to_pylist(), "i8")
+            chunk = np.repeat(table["chunk"].to_numpy(), [len(b) // 8 for b in packed])
+            order = np.lexsort((chunk, run))
+            run, doc, chunk = run[order], doc[order], chunk[order]
+            new = np.concatenate([[True], run[1:] != run[:-1]])
+            doc = doc[np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))]
+            later = np.flatnonzero(~new)
+            later = later[np.argsort(chunk[later], kind="stable")]
+            to = chunk[later]
+            edges = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1), len(to)] if len(to) else [0]
+            spans = list(zip(edges, edges[1:]))
+            yield pa.record_batch(
+                [
+                    pa.array([int(to[a]) for a, _ in spans], pa.int32()),
+                    pa.array([_planes(run[later[a:b]]) for a, b in spans], pa.binary()), pa.array([_planes(doc[later[a:b]]) for a, b in spans], pa.binary()),
+                ],
+                ["chunk", "runs", "firsts"],
+            )
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _groups(batches):
+            c = _Chunk(table, fold)
+            known = _numbers([b for b in table["runs"].to_pylist() if b is not None], "u8")
+            owner = _numbers([b for b in table["firsts"].to_pylist() if b is not None], "i8")
+            order = np.argsort(known)
+            known, owner = known[order], owner[order]
+            run, first, which = np.unique(c.run, return_index=True, return_inverse=True)
+            near = np.minimum(np.searchsorted(known, run), max(len(known) - 1, 0))
+            before = known[near] == run if len(known) else np.zeros(len(run), bool)
+            begin = c.at[first]
+            holder = np.where(before, owner[near] if len(known) else 0, c.ids[c.doc[begin]] if len(run) else 0)
+            begin = begin[which]
+            apart = (c.doc[begin] != c.doc[c.at]) | (begin + RUN_WORDS <= c.at)
+            hit = np.flatnonzero(before[which] | apart)
+            at = c.at[hit]
+            new = np.concatenate([[True], (c.doc[at[1:]] != c.doc[at[:-1]]) | (at[1:] > at[:-1] + RUN_WORDS)])[: len(at)]
+            heads = np.flatnonzero(new)
+            lasts = at[np.append(heads[1:], len(at)) - 1] + RUN_WORDS - 1 if len(at) else at
+            out = [
+                (*c.names[d], s, e, n, f)
+                for d, s, e, n, f in zip(
+                    c.doc[at[heads]].tolist(), c.start[at[heads]].tolist(), c.stop[lasts].tolist(),
+                    (lasts - at[heads] + 1).tolist(), holder[which[hit[heads]]].tolist(),
+                )
+            ]
+            out += [(*name, *span) for name, spans in zip(c.names, c.hits) for span in spans]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()])],
+                ["doc_id", "version", "start", "stop", "words", "first_doc"],
+            )
+
+    sent = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(send, "bucket int, chunk int, runs binary, firsts binary")
+    sent = sent.repartition("bucket").sortWithinPartitions("bucket")
+    answers = saved(sent.mapInArrow(answer, "chunk int, runs binary, firsts binary"), "answers")
+    released(docs.sparkSession)
+    both = rows.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk")
+    return both.mapInArrow(mark, "doc_id bigint, version bigint, start int, stop int, words int, first_doc bigint")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -32,6 +32,11 @@ def dropped(*frames: DataFrame) -> None:
                 break
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it finds only when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def local_folder(path: str) -> str:
     """A shared folder as tasks open it: the folder has to be mounted on every executor."""
     if "://" in path and not path.startswith("file:"):

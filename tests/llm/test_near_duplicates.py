@@ -157,6 +157,39 @@ def test_near_paragraphs_embedded_passages_and_edge_cases(rows):
     assert repeated_spans(rows([], "doc_id bigint, text string")).collect() == []
 
 
+def test_exact_repeats_of_ten_words_on_are_found_to_the_word(rows, monkeypatch):
+    """Short lines and passages inside lines, in one chunk and in many."""
+    from autoprep.llm import passages as p
+
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    data, want = [], {}
+    for k, n in enumerate([9, 10, 11, 12, 13, 15, 17, 19, 20, 25, 30, 40, 50, 60] * 3):
+        passage, ahead = words(n), words(7 + k)
+        line = k % 3 == 0
+        data.append((2 * k, "\n".join([" ".join(words(30)), " ".join(passage), " ".join(words(30))]) if line else " ".join([*words(30), *passage, *words(30)])))
+        text = " ".join([*ahead, *passage, *words(8)])
+        data.append((2 * k + 1, text.replace(f" {passage[0]}", f"\n{passage[0]}").replace(f"{passage[-1]} ", f"{passage[-1]}\n") if line else text))
+        if n >= 10:
+            at = len(" ".join(ahead)) + 1
+            want[2 * k + 1] = (at, at + len(" ".join(passage)), n, 2 * k)
+    data.append((1000, " ".join(["again"] * 50)))
+    want[1000] = (60, 299, 40, 1000)
+    docs = rows(data, "doc_id bigint, text string")
+    for least in (p.CHUNK_LEAST, 1000):
+        monkeypatch.setattr(p, "CHUNK_LEAST", least)
+        found = repeated_spans(docs).collect()
+        assert {r.doc_id: (r.start, r.stop, r.words, r.first_doc) for r in found} == want and len(found) == len(want)
+
+
+def test_a_run_whose_first_place_goes_with_its_line_stays_elsewhere(rows):
+    rng = np.random.default_rng(9)
+    line, rest = ([f"u{x}" for x in rng.integers(0, 10**7, n)] for n in (120, 30))
+    near = [*line[:108], *rest[:12]]
+    docs = rows([(1, " ".join(line)), (2, " ".join(near)), (3, " ".join([*rest[12:], *rest[:12]]))], "doc_id bigint, text string")
+    assert [(r.doc_id, r.words) for r in repeated_spans(docs).collect()] == [(2, 120)]
+
+
 def test_bands_recall(spark):
     """Pairs at the threshold meet in some band nearly always."""
     from autoprep.llm import passages as p
