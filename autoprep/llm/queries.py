@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hosts, mixing
+from . import hosts, mixing, prefixes
 from .decontaminate import leaks
 from .kneser import score_documents
 from .language import identify
@@ -61,6 +61,10 @@ def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_gru": op1_byte_gru,
     "op2_paragraph_minhash": op2_paragraph_minhash,
@@ -72,9 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash_pivot": op9_simhash_pivot,
     "op10_importance_resampling": op10_importance_resampling,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op4_host_reputation": hosts.oracle(),
     "op6_temperature_mixing": mixing.oracle(),
+    "op12_prefix_trie": prefixes.oracle(),
 }
