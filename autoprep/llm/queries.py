@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hosts, mixing, prefixes
+from . import hosts, mixing, prefixes, suffixes
 from .decontaminate import leaks
 from .kneser import score_documents
 from .language import identify
@@ -65,6 +65,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeated_bytes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_gru": op1_byte_gru,
     "op2_paragraph_minhash": op2_paragraph_minhash,
@@ -77,10 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_pivot": op9_simhash_pivot,
     "op10_importance_resampling": op10_importance_resampling,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_suffix_array": op13_suffix_array,
 }
 
 ORACLES: dict[str, str] = {
     "op4_host_reputation": hosts.oracle(),
     "op6_temperature_mixing": mixing.oracle(),
     "op12_prefix_trie": prefixes.oracle(),
+    "op13_suffix_array": suffixes.oracle(),
 }
