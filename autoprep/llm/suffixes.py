@@ -19,9 +19,11 @@ from .words import chain, mix
 LENGTH, SEED = 100, 32
 SPAN = LENGTH - SEED + 1
 #: Bytes of text that are looked at together, and of surroundings that are sorted together.
-SLICE, SORTED = 2 << 20, 2 << 20
+SLICE, SORTED = 1 << 20, 2 << 20
 #: Different surroundings of one seed that one task gets; those of more frequent seeds meet string by string.
 CROWD = 4000
+#: Surroundings that a task holds before it passes them on.
+HELD = 20_000
 #: Places of one seed that a slice sends to be counted.
 SENT = 2
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -271,8 +273,13 @@ def _places(docs: DataFrame, buckets: int) -> DataFrame:
                 packs = [pa.array([planes(x[sent[p:q]]) for p, q in spans], pa.binary()) for x in (value, doc, named, placed)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
                 yield pa.record_batch([pa.array(bucket[sent][[p for p, _ in spans]]), *packs, *[pa.nulls(n, t) for t in kinds]], NAMES)
-                rest = np.concatenate([more, gone])
-                flat = [value[rest].view(np.int64), doc[rest], version[rest], start[rest].astype(np.int32), stop[rest].astype(np.int32), np.arange(len(rest)) >= len(more)]
+                gone = gone[np.argsort(low[gone], kind="stable")]
+                new = np.ones(len(gone), bool)
+                new[1:] = low[gone[1:]] > np.maximum.accumulate(high[gone])[:-1]
+                heads = np.flatnonzero(new)
+                ends = np.maximum.reduceat(stop[gone], heads) if len(gone) else stop[gone]
+                rest = np.concatenate([more, gone[heads]])
+                flat = [value[rest].view(np.int64), doc[rest], version[rest], start[rest].astype(np.int32), np.concatenate([stop[more], ends]).astype(np.int32), np.arange(len(rest)) >= len(more)]
                 yield pa.record_batch([pa.array(bucket[rest]), *[pa.nulls(len(rest), pa.binary())] * 4, *map(pa.array, flat)], NAMES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,18 +317,22 @@ def _surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The bytes around each place that strings with its seed can have: ``AROUND``."""
     per_doc = places.groupBy("doc_id", "version").agg(F.collect_list("seed").alias("seeds"), F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
+    names, kinds = [x.split()[0] for x in AROUND.split(", ")], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        before, out = None, []
         for batch in batches:
-            out: list[tuple] = []
             for doc, version, text, *lists in zip(*(batch.column(c) for c in range(6))):
                 doc, version = doc.as_py(), version.as_py()
                 if (doc, version) == before:  # a row that repeats
                     continue
                 before, data = (doc, version), text.as_py().encode()
                 out += [(value, doc, version, start, data[start:stop]) for value, start, stop in zip(*(x.as_py() for x in lists))]
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], [x.split()[0] for x in AROUND.split(", ")])
+                if len(out) >= HELD:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                    out = []
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     joined = docs.join(per_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "seeds", "starts", "stops")
     return joined.mapInArrow(cut, AROUND)
