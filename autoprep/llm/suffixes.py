@@ -251,7 +251,8 @@ def _places(docs: DataFrame, buckets: int) -> DataFrame:
                     continue
                 part = np.searchsorted(bound, at, "right") - 1
                 base = bound[part] - offsets[part]
-                doc, version, value = ids[which[part]], versions[which[part]], h[at]
+                # The least seeds are small numbers: spread them before they are dealt into buckets.
+                doc, version, value = ids[which[part]], versions[which[part]], mix(~h[at])
                 start, stop = low - base, high - base
                 later, first = _copies(data, h, low, at, high, (start, version, doc))
                 # A row that repeats, or the overlap of two parts, has the very same places.
