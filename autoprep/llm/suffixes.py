@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import groups, numbers, planes
-from .shared import saved
+from .shared import dropped, saved
 from .words import chain, mix
 
 #: Bytes of a string that counts as repeated, and of a seed. Every string holds ``SPAN`` seeds.
@@ -25,7 +25,7 @@ CROWD = 4000
 #: Surroundings that a task holds before it passes them on.
 HELD = 20_000
 #: Places of one seed that a slice sends to be counted.
-SENT = 2
+SENT = 4
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -263,14 +263,15 @@ def _places(docs: DataFrame, buckets: int) -> DataFrame:
                 head = np.concatenate([[True], value[order[1:]] != value[order[:-1]]])
                 nth = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
                 known = np.isin(value[order], often)
-                often = np.union1d(often, value[order[nth >= SENT - 1]])
+                full = np.unique(value[order[nth >= SENT - 1]])
+                often = np.union1d(often, full)
                 sent, more = order[(nth < SENT) & ~known], order[(nth >= SENT) | known]
                 bucket = ((value >> np.uint64(32)).astype(np.int64) * buckets >> 32).astype(np.int32)
                 edges = np.searchsorted(bucket[sent], np.arange(buckets + 1))
                 spans = [(int(p), int(q)) for p, q in zip(edges, edges[1:]) if q > p]
                 n = len(spans)
                 named = (version.astype(np.uint64) << np.uint64(24)) | _sides(h, at)
-                placed = (start << 8) | (stop - start)
+                placed = (np.isin(value, full).astype(np.int64) << 48) | (start << 8) | (stop - start)
                 packs = [pa.array([planes(x[sent[p:q]]) for p, q in spans], pa.binary()) for x in (value, doc, named, placed)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
                 yield pa.record_batch([pa.array(bucket[sent][[p for p, _ in spans]]), *packs, *[pa.nulls(n, t) for t in kinds]], NAMES)
@@ -281,7 +282,7 @@ def _places(docs: DataFrame, buckets: int) -> DataFrame:
                 ends = np.maximum.reduceat(stop[gone], heads) if len(gone) else stop[gone]
                 rest = np.concatenate([more, gone[heads]])
                 flat = [value[rest].view(np.int64), doc[rest], version[rest], start[rest].astype(np.int32), np.concatenate([stop[more], ends]).astype(np.int32), np.arange(len(rest)) >= len(more)]
-                yield pa.record_batch([pa.array(bucket[rest]), *[pa.nulls(len(rest), pa.binary())] * 4, *map(pa.array, flat)], NAMES)
+                yield pa.record_batch([pa.array((mix(doc[rest].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)), *[pa.nulls(len(rest), pa.binary())] * 4, *map(pa.array, flat)], NAMES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in groups(batches):
@@ -299,10 +300,9 @@ def _places(docs: DataFrame, buckets: int) -> DataFrame:
                 same = np.zeros(len(value) + 1, bool)
                 same[1:-1] = (value[order[1:]] == value[order[:-1]]) & (side[order[1:]] == side[order[:-1]])
                 hit[order] |= same[1:] | same[:-1]
-            # A seed that a task met more than ``SENT`` times may share a side with what it did not send.
-            more = table.filter(pc.equal(table["gone"], False))["seed"].to_numpy().view(np.uint64)
-            hit |= np.isin(value, more)
-            at = (placed[hit] >> 8).astype(np.int32)
+            # A seed that a slice met ``SENT`` times may share a side with what was not sent.
+            hit |= np.isin(value, value[placed >> 48 > 0])
+            at = (placed[hit] >> 8 & 0xFFFFFFFF).astype(np.int32)
             flat = [value[hit].view(np.int64), doc[hit], (named[hit] >> np.uint64(24)).astype(np.int64), at, at + (placed[hit] & 255).astype(np.int32), np.zeros(len(at), bool)]
             yield pa.record_batch([pa.array(x) for x in flat], FIELDS)
             yield from table.select(FIELDS).filter(pc.is_valid(table["gone"])).to_batches()
@@ -314,6 +314,22 @@ def _places(docs: DataFrame, buckets: int) -> DataFrame:
 AROUND = "seed bigint, doc_id bigint, version bigint, start int, bytes binary"
 
 
+def _travelling(docs: DataFrame) -> DataFrame:
+    """``(doc_id, version, size, data)``: texts as compressed bytes, for they are shuffled."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.encode() for x in batch.column(2).to_pylist()]
+            data = [pa.compress(x, "zstd", asbytes=True) for x in texts]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(x) for x in texts], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "version", "size", "data"])
+
+    return docs.mapInArrow(pack, "doc_id bigint, version bigint, size bigint, data binary")
+
+
+def _unpacked(data: pa.Scalar, size: pa.Scalar) -> bytes:
+    return pa.decompress(data.as_buffer(), size.as_py(), "zstd", asbytes=True) if size.as_py() else b""
+
+
 def _surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The bytes around each place that strings with its seed can have: ``AROUND``."""
     per_doc = places.groupBy("doc_id", "version").agg(F.collect_list("seed").alias("seeds"), F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
@@ -323,11 +339,11 @@ def _surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, out = None, []
         for batch in batches:
-            for doc, version, text, *lists in zip(*(batch.column(c) for c in range(6))):
+            for doc, version, size, data, *lists in zip(*(batch.column(c) for c in range(7))):
                 doc, version = doc.as_py(), version.as_py()
                 if (doc, version) == before:  # a row that repeats
                     continue
-                before, data = (doc, version), text.as_py().encode()
+                before, data = (doc, version), _unpacked(data, size)
                 out += [(value, doc, version, start, data[start:stop]) for value, start, stop in zip(*(x.as_py() for x in lists))]
                 if len(out) >= HELD:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
@@ -335,7 +351,7 @@ def _surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    joined = docs.join(per_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "seeds", "starts", "stops")
+    joined = _travelling(docs).join(per_doc, ["doc_id", "version"]).select("doc_id", "version", "size", "data", "seeds", "starts", "stops")
     return joined.mapInArrow(cut, AROUND)
 
 
@@ -447,6 +463,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     spans = places.where("gone").select(*SPAN_FIELDS).unionByName(_compared(_surroundings(long, left.join(crowds, "seed", "left_anti"))))
     if not crowds.isEmpty():
         spans = spans.unionByName(_one_by_one(_surroundings(long, left.join(crowds, "seed", "left_semi"))))
+    spans = saved(spans, "byte-spans")
+    dropped(places, crowds)
     return spans
 
 
@@ -457,14 +475,14 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
     ``kept_sha256`` is the digest of what stays, joined. A null text counts as empty; a row with a
     null id loses nothing; equal rows have equal results.
     """
-    spans = saved(repeated_bytes(docs), "byte-spans").groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    joined = _texts(docs).join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "starts", "stops")
+    spans = repeated_bytes(docs).groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    joined = _travelling(_texts(docs)).join(spans, ["doc_id", "version"], "left").select("doc_id", "size", "data", "starts", "stops")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, starts, stops in zip(*(batch.column(c) for c in range(4))):
-                data, runs, end = text.as_py().encode(), [], 0
+            for doc, size, data, starts, stops in zip(*(batch.column(c) for c in range(5))):
+                data, runs, end = _unpacked(data, size), [], 0
                 for a, b in sorted(zip(starts.as_py() or (), stops.as_py() or ())):
                     if runs and a <= runs[-1][1]:
                         runs[-1][1] = max(b, runs[-1][1])
