@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hosts, mixing, prefixes, suffixes
+from . import collocations, hosts, mixing, prefixes, suffixes
 from .decontaminate import leaks
 from .kneser import score_documents
 from .language import identify
@@ -61,6 +61,10 @@ def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash_pivot": op9_simhash_pivot,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_stripes": op11_stripes,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_suffix_array": op13_suffix_array,
 }
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_host_reputation": hosts.oracle(),
     "op6_temperature_mixing": mixing.oracle(),
+    "op11_stripes": collocations.oracle(),
     "op12_prefix_trie": prefixes.oracle(),
     "op13_suffix_array": suffixes.oracle(),
 }
