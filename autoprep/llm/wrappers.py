@@ -27,6 +27,13 @@ ASIDE_WORDS = frozenset(
 )
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 MAIN_WORDS = frozenset("article main".split())
+#: Elements that no class or id sets aside, words that say an element lacks or has a part beside it, and
+#: words that may stand beside "related" where it names a list of links.
+WHOLE = frozenset("html body main article".split())
+BESIDE = frozenset("no not has have with without hide hides show shows is".split())
+LINKS = frozenset("area articles block box content container group item items link links list more news pages panel posts products reading section stories story topics videos widget wrapper".split())
+#: Levels of elements that are kept apart; what is nested deeper counts as part of the last of them.
+DEEPEST = 100
 IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>",
@@ -38,25 +45,41 @@ TEMPLATE_PAGES = 5
 SALTS, LONGEST_PERIOD, TABLE_CELLS = 64, 3, 1_000_000
 
 
+def _stands_aside(names: str) -> bool:
+    """Whether a class or an id names a part beside the article: ``sidebar`` or ``site-footer``, not ``has-sidebar`` or ``related-work``."""
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        hit = ASIDE_WORDS.intersection(words)
+        if hit and words[0] not in BESIDE and (hit != {"related"} or LINKS.issuperset(w for w in words if w != "related")):
+            return True
+    return False
+
+
 class Element:
-    """An element of a page: signature, whether it stands aside or is the main part, children or texts."""
+    """An element of a page: signature, whether it stands aside (by its own kind or only by its names) or is the main part, children or texts."""
 
-    __slots__ = ("sig", "name", "aside", "main", "kids")
+    __slots__ = ("sig", "name", "aside", "named", "main", "kids")
 
     def __init__(self, name: str, attributes: str = "") -> None:
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
-        words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
         self.name = name
-        self.sig = name + "".join(f".{c}" for c in sorted(found.get("class", "").split()))
-        self.aside = name in ASIDE or bool(words & ASIDE_WORDS) or found.get("role") in ASIDE_ROLES
+        # Numbers in a class tell one page's element from another's, not one part of a page from another.
+        self.sig = name + "".join(f".{c}" for c in sorted({re.sub(r"[0-9]+", "0", c) for c in found.get("class", "").split()}))
+        self.named = name not in WHOLE and _stands_aside(f"{found.get('class', '')} {found.get('id', '')}")
+        self.aside = name in ASIDE or self.named or found.get("role") in ASIDE_ROLES
         self.main = name in MAIN_WORDS or found.get("role") == "main" or found.get("itemprop") == "articlebody"
         self.kids: list[Element | str] = []
 
 
 def parse(html: str | None) -> Element:
-    """The page as a tree of block elements; inline markup dissolves into the text around it."""
+    """The page as a tree of block elements; inline markup dissolves into the text around it.
+
+    An element that holds an article or main element stands aside by its names only if that is itself
+    inside an aside element. Below ``DEEPEST`` levels elements add to the one they are in.
+    """
     root = Element("#page")
     stack, text = [root], []
+    opened: dict[str, int] = {}  # open elements by name, so that a stray end tag costs nothing
 
     def flush() -> None:
         words = " ".join(unescape("".join(text)).split())
@@ -76,17 +99,26 @@ def parse(html: str | None) -> Element:
             continue
         flush()
         if m[2]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
+            while opened.get(name):
+                last = stack.pop().name
+                opened[last] -= 1
+                if last == name:
                     break
             continue
         while len(stack) > 1 and (stack[-1].name in IMPLIED_END.get(name, ()) or stack[-1].name == "p"):
-            stack.pop()
+            opened[stack.pop().name] -= 1
         child = Element(name, m[4])
-        stack[-1].kids.append(child)
+        if child.main:
+            for holder in stack:
+                if holder.named and holder.name not in ASIDE:
+                    holder.aside = False
+        if len(stack) < DEEPEST:
+            stack[-1].kids.append(child)
+        elif not child.aside:
+            child.kids = stack[-1].kids
         if not m[4].endswith("/") or name not in ("path", "circle", "rect", "line", "use"):
             stack.append(child)
+            opened[name] = opened.get(name, 0) + 1
     text.append(html[at:])
     flush()
     return root
@@ -105,10 +137,6 @@ def pattern_of(node: Element | str) -> list:
     return [node.sig, False, False, [] if node.aside else folded([pattern_of(k) for k in node.kids]), None, kind]
 
 
-def shape(p: list) -> tuple:
-    return p[0], tuple(shape(k) for k in p[3])
-
-
 def folded(parts: list[list]) -> list[list]:
     """Fold tandem repeats, shortest period first: ``p p p`` is ``(p)+`` and ``dt dd dt dd`` is ``(dt dd)+``."""
     for period in range(1, LONGEST_PERIOD + 1):
@@ -276,7 +304,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)``: the article of each page; empty if there is none or html is null.
 
     Pages with a null or unparsable url share the wrapper of the empty host. Unclosed and stray tags
-    are repaired, references decoded, inline markup dissolved. Repeated pages stay repeated rows;
+    are repaired, references decoded, inline markup dissolved; pages of any length and depth are read
+    whole. Which of several equal slots a text fills does not matter. Repeated pages stay repeated rows;
     extra columns are ignored; an empty table gives an empty result.
     """
     host, _ = host_and_path(F.col("url").cast("string"))

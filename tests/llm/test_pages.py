@@ -1,6 +1,8 @@
+import math
 import re
 from html import unescape
 
+import numpy as np
 import pytest
 
 from autoprep.llm import hosts
@@ -96,3 +98,82 @@ def test_a_host_is_blocked_when_its_bound_stays_low(rows):
 @pytest.mark.parametrize("n", [1, 3])
 def test_strength_without_scatter(rows, n):
     assert hosts.prior_strength(rows([(n, 1, 0.5)] * 2, "n bigint, k bigint, p double")) == hosts.STRONGEST
+
+
+def plain_reputation(hosts_of, outcomes, strengths):
+    """Posterior of each host by hand: (a, b) of its beta distribution; strengths of suffixes, domains and hosts are given."""
+    n = {h: sum(x == h for x, _ in outcomes) for h in hosts_of}
+    k = {h: sum(g for x, g in outcomes if x == h) for h in hosts_of}
+    out = {}
+    for h, (domain, suffix) in hosts_of.items():
+        groups = [[x for x in hosts_of if x != h], [x for x, (_, s) in hosts_of.items() if s == suffix and x != h], [x for x, (d, _) in hosts_of.items() if d == domain and x != h]]
+        mean = evidence = None
+        for group, strength in zip(groups, [None, *strengths]):
+            seen, good = sum(n[x] for x in group), sum(k[x] for x in group)
+            if mean is None:
+                mean, evidence = (good / seen if seen else 0.5), seen
+            else:
+                s = max(hosts.WEAKEST, min(strength, evidence))
+                mean, evidence = (good + s * mean) / (seen + s), seen + s
+        s = max(hosts.WEAKEST, min(strengths[2], evidence))
+        out[h] = k[h] + s * mean, n[h] - k[h] + s * (1 - mean)
+    return out
+
+
+def test_reputations_equal_direct_integration(rows, monkeypatch):
+    rng = np.random.default_rng(5)
+    names = {f"h{i}.d{i % 5}.{('com', 'co.uk', 'org')[i % 3]}": (f"d{i % 5}.{('com', 'co.uk', 'org')[i % 3]}", ("com", "co.uk", "org")[i % 3]) for i in range(30)}
+    rate = {h: rng.beta(1, 1) for h in names}
+    outcomes = [(h, int(rng.random() < rate[h])) for i, h in enumerate(names) for _ in range(i % 7 * 3)]
+    strengths, plain = [], hosts.prior_strength
+    monkeypatch.setattr(hosts, "prior_strength", lambda level: strengths.append(plain(level)) or strengths[-1])
+    got = {r.host: r for r in hosts.reputations(rows([(h,) for h in names], "host string"), rows(outcomes, "host string, good int")).collect()}
+    x = (np.arange(200_000) + 0.5) / 200_000
+    for h, (a, b) in plain_reputation(names, outcomes, strengths).items():
+        if min(a, b) < 1:  # the density has no bound there
+            assert got[h].mean == pytest.approx(a / (a + b))
+            continue
+        density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - ((a - 1) * np.log(x) + (b - 1) * np.log1p(-x)).max())
+        density /= density.sum()
+        mean = (density * x).sum()
+        upper = mean + hosts.Z * math.sqrt((density * (x - mean) ** 2).sum())
+        assert got[h].mean == pytest.approx(mean, abs=2e-3) and got[h].upper == pytest.approx(upper, abs=5e-3)
+
+
+def test_suffix_table(rows):
+    df = rows([("a.b.co.uk",), ("co.uk",), ("x.co.uk",), ("www.x.org",), ("x.github.io",)], "host string")
+    got = {r.host: (r.d, r.s) for r in df.select("host", hosts.domain_of(df.host).alias("d"), hosts.suffix_of(df.host).alias("s")).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.co.uk": ("x.co.uk", "co.uk"), "www.x.org": ("x.org", "org"), "x.github.io": ("github.io", "io")}
+    own = df.select("host", hosts.domain_of(df.host, ("github.io",)).alias("d")).where("host = 'x.github.io'").first()
+    assert own.d == "x.github.io"
+
+
+def texts_of(rows, pages):
+    df = rows([(i, f"http://h{h}.com/{i}", page, "x") for i, (h, page) in enumerate(pages)], "page_id bigint, url string, html string, pattern string")
+    return [r.text for r in sorted(extract_text(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_names_of_elements_around_the_article(rows):
+    body = "<article><h1>Title</h1><p>One.</p>{}</article>"
+    pages = [
+        (1, f"<body class='no-sidebar'>{body.format('')}</body>"), (2, f"<div class='content has-sidebar'>{body.format('')}</div>"),
+        (3, body.format("<div class='related-work'><p>Two.</p></div>")), (4, body.format("<div class='related-posts'><p>Not this.</p></div><div class=share>Nor this.</div>")),
+        (5, f"<div class='sidebar-left'>{body.format('')}</div>"), (6, f"<nav>{body.format('')}</nav>"),
+    ]
+    assert texts_of(rows, pages) == ["Title One.", "Title One.", "Title One. Two.", "Title One.", "Title One.", ""]
+
+
+def test_deep_nesting_and_long_pages(rows):
+    deep = "<article>" + "<div><p>x</p>" * 100_000 + "end" + "</div>" * 100_000 + "<aside>no</aside>after</article><p>menu</p>"
+    wide = "<article>" + "".join(f"<p>{i}</p>" for i in range(100_000)) + "</article>"
+    stray = "<article><p>a</p>" + "</section>" * 100_000 + "<p>b</p></article>"
+    got = texts_of(rows, [(1, deep), (2, wide), (3, stray)])
+    assert got[0] == "x " * 100_000 + "end after" and got[1] == " ".join(map(str, range(100_000))) and got[2] == "a b"
+
+
+def test_many_pages_with_classes_of_their_own(rows):
+    pages = [(1, f"<div class='post-{i}'><article class='id{i}'><p>Text {i}.</p></article><div class='x{i}'>more</div></div>") for i in range(2000)]
+    pages[77] = (1, "<article><p>Another shape.</p></article>")
+    assert texts_of(rows, pages) == [f"Text {i}." if i != 77 else "Another shape." for i in range(2000)]
+    wrapper = infer_wrappers(rows([("h", p) for _, p in pages], "host string, html string")).first()
+    assert wrapper.pages == 2000 and len(wrapper.pattern) < 2000
