@@ -99,24 +99,27 @@ def _first_block(diff: np.ndarray, rotation: np.ndarray, slices: list[slice], bu
 def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` over the links of cosine at or above the threshold.
 
-    Vectors that are null or zero, hold null or non-finite components, or differ in length from the
-    most frequent length link with nothing, as do rows with a null vec_id; they stay as rows of
-    their own. Equal vectors are joined before the search and count as links. An empty table gives
-    an empty result; extra columns are ignored.
+    Vectors that are null or zero or hold null or non-finite components link with nothing, as do rows
+    with a null vec_id; they stay as rows of their own. Vectors of different lengths do not link; each
+    length is searched by itself. Equal vectors are joined before the search and count as links. An
+    empty table gives an empty result; extra columns are ignored.
     """
     kind = "f4" if dict(table.dtypes)["embedding"] == "array<float>" else "f8"
     numbers = F.col("embedding").cast("array<double>")
     rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), numbers.alias("embedding"))
-    sizes = rows.where("embedding is not null").groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c"))
-    top = sizes.where("n > 0").orderBy(F.desc("c"), F.desc("n")).first()
-    if top is None:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = top["n"]
     fine = (
-        f"coalesce(vec_id is not null and size(embedding) = {dims} and not exists(embedding, x -> x is null or isnan(x)"
+        "coalesce(vec_id is not null and not exists(embedding, x -> x is null or isnan(x)"
         " or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0), false)"
     )
     good = rows.where(fine)
+    both = rows.where(f"not {fine}").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for r in good.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect():
+        both = both.union(_linked(good.where(F.size("embedding") == r["n"]), kind, r["n"], threshold))
+    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(good: DataFrame, kind: str, dims: int, threshold: float) -> DataFrame:
+    """``(vec_id, n_links, component_id)`` of sound vectors of one length."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +145,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95) -> DataFrame:
         )
     )
     per_rep = saved(per_rep, "classes")
-    linked = good.join(per_rep, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.where(f"not {fine}").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    both = linked.union(alone)
-    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return good.join(per_rep, "embedding").select("vec_id", "n_links", "component_id")
 
 
 def _search(reps: DataFrame, kind: str, rotation: np.ndarray, slices: list[slice], budget: np.ndarray, threshold: float) -> DataFrame:

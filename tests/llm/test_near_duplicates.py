@@ -98,11 +98,12 @@ def test_vectors_equal_brute_force(spark, kind, dims, cap, monkeypatch):
 
 def test_vectors_edge_cases(rows):
     nan, inf = float("nan"), float("inf")
-    data = [(4, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (6, [1e200, 0.0]), (7, [0.0, 0.0]), (8, None), (9, [nan, 1.0]), (10, [inf, 1.0]), (11, [1.0, 0.0, 0.0]), (12, [None, 1.0]), (None, [1.0, 0.0]), (13, [])]
+    data = [(4, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (6, [1e200, 0.0]), (7, [0.0, 0.0]), (8, None), (9, [nan, 1.0]), (10, [inf, 1.0]), (11, [1.0, 0.0, 0.0]), (14, [2.0, 0.0, 0.0]), (15, [1.0] * 5), (16, [1.0] * 4 + [1.1]), (12, [None, 1.0]), (None, [1.0, 0.0]), (13, [])]
     out = near_vectors(rows([(i, e, 1) for i, e in data], "vec_id bigint, embedding array<double>, kept int")).collect()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out}
     assert len(out) == len(data) and got[4] == (3, 2, False) and got[2] == (3, 2, True) and got[6] == (3, 2, False)
-    assert all(got[i] == (0, i, True) for i in (7, 8, 9, 10, 11, 12, 13)) and got[None] == (0, None, True)
+    assert got[11] == (1, 11, True) and got[14] == (1, 11, False) and got[15] == (1, 15, True) and got[16] == (1, 15, False)
+    assert all(got[i] == (0, i, True) for i in (7, 8, 9, 10, 12, 13)) and got[None] == (0, None, True)
     assert near_vectors(rows([], "vec_id bigint, embedding array<double>")).collect() == []
     assert near_vectors(rows([(1, None)], "vec_id bigint, embedding array<double>")).count() == 1
 
