@@ -1,4 +1,4 @@
-"""Numbers packed into binary columns, and rows of a sorted partition taken group by group."""
+"""Numbers and texts packed into binary columns, and rows of a sorted partition taken group by group."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -33,3 +34,20 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
                 held.append(batch.slice(at, end - at))
     if held:
         yield now, pa.Table.from_batches(held)
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, version, text)`` with the texts as compressed bytes, for rows that are shuffled; a null stays null."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if x is None else x.encode() for x in batch.column(2).to_pylist()]
+            packs = [None if x is None else len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in texts]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packs, pa.binary())], ["doc_id", "version", "text"])
+
+    return docs.select("doc_id", "version", "text").mapInArrow(pack, "doc_id bigint, version bigint, text binary")
+
+
+def unsqueezed(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b""

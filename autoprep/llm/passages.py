@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .packed import groups, numbers, planes, squeezed, unsqueezed
 from .shared import dropped, released, saved
 from .tiles import meeting_tiles
 from .vectors import linked_labels
@@ -190,33 +191,6 @@ def _repeated_paragraphs(docs: DataFrame) -> DataFrame:
     return hits
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers as planes of equal bytes, which shrink when they are shuffled."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _numbers(packed: list[bytes], kind: str) -> np.ndarray:
-    parts = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(kind).ravel() for b in packed]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Rows with the same first column, which have to follow one another."""
-    now, held = None, []
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        for at, end in zip([0, *edges], [*edges, len(keys)]):
-            if at < end:
-                if held and keys[at] != now:
-                    yield now, pa.Table.from_batches(held)
-                    held = []
-                now = int(keys[at])
-                held.append(batch.slice(at, end - at))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
 class _Chunk:
     """Words of the texts of one chunk in the order of their places, and the hash of each run of ``RUN_WORDS``."""
 
@@ -229,7 +203,7 @@ class _Chunk:
                 hits.setdefault((doc, version), []).append((start, stop, words, first))
         self.names = sorted(texts)
         self.hits = [sorted(hits.get(name, ())) for name in self.names]
-        parts = [texts[name].encode() for name in self.names]
+        parts = [unsqueezed(texts[name]) for name in self.names]
         whole = b" ".join(parts)
         bound = np.cumsum([0, *[len(p) + 1 for p in parts]])
         starts, ends = word_spans(data := np.frombuffer(whole.translate(fold), np.uint8))
@@ -290,13 +264,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64)).astype(np.int32))
 
     none = [F.lit(None).cast("int").alias(c) for c in ("start", "stop", "words")]
-    rows = docs.select("doc_id", "version", "text", *none, F.lit(None).cast("bigint").alias("first_doc")).unionByName(
-        hits.withColumn("text", F.lit(None).cast("string"))
+    rows = squeezed(docs).select("doc_id", "version", "text", *none, F.lit(None).cast("bigint").alias("first_doc")).unionByName(
+        hits.withColumn("text", F.lit(None).cast("binary"))
     )
     rows = rows.select(chunk_of("doc_id").alias("chunk"), *PLACED)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, table in _groups(batches):
+        for chunk, table in groups(batches):
             c = _Chunk(table, fold)
             run, first = np.unique(c.run, return_index=True)
             docs_of = c.ids[c.doc[c.at[first]]]
@@ -306,15 +280,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [
                     pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([chunk] * len(spans), pa.int32()),
-                    pa.array([_planes(run[a:b]) for a, b in spans], pa.binary()), pa.array([_planes(docs_of[a:b]) for a, b in spans], pa.binary()),
+                    pa.array([planes(run[a:b]) for a, b in spans], pa.binary()), pa.array([planes(docs_of[a:b]) for a, b in spans], pa.binary()),
                 ],
                 ["bucket", "chunk", "runs", "firsts"],
             )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in _groups(batches):
+        for _, table in groups(batches):
             packed = table["runs"].to_pylist()
-            run, doc = _numbers(packed, "u8"), _numbers(table["firsts"].to_pylist(), "i8")
+            run, doc = numbers(packed, "u8"), numbers(table["firsts"].to_pylist(), "i8")
             chunk = np.repeat(table["chunk"].to_numpy(), [len(b) // 8 for b in packed])
             order = np.lexsort((chunk, run))
             run, doc, chunk = run[order], doc[order], chunk[order]
@@ -328,16 +302,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [
                     pa.array([int(to[a]) for a, _ in spans], pa.int32()),
-                    pa.array([_planes(run[later[a:b]]) for a, b in spans], pa.binary()), pa.array([_planes(doc[later[a:b]]) for a, b in spans], pa.binary()),
+                    pa.array([planes(run[later[a:b]]) for a, b in spans], pa.binary()), pa.array([planes(doc[later[a:b]]) for a, b in spans], pa.binary()),
                 ],
                 ["chunk", "runs", "firsts"],
             )
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in _groups(batches):
+        for _, table in groups(batches):
             c = _Chunk(table, fold)
-            known = _numbers([b for b in table["runs"].to_pylist() if b is not None], "u8")
-            owner = _numbers([b for b in table["firsts"].to_pylist() if b is not None], "i8")
+            known = numbers([b for b in table["runs"].to_pylist() if b is not None], "u8")
+            owner = numbers([b for b in table["firsts"].to_pylist() if b is not None], "i8")
             order = np.argsort(known)
             known, owner = known[order], owner[order]
             run, first, which = np.unique(c.run, return_index=True, return_inverse=True)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.quantiles import exact_quantiles
 from .arrays import summed_array
@@ -23,6 +24,7 @@ LABELS = 40_000
 PRIOR, SLACK = 1.0, 1.0
 #: n-grams of the standard text at which log weights of texts of all lengths are compared.
 STANDARD = 1000
+KEYED = (StructField("doc_id", LongType()), StructField("n_grams", LongType()), StructField("log_weight", DoubleType()), StructField("role", IntegerType()))
 
 
 def _features(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -79,8 +81,8 @@ def count_models(docs: DataFrame, roles: dict[int, int]) -> Models:
     return Models(raw.astype(np.float32), target.astype(np.float32), share)
 
 
-def log_weights(docs: DataFrame, models: Models, roles: dict[int, int]) -> DataFrame:
-    """``(doc_id, n_grams, log_weight, role)``: the target's likelihood over the raw model's, for a standard length.
+def weighed(docs: DataFrame, models: Models, roles: dict[int, int]) -> DataFrame:
+    """``(row, doc_id, n_grams, log_weight, role)``: each row and the target's likelihood over the raw model's, for a standard length.
 
     Both models leave the scored document out, so its own rare words speak neither for nor against
     it. Per n-gram, ratios are truncated from above: text that is likelier in the target than in the
@@ -106,10 +108,17 @@ def log_weights(docs: DataFrame, models: Models, roles: dict[int, int]) -> DataF
                 total += np.bincount(owner, times * np.minimum(ratio + SLACK, 0), batch.num_rows)
                 n += np.bincount(owner, times, batch.num_rows).astype(np.int64)
             weight = STANDARD * total / (n + 1)
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(weight), pa.array(role)], ["doc_id", "n_grams", "log_weight", "role"])
+            out = [batch.column(2), batch.column(0), pa.array(n), pa.array(weight), pa.array(role)]
+            yield pa.record_batch(out, ["row", "doc_id", "n_grams", "log_weight", "role"])
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), row)
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *KEYED]))
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id bigint, n_grams bigint, log_weight double, role int")
+
+def log_weights(docs: DataFrame, models: Models, roles: dict[int, int]) -> DataFrame:
+    """``weighed`` without the rows."""
+    return weighed(docs.select("doc_id", "text"), models, roles).drop("row")
 
 
 def cutoff(scored: DataFrame) -> float:
@@ -128,6 +137,11 @@ def cutoff(scored: DataFrame) -> float:
     return float(values[best] if best == 0 else (values[best] + values[best - 1]) / 2)
 
 
+def resampled_rows(docs: DataFrame, labels: DataFrame, keep: int | None = None, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that ``resampled`` draws. Each row is judged by itself, so no text is shuffled."""
+    return _drawn(docs, labels, keep, seed)[1].select("row.*")
+
+
 def resampled(docs: DataFrame, labels: DataFrame, keep: int | None = None, seed: int = 42) -> DataFrame:
     """``(doc_id, n_grams, log_weight, sample_key)`` of the Gumbel top-``keep`` documents.
 
@@ -137,18 +151,24 @@ def resampled(docs: DataFrame, labels: DataFrame, keep: int | None = None, seed:
     are kept together, so ties can only add rows. A null id is a key of its own value. Without
     usable labels nothing is rejected; an empty table gives an empty result.
     """
+    return _drawn(docs, labels, keep, seed)[0].select("doc_id", "n_grams", "log_weight", "sample_key")
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, keep: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The sample's weights as written, and the sample's rows weighed anew."""
     roles = label_sample(labels)
     models = count_models(docs, roles)
     scored = saved(log_weights(docs, models, roles), "log-weights")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    keyed = scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    key = F.col("log_weight") - F.log(-F.log(uniform))
+    both = [scored.withColumn("sample_key", key), weighed(docs, models, roles).withColumn("sample_key", key)]
+    keyed = both[0]
     least = cutoff(scored)
     counts = keyed.agg(F.count("*").alias("n"), F.count_if(F.col("log_weight") >= least).alias("k")).first()
     n, k = counts["n"], counts["k"] if keep is None else min(keep, counts["n"])
-    columns = ("doc_id", "n_grams", "log_weight", "sample_key")
     if k >= n:
-        return keyed.select(*columns)
+        return both[0], both[1]
     if k == 0:
-        return keyed.select(*columns).where("false")
+        return both[0].where("false"), both[1].where("false")
     bound = exact_quantiles(keyed, ["sample_key"], [(n - k - 0.5) / (n - 1)])["sample_key"][0] if n > 1 else -np.inf
-    return keyed.where(F.col("sample_key") >= bound).select(*columns)
+    return both[0].where(F.col("sample_key") >= bound), both[1].where(F.col("sample_key") >= bound)

@@ -42,7 +42,7 @@ def _fingerprint(text: str | None, size: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)``: a bit is 1 if it is set in over half of the text's shingle hashes.
+    """``(doc_id, version, fp)``, version being the text's hash: a bit is 1 if it is set in over half of the text's shingle hashes.
 
     Null, empty and blank texts have the fingerprint 0; a text of fewer words than a shingle is one shingle.
     """
@@ -50,9 +50,10 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [_fingerprint(text.as_py(), size, seed) for text in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["doc_id", "version", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint"), text, F.xxhash64(text).alias("version")).mapInArrow(run, "doc_id bigint, version bigint, fp bigint")
 
 
 def _walsh(size: int) -> list[int]:
@@ -117,7 +118,9 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)``: the smallest doc_id reachable over links of two or fewer bits.
+    """``(doc_id, version, fp, component, component_id)``: the smallest doc_id reachable over links of two or fewer bits.
+
+    ``version`` (hash of the text) and ``component`` (a fingerprint) tell texts and groups apart where ids repeat.
 
     Repeated rows and exact copies share a fingerprint and hence a component. A null doc_id keeps
     its row, with the component of its fingerprint's smallest id (null if there is none). An empty
@@ -132,5 +135,5 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     )
     owner = saved(owner, "owner")
     least = owner.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = saved(owner.join(least, "component").select("fp", "component_id"), "ids")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = saved(owner.join(least, "component").select("fp", "component", "component_id"), "ids")
+    return fps.join(ids, "fp").select("doc_id", "version", "fp", "component", "component_id")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import groups, numbers, planes
+from .packed import groups, numbers, planes, squeezed, unsqueezed
 from .shared import dropped, saved
 from .words import chain, mix
 
@@ -314,22 +314,6 @@ def _places(docs: DataFrame, buckets: int) -> DataFrame:
 AROUND = "seed bigint, doc_id bigint, version bigint, start int, bytes binary"
 
 
-def _travelling(docs: DataFrame) -> DataFrame:
-    """``(doc_id, version, size, data)``: texts as compressed bytes, for they are shuffled."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.encode() for x in batch.column(2).to_pylist()]
-            data = [pa.compress(x, "zstd", asbytes=True) for x in texts]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(x) for x in texts], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "version", "size", "data"])
-
-    return docs.mapInArrow(pack, "doc_id bigint, version bigint, size bigint, data binary")
-
-
-def _unpacked(data: pa.Scalar, size: pa.Scalar) -> bytes:
-    return pa.decompress(data.as_buffer(), size.as_py(), "zstd", asbytes=True) if size.as_py() else b""
-
-
 def _surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The bytes around each place that strings with its seed can have: ``AROUND``."""
     per_doc = places.groupBy("doc_id", "version").agg(F.collect_list("seed").alias("seeds"), F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
@@ -339,11 +323,11 @@ def _surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, out = None, []
         for batch in batches:
-            for doc, version, size, data, *lists in zip(*(batch.column(c) for c in range(7))):
+            for doc, version, text, *lists in zip(*(batch.column(c) for c in range(6))):
                 doc, version = doc.as_py(), version.as_py()
                 if (doc, version) == before:  # a row that repeats
                     continue
-                before, data = (doc, version), _unpacked(data, size)
+                before, data = (doc, version), unsqueezed(text.as_py())
                 out += [(value, doc, version, start, data[start:stop]) for value, start, stop in zip(*(x.as_py() for x in lists))]
                 if len(out) >= HELD:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
@@ -351,7 +335,7 @@ def _surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    joined = _travelling(docs).join(per_doc, ["doc_id", "version"]).select("doc_id", "version", "size", "data", "seeds", "starts", "stops")
+    joined = squeezed(docs).join(per_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "seeds", "starts", "stops")
     return joined.mapInArrow(cut, AROUND)
 
 
@@ -476,13 +460,13 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
     null id loses nothing; equal rows have equal results.
     """
     spans = repeated_bytes(docs).groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    joined = _travelling(_texts(docs)).join(spans, ["doc_id", "version"], "left").select("doc_id", "size", "data", "starts", "stops")
+    joined = squeezed(_texts(docs)).join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "starts", "stops")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, size, data, starts, stops in zip(*(batch.column(c) for c in range(5))):
-                data, runs, end = _unpacked(data, size), [], 0
+            for doc, text, starts, stops in zip(*(batch.column(c) for c in range(4))):
+                data, runs, end = unsqueezed(text.as_py()), [], 0
                 for a, b in sorted(zip(starts.as_py() or (), stops.as_py() or ())):
                     if runs and a <= runs[-1][1]:
                         runs[-1][1] = max(b, runs[-1][1])

@@ -19,7 +19,7 @@ def plain_subsequence(a, b):
 def test_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(200):
-        a, b = rng.integers(0, 6, rng.integers(0, 40)), rng.integers(0, 6, rng.integers(0, 70))
+        a, b = rng.integers(1, 7, rng.integers(0, 40)), rng.integers(1, 7, rng.integers(0, 70))
         assert d.subsequence(a, b) == plain_subsequence(a.tolist(), b.tolist())
 
 
