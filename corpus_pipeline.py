@@ -1,40 +1,47 @@
 """The corpus pipeline: five stages from raw documents to a mixture of sources.
 
-Each stage takes all that its predecessor kept, written as Parquet and read again. A null doc_id is
-no document and is never kept by the stages that decide by id.
+Each stage takes all that its predecessor kept, written as Parquet and read again. Stages decide about
+texts: of two texts under one doc_id each has its own fate, equal rows are one document. A null doc_id is
+no document and goes with the near copies. Null and empty texts, ties, very long texts and extra columns
+are treated as the stages' operators say; extra columns are carried along. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from autoprep.llm.decontaminate import leaks
 from autoprep.llm.mixing import mixed
 from autoprep.llm.passages import without_repeats
-from autoprep.llm.resample import resampled
-from autoprep.llm.shared import read_table, saved
+from autoprep.llm.resample import resampled_rows
+from autoprep.llm.shared import dropped, read_table, saved
 from autoprep.llm.simhash import simhash_groups
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents with (``left_semi``) or without (``left_anti``) the given ids; the ids are written first."""
-    return docs.join(saved(ids.distinct(), "ids"), "doc_id", how).select(*docs.columns)
+def _version() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents outside the importance sample go."""
-    return _with_ids(docs, resampled(docs, read_table(spark, sf_dir, "labels")).select("doc_id"), "left_semi")
+    return resampled_rows(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group the document with the smallest id stays, once if its row repeats."""
-    kept = saved(simhash_groups(docs).where("doc_id = component_id").select("doc_id"), "kept")
-    out = _with_ids(docs, kept, "left_semi")
-    # Only where rows repeat an id do the texts have to be shuffled for it.
-    repeats = kept.groupBy("doc_id").count().where("count > 1")
-    return out if repeats.isEmpty() else out.dropDuplicates(["doc_id"])
+    """SimHash near-dedup: of each group the document with the smallest id stays, once if its row repeats.
+
+    Where that id has several texts in the group, the one with the smallest hash stays.
+    """
+    groups = saved(simhash_groups(docs), "groups").where("doc_id = component_id")
+    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("kept"), F.count("*").alias("n"))
+    kept = saved(kept.select("kept.doc_id", F.col("kept.version").alias("__version"), "n"), "kept")
+    out = docs.withColumn("__version", _version()).join(kept.drop("n"), ["doc_id", "__version"], "left_semi")
+    # Only where a kept row may repeat do the texts have to be shuffled for it.
+    out = out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "__version"])
+    return out.select(*docs.columns)
 
 
 def drop_repeated_parts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +51,10 @@ def drop_repeated_parts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark text go."""
-    return _with_ids(docs, leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id"), "left_anti")
+    keyed = docs.withColumn("__text", F.xxhash64(F.col("doc_id"), _version()))
+    found = leaks(keyed.select(F.col("__text").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    found = saved(found.select(F.col("doc_id").alias("__text")).distinct(), "leaks")
+    return keyed.join(found, "__text", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +75,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
