@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,20 +253,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(total // min(max(total // CHUNKS, CHUNK_LEAST), CHUNK_MOST)) + 1
     share = [(k + 1) / chunks for k in range(chunks - 1)]
-    bounds = np.array(docs.agg(F.percentile_approx("doc_id", share, 20 * chunks).alias("b")).first()["b"] if share else [], np.int64)
+    bounds = docs.agg(F.percentile_approx("doc_id", share, 20 * chunks).alias("b")).first()["b"] if share else []
+    chunk = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
     # A word has six bytes about.
     bits = max(1, int(total // (6 * BUCKET_RUNS)).bit_length())
     fold = fold_table()
 
-    @F.pandas_udf("int")
-    def chunk_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64)).astype(np.int32))
-
     none = [F.lit(None).cast("int").alias(c) for c in ("start", "stop", "words")]
     rows = squeezed(docs).select("doc_id", "version", "text", *none, F.lit(None).cast("bigint").alias("first_doc")).unionByName(
         hits.withColumn("text", F.lit(None).cast("binary"))
     )
-    rows = rows.select(chunk_of("doc_id").alias("chunk"), *PLACED)
+    rows = rows.select(chunk.alias("chunk"), *PLACED)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, table in groups(batches):

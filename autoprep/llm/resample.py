@@ -91,14 +91,16 @@ def weighed(docs: DataFrame, models: Models, roles: dict[int, int]) -> DataFrame
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((models, roles))
-    fold = fold_table()
+    fold, docs_columns = fold_table(), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value
         for batch in batches:
-            role = np.array([known.get(i, 0) for i in batch.column(0).to_pylist()], np.int32)
+            rows = batch.column(0)
+            ids, texts = (rows.field(docs_columns.index(c)).cast(kind) for c, kind in (("doc_id", pa.int64()), ("text", pa.string())))
+            role = np.array([known.get(i, 0) for i in ids.to_pylist()], np.int32)
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for owner, bucket in _features([(t or "").encode().translate(fold) for t in batch.column(1).to_pylist()]):
+            for owner, bucket in _features([(t or "").encode().translate(fold) for t in texts.to_pylist()]):
                 both, times = np.unique(owner.astype(np.int64) * (2 * BUCKETS) + bucket, return_counts=True)
                 owner, bucket = both // (2 * BUCKETS), both % (2 * BUCKETS)
                 share = np.where(bucket < BUCKETS, *m.share)
@@ -108,11 +110,10 @@ def weighed(docs: DataFrame, models: Models, roles: dict[int, int]) -> DataFrame
                 total += np.bincount(owner, times * np.minimum(ratio + SLACK, 0), batch.num_rows)
                 n += np.bincount(owner, times, batch.num_rows).astype(np.int64)
             weight = STANDARD * total / (n + 1)
-            out = [batch.column(2), batch.column(0), pa.array(n), pa.array(weight), pa.array(role)]
+            out = [rows, ids, pa.array(n), pa.array(weight), pa.array(role)]
             yield pa.record_batch(out, ["row", "doc_id", "n_grams", "log_weight", "role"])
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), row)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.mapInArrow(run, StructType([rows.schema["row"], *KEYED]))
 
 
