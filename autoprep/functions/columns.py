@@ -108,3 +108,16 @@ def sketch_distinct(c: Column) -> Column:
     """Distinct count from a mergeable sketch, within about 1 %."""
     sketch = F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(14))
     return F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).cast("bigint")
+
+
+def share(part: Column, whole: Column, digits: int, times: int = 1) -> Column:
+    """``times * part / whole`` of two counts, rounded half to even from the counts themselves; null if ``whole`` is 0.
+
+    A quotient that lies midway between two roundings has no exact double, so engines would differ.
+    """
+    whole = F.nullif(whole.cast("bigint"), F.lit(0))
+    top = part.cast("bigint") * (times * 10**digits)
+    rest = top % whole
+    down = F.round((top - rest) / whole).cast("bigint")
+    up = (rest * 2 > whole) | ((rest * 2 == whole) & (down % 2 == 1))
+    return (down + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(10**digits))

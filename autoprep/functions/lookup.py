@@ -47,8 +47,9 @@ def lookup(
     A table with at most ``small_rows`` rows is broadcast; the size is checked, never assumed.
     A larger one is written once and joined once. The ``HOT_KEYS`` keys with the highest ``weight``
     (rows per key) are answered by a bounded broadcast of digests; their rows, like rows with a
-    null key, get a salt from their own hash, so they spread over the join's tasks and match
-    nothing there. Any key left to it holds less than one in ``HOT_KEYS`` of the rows.
+    null key, get a salt by their position, so they spread over the join's tasks and match nothing
+    there. Key and salt are one column, so that the optimiser cannot take the dictionary's constant
+    salt out of the shuffle. Any key left to it holds less than one in ``HOT_KEYS`` of the rows.
     """
     clash = set(values) & set(df.columns)
     if clash:
@@ -71,12 +72,11 @@ def lookup(
         left = df.select("*", *[_digest(df, k).alias(d) for k, d in zip(keys, digests)]).join(F.broadcast(hot), digests, "left").drop(*digests)
         unanswered = unanswered & F.col("__hot").isNull()
         answers.append("__hot")
-    hashable = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
-    salt = F.when(unanswered, 0).otherwise(F.xxhash64(*[col_of(c) for c in hashable]) % 100_000 - 100_001)
-    asked = [F.when(unanswered, col_of(k)).alias(f"__key{i}") for i, k in enumerate(keys)]
-    left = left.select("*", *asked, salt.cast("int").alias("__salt"))
-    cold = table.select(*[col_of(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.lit(0).alias("__salt"), found.alias("__cold"))
-    joined = left.join(cold, [*[f"__key{i}" for i in range(len(keys))], "__salt"], "left")
+    salt = F.when(unanswered, 0).otherwise(F.monotonically_increasing_id() % 100_000 - 100_001).cast("int")
+    asked = [F.when(unanswered, col_of(k)).alias(f"key{i}") for i, k in enumerate(keys)]
+    left = left.withColumn("__salted", F.struct(*asked, salt.alias("salt")))
+    cold = table.select(F.struct(*[col_of(k).alias(f"key{i}") for i, k in enumerate(keys)], F.lit(0).alias("salt")).alias("__salted"), found.alias("__cold"))
+    joined = left.join(cold, "__salted", "left")
     answer = F.coalesce(*[F.col(a) for a in [*answers, "__cold"]])
     return joined.withColumn("__answer", answer).select(*[col_of(c) for c in df.columns], *[F.col("__answer").getField(v).alias(v) for v in values])
 

@@ -1,4 +1,4 @@
-"""DBSCAN on a grid, exact, without comparing all points of a crowded cell.
+"""DBSCAN on a grid, exact, without comparing all points of a crowded cell; beyond three dimensions by blocks.
 
 Cells have a diagonal of ``eps``, so all points of one cell are neighbours and a cell with
 ``min_samples`` points is all core. What remains — how many points lie near a point of a sparse
@@ -20,6 +20,7 @@ from ..functions.indexing import number_rows
 from ..functions.lineage import cut_lineage
 from ..functions.lookup import lookup
 from ..operators.vectors import as_array
+from .dbscan_blocks import dbscan_blocks
 
 MAX_DIMENSIONS = 3
 # Undecided boxes compare their locations directly once that takes at most this many comparisons
@@ -87,8 +88,8 @@ def dbscan(df: DataFrame, key: str, features, eps: float, min_samples: int) -> D
     if sample is None:
         return df.select(col_of(key).alias("key"), F.lit(-1).cast("bigint").alias("cluster"))
     d = sample["d"]
-    if d > MAX_DIMENSIONS:
-        raise ValueError(f"dbscan handles at most {MAX_DIMENSIONS} dimensions, got {d}: reduce with pca first")
+    if d > MAX_DIMENSIONS:  # a grid has too many neighbouring cells
+        return dbscan_blocks(df, key, features, eps, min_samples)
     if eps <= 0 or min_samples < 1:
         raise ValueError("eps must be positive and min_samples at least 1")
     grid = _Grid(d, float(eps))

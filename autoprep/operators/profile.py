@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,7 @@ from ..functions.columns import (
     is_datetime,
     is_numeric,
     is_text,
+    share,
     sketch_distinct,
 )
 from ..functions.quantiles import exact_quantiles
@@ -28,7 +34,6 @@ from ..functions.quantiles import exact_quantiles
 # An aggregate with more than 100 buffer fields is not compiled. A pass reads only its own
 # columns, so splitting costs no extra input.
 COLUMNS_PER_PASS = 7
-PAIRS_PER_PASS = 12
 
 # Distinct counts the rules compare with; sketches within 10 % of one are recounted exactly.
 UNIQUE_LIMITS = (2, 10, 15, 20, 50)
@@ -104,8 +109,8 @@ def profile_columns(df: DataFrame, target: str | None = None, approx: bool = Fal
     out = facts.join(F.broadcast(distinct), "position")
     counted_number = F.col("base_type").isin("numeric", "boolean")
     out = out.withColumns({
-        "null_pct": F.bround(F.coalesce(F.try_divide(F.col("nulls") * 100.0, F.col("n_rows")), F.lit(0.0)), 2),
-        "cardinality_ratio": F.bround(F.coalesce(F.try_divide(F.col("unique_count"), F.col("n_rows")), F.lit(0.0)), 4),
+        "null_pct": F.coalesce(share(F.col("nulls"), F.col("n_rows"), 2, 100), F.lit(0.0)),
+        "cardinality_ratio": F.coalesce(share(F.col("unique_count"), F.col("n_rows"), 4), F.lit(0.0)),
         "type": F.when(counted_number & (F.col("unique_count") <= CATEGORICAL_NUMERIC_MAX), "categorical_numeric")
         .otherwise(F.col("base_type")),
     })
@@ -188,26 +193,78 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicated_rows"))
 
 
+# Rows that a task sums at once, and groups of tasks whose sums are joined first.
+CORRELATED_ROWS, CORRELATED_SALTS = 4_096, 16
+
+
+def _co_moments(x: np.ndarray) -> np.ndarray:
+    """``[n, mean, m2, co]`` over pairs of columns, each over the rows where both are filled.
+
+    ``mean[i, j]`` and ``m2[i, j]`` are of column i where j is filled too. Values are taken relative
+    to one of their own, so a constant has no variance at all.
+    """
+    filled = np.isfinite(x)
+    first = np.where(filled.any(0), x[filled.argmax(0), np.arange(x.shape[1])], 0.0)
+    y = np.where(filled, x - first, 0.0)
+    n = filled.sum(0)
+    centre = np.where(n > 0, y.sum(0) / np.maximum(n, 1), 0.0)
+    y = np.where(filled, y - centre, 0.0)
+    m = filled.astype(float)
+    n, s, q, p = m.T @ m, y.T @ m, (y * y).T @ m, y.T @ y
+    some = np.maximum(n, 1)
+    return np.stack([n, (first + centre)[:, None] + s / some, q - s * s / some, p - s * s.T / some])
+
+
+def _joined_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Co-moments of two sets of rows from those of each."""
+    n = a[0] + b[0]
+    some = np.maximum(n, 1)
+    gap = np.where((a[0] > 0) & (b[0] > 0), b[1] - a[1], 0.0)
+    mean = np.where(a[0] > 0, a[1] + gap * b[0] / some, b[1])
+    weight = a[0] * b[0] / some
+    return np.stack([n, mean, a[2] + b[2] + gap * gap * weight, a[3] + b[3] + gap * gap.T * weight])
+
+
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson r per column pair over the rows where both are filled; null for constants."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    values = {c: _clean_value(df, c).cast("double") for c in cols}
-    out = df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start:start + PAIRS_PER_PASS]
-        facts = []
-        for i, (a, b) in enumerate(part):
-            x, y = values[a], values[b]
-            facts += [F.covar_pop(x, y).alias(f"c{i}"),
-                      F.var_pop(F.when(y.isNotNull(), x)).alias(f"x{i}"),
-                      F.var_pop(F.when(x.isNotNull(), y)).alias(f"y{i}")]
-        rows = df.agg(*facts).select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-                     F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"x{i}")) * F.sqrt(F.col(f"y{i}"))).alias("r"))
-            for i, (a, b) in enumerate(part)
-        ])))
-        out = rows if start == 0 else out.unionByName(rows)
-    return out
+    """Pearson r per column pair over the rows where both are filled; null for constants.
+
+    One scan: tasks hold the co-moments of all pairs as arrays, which are joined in two steps.
+    """
+    width = len(cols)
+    kind = "salt int, moments binary"
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+            for at in range(0, len(x), CORRELATED_ROWS):
+                total = _joined_moments(total, _co_moments(x[at : at + CORRELATED_ROWS]))
+        salt = TaskContext.get().partitionId() % CORRELATED_SALTS
+        yield pa.record_batch([pa.array([salt], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["salt", "moments"])
+
+    def gathered(group: pa.Table) -> np.ndarray:
+        total = np.zeros((4, width, width))
+        for part in sorted(group.column("moments").to_pylist()):
+            total = _joined_moments(total, np.frombuffer(part).reshape(4, width, width))
+        return total
+
+    def together(group: pa.Table) -> pa.Table:
+        return pa.table({"salt": group.column("salt").slice(0, 1), "moments": pa.array([gathered(group).tobytes()], pa.binary())})
+
+    def pairs(group: pa.Table) -> pa.Table:
+        n, _, m2, co = gathered(group)
+        i, j = np.triu_indices(width, 1)
+        spread = np.sqrt(m2[i, j]) * np.sqrt(m2[j, i])
+        fine = (n[i, j] > 0) & (spread > 0)
+        r = np.divide(co[i, j], spread, out=np.zeros(len(i)), where=fine)
+        return pa.table({"col1": pa.array([cols[k] for k in i], pa.string()), "col2": pa.array([cols[k] for k in j], pa.string()), "r": pa.array(r, mask=~fine)})
+
+    if width < 2:
+        return df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
+    rows = df.select(*[_clean_value(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = rows.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).mapInArrow(sums, kind)
+    parts = parts.groupBy("salt").applyInArrow(together, kind)
+    return parts.groupBy((F.col("salt") * 0).alias("all")).applyInArrow(pairs, "col1 string, col2 string, r double")
 
 
 def high_corr_pairs(corr: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -227,7 +284,7 @@ def target_distribution(df: DataFrame, target: str) -> DataFrame:
     counts = _target_counts(df, target)
     total = df.agg(F.count(F.lit(1))).scalar()
     return counts.where(F.col("value").isNotNull()).select(
-        F.col("value").cast("string").alias("value"), "n", F.bround(F.col("n") * 100.0 / total, 2).alias("pct")
+        F.col("value").cast("string").alias("value"), "n", share(F.col("n"), total, 2, 100).alias("pct")
     )
 
 
@@ -269,7 +326,7 @@ def target_profile(df: DataFrame, target: str | None) -> DataFrame:
     else:
         none = F.lit(None).cast("double")
         one = one.withColumns({"mean_value": none, "std_value": none})
-    pct = F.bround(F.col("majority_count") * 100.0 / F.col("n_rows"), 2)
+    pct = share(F.col("majority_count"), F.col("n_rows"), 2, 100)
     ratio = F.col("minority_count") / F.col("majority_count")
     regression = F.lit(numeric) & (F.col("unique_count") >= REGRESSION_MIN_UNIQUE)
     level = ladder(ratio, BALANCE_LEVELS, "extreme", strict=False)
@@ -287,7 +344,7 @@ def target_profile(df: DataFrame, target: str | None) -> DataFrame:
         F.when(regression, "regression").otherwise("classification").alias("task_type"),
         (~regression & (F.col("unique_count") >= 15)).alias("high_cardinality_warning"),
         *keep, *[q.alias(k) for q, k in zip(quantiles, ("p25", "p50", "p75"))],
-        F.when(~regression, F.bround(ratio, 4)).alias("balance_ratio"),
+        F.when(~regression, share(F.col("minority_count"), F.col("majority_count"), 4)).alias("balance_ratio"),
         F.when(~regression, level).alias("balance_level"),
         ((pct > 60) & F.col("majority_value").isin(*SENTINELS)).alias("sentinel_majority"),
     )

@@ -54,7 +54,7 @@ def read_table(
 
 # Shapes of typed text, tried in this order.
 SHAPES = (
-    ("int", r"[+-]?\d{1,18}"), ("double", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"), ("boolean", "(?i:true|false)"),
+    ("int", r"[+-]?\d{1,19}"), ("double", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"), ("boolean", "(?i:true|false)"),
     ("date", r"\d{4}-\d{2}-\d{2}"), ("timestamp", r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?"),
 )
 
@@ -69,14 +69,19 @@ def _typed(df: DataFrame, null_tokens: Iterable[str] | None) -> DataFrame:
         for kind, shape in SHAPES:
             fits = v.rlike(f"^({shape})$") & v.try_cast("bigint" if kind == "int" else kind).isNotNull()
             counts.append(F.count_if(fits).alias(f"{kind}{i}"))
-        counts.append(F.max(F.abs(v.try_cast("bigint"))).alias(f"max{i}"))
+        whole = v.try_cast("bigint")
+        counts.append(F.count_if((whole > 2**31 - 1) | (whole < -(2**31))).alias(f"wide{i}"))
+        # Whole numbers beyond 64 bits are keys: as doubles, different ones would become one.
+        counts.append(F.count_if(v.rlike(r"^[+-]?\d{16,}$") & whole.isNull()).alias(f"long{i}"))
     row = df.agg(*counts).first()
     out = []
     for i, c in enumerate(df.columns):
         n = row[f"n{i}"]
         kind = next((k for k, _ in SHAPES if n and row[f"{k}{i}"] == n), None)
-        if kind == "int" and row[f"max{i}"] > 2**31 - 1:
+        if kind == "int" and row[f"wide{i}"]:
             kind = "bigint"
+        if kind == "double" and row[f"long{i}"]:
+            kind = None
         out.append((clean[c].try_cast(kind) if kind else col_of(c)).alias(c))
     return df.select(*out)
 

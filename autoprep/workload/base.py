@@ -21,6 +21,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     ])
 
 
+def share_sql(part: str, whole: str, digits: int, times: int = 1) -> str:
+    """``times * part / whole`` of two counts, rounded half to even from the counts."""
+    top = f"(({part}) * {times * 10**digits})"
+    left = f"2 * ({top} % ({whole}))"
+    up = f"case when {left} > ({whole}) or ({left} = ({whole}) and {top} // ({whole}) % 2 = 1) then 1 else 0 end"
+    return f"(({top} // ({whole}) + {up})::double / {10**digits})"
+
+
 # Dirty views of the clean tables: the same values in Spark and in the SQL of the check.
 SPARK_DIRTY_ORDERS = [
     "o_orderkey",

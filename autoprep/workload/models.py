@@ -157,6 +157,10 @@ def dbscan_clusters(spark, d):
     return dbscan(df, "p_partkey", ["size", "price"], 0.05, 5)
 
 
+def dbscan_embeddings(spark, d):
+    return dbscan(table(spark, d, "embeddings"), "vec_id", "embedding", EPS, 4).select(F.col("key").alias("vec_id"), "cluster")
+
+
 def isolation_scores(spark, d):
     df = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("line"), "l_quantity", "l_extendedprice", "l_discount")
     return isolation_forest(df, "line", ["l_quantity", "l_extendedprice", "l_discount"], 100, 0.05)
@@ -222,6 +226,8 @@ _D = "round(list_distance(a.embedding::double[], z.embedding::double[]), 9)"
 NEAR = f"""(select a.vec_id, a.label, z.vec_id as neighbor, z.label as neighbor_label, list_distance(a.embedding::double[], z.embedding::double[]) as distance,
     row_number() over (partition by a.vec_id order by {_D}, z.vec_id) as place from embeddings a join embeddings z on a.vec_id <> z.vec_id)"""
 
+EPS = 1.12
+
 QUERIES = {
     "knn_exact": (knn_exact, f"select vec_id, neighbor, round(distance, 5) as distance, place::int as place from {NEAR} where place <= 5"),
     "knn_tags": (knn_tags, f"select vec_id, count(*) filter (where label = neighbor_label) as same_label from {NEAR} where place <= 3 group by 1"),
@@ -233,8 +239,9 @@ QUERIES = {
       r as (select n.vec_id, 1 / (avg(greatest(n.distance, k.kd)) + 1e-10) as lrd from n join k on k.vec_id = n.neighbor group by 1)
       select n.vec_id, round(avg(z.lrd) / any_value(r.lrd), 5) as lof, avg(z.lrd) / any_value(r.lrd) > 1.5 as is_outlier
       from n join r on r.vec_id = n.vec_id join r z on z.vec_id = n.neighbor group by 1"""),
-    "tomek_links": (tomek_links, f"""with n as materialized (select * from {NEAR} where place = 1) select x.vec_id as a, x.neighbor as b from n x join n y
-      on y.vec_id = x.neighbor and y.neighbor = x.vec_id where x.label <> x.neighbor_label and x.vec_id < x.neighbor"""),
+    "tomek_links": (tomek_links, f"""with n as materialized (select a.vec_id, any_value(a.label) as label, min({{'d': {_D}, 'id': z.vec_id, 'label': z.label}}) as near
+        from embeddings a join embeddings z on a.vec_id <> z.vec_id group by a.vec_id)
+      select x.vec_id as a, x.near.id as b from n x join n y on y.vec_id = x.near.id and y.near.id = x.vec_id where x.label <> x.near.label and x.vec_id < x.near.id"""),
     "enn_keep": (enn_keep, f"""select vec_id, any_value((label >= 2)::int) as side from {NEAR} where place <= 3 group by 1
       having count(*) filter (where (label >= 2) <> (neighbor_label >= 2)) = 0"""),
     "linear_fit": (linear_fit, "select round(regr_slope(l_extendedprice, l_quantity), 5) as slope, round(regr_intercept(l_extendedprice, l_quantity), 3) as intercept from lineitem"),
@@ -253,6 +260,14 @@ QUERIES = {
     "bisecting_clusters": (bisecting_clusters, None),
     "cluster_silhouette": (cluster_silhouette, None),
     "dbscan_clusters": (dbscan_clusters, None),
+    "dbscan_embeddings": (dbscan_embeddings, f"""with recursive near as materialized (select a.vec_id as a, z.vec_id as b from embeddings a join embeddings z on {_D} <= {EPS}),
+      core as materialized (select a as id from near group by a having count(*) >= 4),
+      reach(id, root) as (select id, id from core union select n.b, r.root from reach r join near n on n.a = r.id join core c on c.id = n.b where r.root < n.b),
+      lowest as (select id, min(root) as root from reach group by id),
+      numbered as (select root, row_number() over (order by root) - 1 as cluster from (select distinct root from lowest)),
+      found as (select e.vec_id, coalesce(min(l.root) filter (l.id = e.vec_id), min(l.root)) as root from embeddings e
+        left join near n on n.a = e.vec_id left join lowest l on l.id = n.b group by e.vec_id)
+      select vec_id, coalesce(cluster, -1) as cluster from found left join numbered using (root)"""),
     "isolation_scores": (isolation_scores, None),
     "pca_variance": (pca_variance, None),
     "pca_total": (pca_total, """select round(sum(v), 6) as total_variance, 0 as off from (select i, var_samp(x) as v from (

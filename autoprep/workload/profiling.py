@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import profile as p
 from ..plans import recommend as rec
 from ..sources.tables import describe_schema
-from .base import DUCK_GAPPY_EVENTS, gappy_events, labelled_documents, rounded, table
+from .base import DUCK_GAPPY_EVENTS, gappy_events, labelled_documents, rounded, share_sql, table
 
 # Column names and kinds of the profiled tables, as the SQL side needs them.
 LINEITEM = {
@@ -187,7 +187,7 @@ def _column_sql(source: str, name: str, kind: str, target: str = "") -> str:
         null_pct, cardinality_ratio, type, {free} and type in ('numeric', 'categorical_numeric') as is_numeric_role,
         {free} and type = 'categorical' as is_categorical_role, {free} and cardinality_ratio > 0.5 as is_high_cardinality,
         {free} and null_pct > 50 as is_high_null
-      from (select *, round_even(nulls * 100.0 / n_rows, 2)::double as null_pct, round_even(unique_count / n_rows, 4)::double as cardinality_ratio,
+      from (select *, {share_sql("nulls", "n_rows", 2, 100)} as null_pct, {share_sql("unique_count", "n_rows", 4)} as cardinality_ratio,
           case when '{base}' = 'numeric' and unique_count <= 10 then 'categorical_numeric' else '{base}' end as type
         from (select count(*) as n_rows, count(*) - count({name}) as nulls, count(distinct {name}) as unique_count, {stats} from {source}))"""
 
@@ -267,21 +267,21 @@ QUERIES = {
     "target_profiles": (target_profiles, f"""select name, n_rows, unique_count, majority_value, majority_count, minority_count,
         pct as majority_pct, case when pct > 80 then 'extreme' when pct > 60 then 'severe' when pct > 40 then 'moderate' else 'normal' end
           as concentration_level, task_type, task_type = 'classification' and unique_count >= 15 as high_cardinality_warning,
-        round_even(ratio, 4)::double as balance_ratio, balance_level, case balance_level when 'balanced' then 'none' when 'mild' then 'class_weight'
+        case when ratio is not null then {share_sql("minority_count", "majority_count", 4)} end as balance_ratio, balance_level, case balance_level when 'balanced' then 'none' when 'mild' then 'class_weight'
           when 'moderate' then 'smote' when 'severe' then 'smote_enn' when 'extreme' then 'adasyn' end as balance_strategy,
         balance_level <> 'balanced' as use_weighted_metrics,
         pct > 60 and majority_value in ('0', '0.0', '-1', 'NaN', 'None', '') as sentinel_majority
-      from (select *, round_even(majority_count * 100.0 / n_rows, 2)::double as pct from ({TARGET_SQL}))"""),
+      from (select *, {share_sql("majority_count", "n_rows", 2, 100)} as pct from ({TARGET_SQL}))"""),
     "target_regression": (target_regression, """select 'l_extendedprice' as name, count(distinct l_extendedprice) as unique_count, 'regression' as task_type,
       min(l_extendedprice) as min_value, max(l_extendedprice) as max_value, round(avg(l_extendedprice), 6) as mean_value,
       round(stddev_samp(l_extendedprice), 6) as std_value, round(quantile_cont(l_extendedprice, 0.25), 6) as p25,
       round(quantile_cont(l_extendedprice, 0.5), 6) as p50, round(quantile_cont(l_extendedprice, 0.75), 6) as p75 from lineitem"""),
     "target_distribution": (target_distribution, " union all ".join(
-        f"""select '{c}' as name, {c}::varchar as value, count(*) as n, round_even(count(*) * 100.0 / (select count(*) from {t}), 2)::double as pct
+        f"""select '{c}' as name, {c}::varchar as value, count(*) as n, {share_sql('count(*)', f'select count(*) from {t}', 2, 100)} as pct
           from {t} where {c} is not null group by 2""" for t, c in TARGETS)),
     "target_top_values": (target_top_values, """select l_extendedprice::varchar as value, count(*) as n from lineitem
       group by l_extendedprice order by n desc, l_extendedprice limit 5"""),
-    "target_from_features": (target_from_features, f"""select name, n_rows, round_even(ratio, 4)::double as balance_ratio, balance_level
+    "target_from_features": (target_from_features, f"""select name, n_rows, case when ratio is not null then {share_sql("minority_count", "majority_count", 4)} end as balance_ratio, balance_level
       from ({_target_sql('labels join documents using (doc_id)', 'toxic')})"""),
     "plan_columns": (plan_columns, f"""select column_name, type, null_pct, unique_count, skew_value,
         case when is_numeric_role then case when null_pct = 0 then 'none' when null_pct > 50 then 'drop'

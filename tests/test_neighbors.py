@@ -100,11 +100,6 @@ def test_dbscan_equals_brute_force(spark, monkeypatch, d, direct):
     assert sorted(set(got[core])) == list(range(len(set(got[core]))))
 
 
-def test_dbscan_refuses_many_dimensions(spark):
-    with pytest.raises(ValueError):
-        dbscan(frame(spark, np.zeros((3, 4))), "id", "x", 1.0, 2)
-
-
 def test_isolation_forest_finds_the_far_point(spark):
     x = np.random.default_rng(5).normal(size=(400, 2))
     x[3] = 12.0
@@ -159,3 +154,45 @@ def test_small_classes_and_passthrough(spark, uneven):
         b.smote(one, "id", ["a", "b"], "y")
     with pytest.raises(ValueError):
         b.balance(uneven, "id", ["a", "b"], "y", "other")
+
+
+def plain_dbscan(x, eps, least):
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
+    core = near.sum(1) >= least
+    label = np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            todo, label[i] = [i], label.max() + 1
+            while todo:
+                p = todo.pop()
+                for q in np.flatnonzero(near[p] & core & (label < 0)):
+                    label[q] = label[i]
+                    todo.append(q)
+    for i in np.flatnonzero(~core):
+        reached = label[near[i] & core]
+        label[i] = reached.min() if len(reached) else -1
+    return label
+
+
+@pytest.mark.parametrize("d, block", [(64, 2_048), (5, 40)])
+def test_dbscan_in_many_dimensions_equals_brute_force(spark, monkeypatch, d, block):
+    from autoprep.models import dbscan_blocks
+
+    monkeypatch.setattr(dbscan_blocks, "_block_rows", lambda n, d, p: block)
+    rng = np.random.default_rng(d)
+    centres = rng.normal(size=(6, d)) * 3
+    x = np.concatenate([c + rng.normal(size=(40, d)) * s for c, s in zip(centres, (0.1, 0.2, 0.3, 0.5, 0.6, 0.7))] + [rng.normal(size=(40, d)) * 3])
+    x = np.concatenate([x, np.linspace(centres[0], centres[1], 30), x[:25], np.repeat(x[-1:], 5, 0)])
+    x = x[rng.permutation(len(x))]
+    eps = 0.25 * np.sqrt(d)
+    got = [r["cluster"] for r in dbscan(frame(spark, x), "id", "x", eps, 5).orderBy("key").collect()]
+    want = plain_dbscan(x, eps, 5)
+    assert got == want.tolist() and len(set(got)) > 3 and -1 in got
+
+
+def test_dbscan_in_many_dimensions_edge_cases(spark):
+    rows = [(1, [0.0] * 4), (2, [0.0] * 4), (3, None), (4, [None] + [0.0] * 3), (5, [9.0] * 4)]
+    df = spark.createDataFrame(rows, "id bigint, x array<double>")
+    assert {r["key"]: r["cluster"] for r in dbscan(df, "id", "x", 1.0, 2).collect()} == {1: 0, 2: 0, 3: -1, 4: -1, 5: -1}
+    with pytest.raises(ValueError):
+        dbscan(df, "id", "x", 0.0, 2)

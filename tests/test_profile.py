@@ -99,3 +99,36 @@ def test_column_rules(spark):
     assert (got["unique"]["encode"], got["low"]["encode"], got["two"]["encode"], got["many"]["encode"]) == ("drop", "onehot", "label", "target")
     assert got["full"]["scale"] == "standard" and got["sparse"]["scale"] == "none"
     assert got["target"]["impute"] is None and got["target"]["scale"] is None
+
+
+def test_correlations_read_the_table_once(spark, capsys):
+    import numpy as np
+
+    from autoprep.operators.profile import correlations
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 300)) + 1e6
+    x[:, 1] = 2 * x[:, 0] + 1
+    x[:, 2] = 0.1
+    x[rng.random(x.shape) < 0.05] = np.nan
+    names = [f"c{i}" for i in range(300)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"`{c}` double" for c in names))
+    out = correlations(df, names)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Scan") == 1
+    got = {(r["col1"], r["col2"]): r["r"] for r in out.collect()}
+    assert len(got) == 300 * 299 // 2 and got["c0", "c1"] == pytest.approx(1.0) and got["c0", "c2"] is None
+    for a, b in ((0, 3), (5, 250), (298, 299)):
+        both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+        assert got[f"c{a}", f"c{b}"] == pytest.approx(np.corrcoef(x[both, a], x[both, b])[0, 1], abs=1e-9)
+
+
+def test_shares_are_rounded_from_counts(spark):
+    from pyspark.sql import functions as F
+
+    from autoprep.functions.columns import share
+
+    df = spark.createDataFrame([(9, 60_000), (15, 100_000), (25, 100_000), (1, 3), (0, 5), (5, 0), (7, 7)], "a bigint, b bigint")
+    got = {(r.a, r.b): r.s for r in df.select("a", "b", share(F.col("a"), F.col("b"), 4).alias("s")).collect()}
+    assert got == {(9, 60_000): 0.0002, (15, 100_000): 0.0002, (25, 100_000): 0.0002, (1, 3): 0.3333, (0, 5): 0.0, (5, 0): None, (7, 7): 1.0}

@@ -21,6 +21,27 @@ def test_lookup_shuffles_hot_and_missing_keys(spark, monkeypatch):
     assert plain == {i: v for i, (_, v) in got.items()}
 
 
+@pytest.mark.parametrize("key", ["case when id % 3 < 2 then 7 else id % 997 end", "case when id % 3 < 2 then null else id % 997 end"])
+def test_lookup_deals_hot_and_missing_keys_evenly(spark, monkeypatch, capsys, key):
+    monkeypatch.setattr(lk, "HOT_KEYS", 5)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(40_000).selectExpr("id", f"{key} as k")
+        table = df.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), (F.first("k") * 2).alias("v"))
+        out = lk.lookup(df, ["k"], table, ["v"], weight="n", small_rows=0)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        out.explain()
+        plan = capsys.readouterr().out
+        assert max(sizes) <= 2 * 40_000 / 4 and len(sizes) == 4
+        assert any("hashpartitioning(__salted" in line for line in plan.splitlines())
+        assert out.where("k is not null and (v is null or v <> 2 * k)").count() == 0
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_lookup_plan_follows_the_size(spark, capsys):
     df, table = spark.range(100).withColumnRenamed("id", "k"), spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
     lk.lookup(df, ["k"], table, ["v"]).explain()
