@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import sliced
+
 
 def planes(x: np.ndarray) -> bytes:
     """64-bit numbers as planes of equal bytes, which shrink when they are shuffled."""
@@ -40,7 +42,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
     """``(doc_id, version, text)`` with the texts as compressed bytes, for rows that are shuffled; a null stays null."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [None if x is None else x.encode() for x in batch.column(2).to_pylist()]
             packs = [None if x is None else len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in texts]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packs, pa.binary())], ["doc_id", "version", "text"])

@@ -14,7 +14,7 @@ from .packed import groups, numbers, planes, squeezed, unsqueezed
 from .shared import dropped, released, saved
 from .tiles import meeting_tiles
 from .vectors import linked_labels
-from .words import chain, fold_table, hash_spans, mix, pieces, word_spans
+from .words import chain, fold_table, hash_spans, mix, pieces, sliced, word_spans
 
 SHINGLE, JACCARD = 5, 0.8
 #: Rows and bands: two paragraphs at the threshold miss each other in 1 - (1 - 0.8**3)**8, 3 of 1000 cases.
@@ -78,7 +78,7 @@ def _mine(docs: DataFrame) -> DataFrame:
     fold = fold_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             done = np.zeros(batch.num_rows, np.int64)
             for which, parts in pieces([t.encode() for t in batch.column(2).to_pylist()]):

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 from ..functions.quantiles import exact_quantiles
 from .arrays import summed_array
 from .shared import saved
-from .words import chain, fold_table, hashed_words, mix
+from .words import chain, fold_table, hashed_words, mix, sliced
 
 #: Buckets of the hashed words, and as many of the hashed word pairs.
 BUCKETS = 1 << 19
@@ -68,7 +68,7 @@ def count_models(docs: DataFrame, roles: dict[int, int]) -> Models:
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         both = np.zeros((2, 2 * BUCKETS))
-        for batch in batches:
+        for batch in sliced(batches):
             fits = np.array([known.value.get(i) == 1 for i in batch.column(0).to_pylist()], bool)
             for owner, bucket in _features([(t or "").encode().translate(fold) for t in batch.column(1).to_pylist()]):
                 both[0] += np.bincount(bucket, minlength=2 * BUCKETS)
@@ -95,7 +95,7 @@ def weighed(docs: DataFrame, models: Models, roles: dict[int, int]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             rows = batch.column(0)
             ids, texts = (rows.field(docs_columns.index(c)).cast(kind) for c, kind in (("doc_id", pa.int64()), ("text", pa.string())))
             role = np.array([known.get(i, 0) for i in ids.to_pylist()], np.int32)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .packed import groups, numbers, planes, squeezed, unsqueezed
 from .shared import dropped, saved
-from .words import chain, mix
+from .words import chain, mix, sliced
 
 #: Bytes of a string that counts as repeated, and of a seed. Every string holds ``SPAN`` seeds.
 LENGTH, SEED = 100, 32
@@ -241,7 +241,7 @@ def _places(docs: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for which, offsets, parts in _slices(batch.column(2).to_pylist()):
                 data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)

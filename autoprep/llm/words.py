@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK_BYTES = 4 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -94,6 +95,13 @@ def pieces(texts: list[bytes | None], size: int = CHUNK_BYTES) -> Iterator[tuple
         yield which, parts
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hashed_words(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For groups of folded texts: the text number of each word, its hash, and its length in bytes."""
     for which, parts in pieces(texts):
