@@ -17,14 +17,17 @@ AUTO_LIMIT = 1.5
 
 def knn_classify(
     queries: DataFrame, base: DataFrame, key: str, features, label: str, k: int = 5, weights: str = "uniform",
-    exclude_self: bool = False,
+    exclude_self: bool = False, exact: bool = True,
 ) -> DataFrame:
-    """``(key, prediction)`` by neighbour vote; ``distance`` weighs 1/d and lets exact hits decide alone."""
+    """``(key, prediction)`` by neighbour vote; ``distance`` weighs 1/d and lets exact hits decide alone.
+
+    ``exact=False`` asks the approximate search.
+    """
     if weights not in ("uniform", "distance"):
         raise ValueError(f"unknown weighting: {weights!r}")
     if label not in queries.columns:
         queries = queries.withColumn(label, F.lit(None).cast(base.schema[label].dataType))
-    near = knn(queries, base, key, features, k, tag=label, exclude_self=exclude_self)
+    near = knn(queries, base, key, features, k, tag=label, exclude_self=exclude_self, exact=exact)
     votes = near.groupBy("key", F.col("neighbor_tag").alias("c")).agg(
         F.count_if(F.col("distance") == 0).alias("hits"), F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("distance") > 0, 1 / F.col("distance"))).alias("inverse"),
@@ -36,9 +39,12 @@ def knn_classify(
     return votes.groupBy("key").agg(F.min_by("c", strength).alias("prediction"))
 
 
-def lof(df: DataFrame, key: str, features, k: int = 20, contamination: float | str = "auto") -> DataFrame:
-    """``(key, lof, is_outlier)``: density of the neighbours over the own density."""
-    near = cut_lineage(knn(df, df, key, features, k).select("key", "neighbor", "distance"))
+def lof(df: DataFrame, key: str, features, k: int = 20, contamination: float | str = "auto", exact: bool = True) -> DataFrame:
+    """``(key, lof, is_outlier)``: density of the neighbours over the own density.
+
+    ``exact=False`` takes the neighbours of the approximate search.
+    """
+    near = cut_lineage(knn(df, df, key, features, k, exact=exact).select("key", "neighbor", "distance"))
     # A row can be the neighbour of very many others, so lookups by neighbour know each row's fame.
     fame = near.groupBy(F.col("neighbor").alias("key")).agg(F.count(F.lit(1)).alias("fame"))
 

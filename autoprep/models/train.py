@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..operators.metrics import classification_metrics, regression_metrics
+from . import gram
 from .catalog import ModelSpec, TrainingFacts
 from .neighbors import knn_classify
 
@@ -61,36 +62,50 @@ def _fit(spec: ModelSpec, point: dict, train: DataFrame, facts: TrainingFacts, k
     return spec.make(facts, **point).fit(train)
 
 
+def _facts(data: DataFrame, folds: int, weighted: bool, seed: int) -> tuple[dict[int, TrainingFacts], TrainingFacts]:
+    """Facts of "all but fold f", and of all rows, from one aggregate per fold.
+
+    The class count belongs to the whole table: a fold may miss the last class.
+    """
+    sums = gram.label_sums(data, F.col("weight") if weighted else F.lit(1.0))
+    total = sum(s[:3] for s in sums.values()) if sums else np.zeros(3)
+    classes = int(max((s[3] for s in sums.values()), default=-1)) + 1
+
+    def facts(n: float, first: float, second: float) -> TrainingFacts:
+        spread = max(second / n - (first / n) ** 2, 0.0) if n > 0 else 0.0
+        return TrainingFacts(float(n), float(spread**0.5), classes, weighted, seed)
+
+    return {f: facts(*(total - sums[f][:3] if f in sums else total)) for f in range(folds)}, facts(*total)
+
+
 def cross_validate(
     df: DataFrame, models: list[ModelSpec], task: str, key: str, folds: int = 5, weight: str | None = None,
     parallelism: int = 4, seed: int = 42,
 ) -> list[TrainedModel]:
     """Mean and population deviation of the fold scores per grid point, then a refit of the best.
 
-    ``df`` holds ``features``, ``label``, ``fold`` and optionally the weight. Every (fold, point)
-    fit is an independent Spark job; up to ``parallelism`` of them run at once. A failing point
-    is recorded in its status and leaves the ranking, it is not hidden.
+    ``df`` holds ``features``, ``label``, ``fold`` and optionally the weight. Linear models are solved
+    for all points from the folds' sums of products. Of the others every (fold, point) fit is an
+    independent Spark job; up to ``parallelism`` of them run at once. A failing point is recorded in
+    its status and leaves the ranking, it is not hidden.
     """
     judge, out = _evaluator(task), []
     data = df.withColumnRenamed(weight, "weight") if weight and weight != "weight" else df
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        parts, facts = {}, {}
-        for f in range(folds):
-            parts[f] = (data.where(F.col("fold") != f), data.where(F.col("fold") == f))
-            facts[f] = TrainingFacts.of(parts[f][0], weight="weight" if weight else None, seed=seed)
-        overall = TrainingFacts.of(data, weight="weight" if weight else None, seed=seed)
+        parts = {f: (data.where(F.col("fold") != f), data.where(F.col("fold") == f)) for f in range(folds)}
+        facts, overall = _facts(data, folds, weight is not None, seed)
+        sums = gram.fold_sums(data, "weight" if weight else None) if any(gram.solvable(m, task) for m in models) else None
         for spec in models:
             start, points = time.time(), spec.points()
 
             def score(job, spec=spec, points=points):
                 i, f = job
-                # The class count belongs to the whole table: a fold may miss the last class.
-                known = TrainingFacts(facts[f].n, facts[f].label_std, overall.classes, facts[f].weighted, seed)
-                return float(judge.evaluate(_fit(spec, points[i], parts[f][0], known, key).transform(parts[f][1])))
+                return float(judge.evaluate(_fit(spec, points[i], parts[f][0], facts[f], key).transform(parts[f][1])))
 
-            jobs = [(i, f) for i in range(len(points)) for f in range(folds)]
-            scores, errors = {}, {}
+            solved = gram.fold_scores(sums, points, folds) if sums and gram.solvable(spec, task) else None
+            jobs = [] if solved else [(i, f) for i in range(len(points)) for f in range(folds)]
+            scores, errors = dict(solved or {}), {}
             with ThreadPoolExecutor(parallelism) as pool:
                 started = [(job, pool.submit(inheritable_thread_target(df.sparkSession)(score), job)) for job in jobs]
                 for (i, f), task_result in started:

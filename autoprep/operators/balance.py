@@ -80,10 +80,11 @@ def _assemble(df: DataFrame, key: str, features: list[str], label: str, syntheti
     return kept
 
 
-def smote(df: DataFrame, key: str, features: list[str], label: str, k: int = 5, seed: int = 42) -> DataFrame:
+def smote(df: DataFrame, key: str, features: list[str], label: str, k: int = 5, seed: int = 42, exact: bool = True) -> DataFrame:
     """Grow every class to the size of the largest with points between same-class neighbours.
 
-    The key becomes text; synthetic rows are marked and keep only features and label.
+    The key becomes text; synthetic rows are marked and keep only features and label. ``exact=False``
+    draws from the neighbours of the approximate search.
     """
     sizes = _class_sizes(df, label)
     largest = max(sizes.values())
@@ -94,7 +95,7 @@ def smote(df: DataFrame, key: str, features: list[str], label: str, k: int = 5,
                 raise ValueError(f"class {c!r} has one row: no neighbour to interpolate with")
             members = points.where(F.col("label") == F.lit(c))
             near = min(k, n - 1)
-            neighbors = knn(members, members, "key", "x", near, vectors=True)
+            neighbors = knn(members, members, "key", "x", near, vectors=True, exact=exact)
             seeds = _even_copies(members, largest - n, n, seed)
             made.append(_interpolate(seeds, neighbors, near, seed).withColumn("label", F.lit(c)))
     return _assemble(df, key, features, label, made)

@@ -5,6 +5,11 @@ groups can hold a neighbour of which queries (Lu, Shen, Chen, Ooi: "Efficient pr
 nearest neighbor joins using MapReduce", VLDB 2012). Only those pairs of bounded blocks meet, on
 an equi-join of block ids, and each pair emits the best ``k`` per query. Equal base vectors
 collapse to one vector that carries its smallest keys, so copies cost nothing and lose nothing.
+
+Where bounds prune little, as in many dimensions, ``exact=False`` keeps the same blocks and asks, per
+query, only the cells of its nearest pivots. There are about as many pivots as the root of the base
+rows, and how many cells a query asks is measured: the exact neighbours of a bounded sample of
+queries tell how far down their lists of cells those neighbours lie.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ BLOCK_BYTES = 4 << 20
 MIN_BLOCK_ROWS = 2_048
 MAX_PIVOTS = 1_024
 PIVOT_BYTES = 32 << 20
+# Queries whose exact neighbours tell how many cells an approximate search has to ask.
+CALIBRATION_QUERIES = 512
 # Share of the squared norms by which the matrix product may misjudge a squared distance.
 ROUNDING = 1e-9
 # Distances a worker holds at once.
@@ -39,6 +46,8 @@ def knn(
     tag: str | None = None,
     exclude_self: bool = True,
     vectors: bool = False,
+    exact: bool = True,
+    recall: float = 0.95,
 ) -> DataFrame:
     """``(key, neighbor, distance, rank)``: the ``k`` nearest base rows of every query row.
 
@@ -46,9 +55,15 @@ def knn(
     adds the tag of both rows (``tag``, ``neighbor_tag``), ``vectors`` adds both vectors (``x``,
     ``neighbor_x``), so callers need no skew-prone join back on the neighbour. Rows without a
     vector take no part.
+
+    ``exact=False`` finds a share of ``recall`` of the neighbours or more, as far as the
+    ``CALIBRATION_QUERIES`` sampled queries can tell. Distances are exact, and every query gets ``k`` rows if there
+    are as many.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if not 0 < recall <= 1:
+        raise ValueError("recall must lie in (0, 1]")
     need = k + (1 if exclude_self else 0)
     groups = cut_lineage(_base_groups(base, key, features, need, tag))
     asked = queries.select(
@@ -69,7 +84,16 @@ def knn(
         return empty.withColumn("rank", F.lit(0)).select(*out_cols)
 
     rows = _block_rows(size["n"], size["d"], queries.sparkSession.sparkContext.defaultParallelism)
-    if size["n"] <= rows:
+    if not exact:
+        pivots = _sampled(groups, size["d"], math.isqrt(size["n"]))
+        placed = cut_lineage(groups.withColumn("at", _nearest_pivot(pivots)("x")).select("x", "ids", "tags", "at.cell"))
+        base_stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+        probes = _probes(asked, placed, pivots, k, exclude_self, recall)
+        asked = cut_lineage(asked.withColumn("cells", _asked_cells(pivots, probes, need, base_stats)("x")))
+        query_stats = asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+        asked = asked.select("qid", "x", "tag", F.explode("cells").alias("cell"))
+        wanted = {r["cell"]: [r["cell"]] for r in base_stats}
+    elif size["n"] <= rows:
         placed, asked = groups.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0))
         base_stats = [{"cell": 0, "n": size["n"]}]
         query_stats = [{"cell": 0, "n": asked.count()}]
@@ -87,7 +111,7 @@ def knn(
     base_chunks = {r["cell"]: math.ceil(r["n"] / rows) for r in base_stats}
     query_chunks = {r["cell"]: math.ceil(r["n"] / rows) for r in query_stats}
     base_blocks = (
-        placed.withColumn("chunk", _chunk(base_chunks, "x"))
+        _chunked(placed, base_chunks, "x", "chunk")
         .groupBy(F.col("cell").alias("bcell"), "chunk").agg(F.collect_list(F.struct("x", "ids", "tags")).alias("r"))
         .select("bcell", "chunk", F.flatten(F.transform("r", lambda e: e["x"])).alias("bx"),
                 F.flatten(F.transform("r", lambda e: e["ids"])).alias("bid"),
@@ -98,7 +122,7 @@ def knn(
         [(i, j, base_chunks[j]) for i, js in wanted.items() for j in js], "cell int, bcell int, chunks int"
     ).select("cell", "bcell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     query_blocks = (
-        asked.withColumn("block", _chunk(query_chunks, "qid"))
+        _chunked(asked, query_chunks, "qid", "block")
         .groupBy("cell", "block").agg(F.collect_list(F.struct("qid", "x", "tag")).alias("r"))
         .select("cell", F.flatten(F.transform("r", lambda e: e["x"])).alias("qx"),
                 F.transform("r", lambda e: e["qid"]).alias("qid"), F.transform("r", lambda e: e["tag"]).alias("qtag"))
@@ -138,9 +162,13 @@ def _block_rows(n: int, d: int, parallelism: int) -> int:
 
 
 def _pivots(groups: DataFrame, n: int, d: int, rows: int) -> np.ndarray:
-    """A bounded sample in hash order, a few per block."""
-    most = max(1, min(MAX_PIVOTS, PIVOT_BYTES // (8 * max(d, 1))))
-    count = min(most, max(1, math.ceil(4 * n / rows)))
+    """A few pivots per block."""
+    return _sampled(groups, d, min(MAX_PIVOTS, math.ceil(4 * n / rows)))
+
+
+def _sampled(groups: DataFrame, d: int, wanted: int) -> np.ndarray:
+    """A bounded sample in hash order, so that crowded regions get more of it."""
+    count = max(1, min(wanted, PIVOT_BYTES // (8 * max(d, 1))))
     picked = groups.select("x").orderBy(F.xxhash64("x"), "x").limit(count).collect()
     return np.array([r["x"] for r in picked], dtype=float)
 
@@ -158,6 +186,85 @@ def _nearest_pivot(pivots: np.ndarray):
     return nearest
 
 
+def _cell_order(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Cells of each vector, nearest pivot first."""
+    return ((pivots ** 2).sum(1)[None, :] - 2 * v @ pivots.T).argsort(axis=1, kind="stable")
+
+
+def _asked_cells(pivots: np.ndarray, probes: int, need: int, base_stats):
+    """The cells of the nearest ``probes`` pivots, and more where those hold fewer than ``need`` vectors."""
+    strip, held = max(1, TILE_CELLS // len(pivots)), np.zeros(len(pivots), np.int64)
+    for r in base_stats:
+        held[r["cell"]] = r["n"]
+
+    @F.pandas_udf("array<int>")
+    def asked(x: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(x), strip):
+            order = _cell_order(np.stack(x.iloc[at : at + strip].to_numpy()).astype(float), pivots)
+            short = (np.cumsum(held[order], axis=1) < need).sum(axis=1) + 1
+            out += [row[: max(probes, n)].astype("int32") for row, n in zip(order, short)]
+        return pd.Series(out, index=x.index)
+
+    return asked
+
+
+def _probes(asked: DataFrame, placed: DataFrame, pivots: np.ndarray, k: int, exclude_self: bool, recall: float) -> int:
+    """Cells a query has to ask: the fewest whose share of a sample's exact neighbours is surely ``recall``.
+
+    One pass over the base: each task keeps the ``k`` best vectors of every sampled query. A query's own
+    vector, always found, is left out where rows exclude themselves.
+    """
+    drawn = asked.select("x").orderBy(F.xxhash64("x", F.lit(1)), "x").limit(CALIBRATION_QUERIES).collect()
+    if not drawn or len(pivots) == 1:
+        return 1
+    q = np.array([r["x"] for r in drawn], dtype=float)
+
+    def nearest(frames):
+        held = None
+        for frame in frames:
+            v = np.stack(frame["x"].to_numpy()).astype(float)
+            i, j = _near(q, v, k + 1)
+            part = pd.DataFrame({"q": i, "distance": np.sqrt(((q[i] - v[j]) ** 2).sum(1)), "cell": frame["cell"].to_numpy()[j]})
+            held = _first(part if held is None else pd.concat([held, part]), k + 1)
+        if held is not None:
+            yield held
+
+    parts = placed.select("x", "cell").coalesce(4 * placed.sparkSession.sparkContext.defaultParallelism)
+    found = parts.mapInPandas(nearest, "q bigint, distance double, cell int")
+    best = Window.partitionBy("q").orderBy("distance", "cell")
+    found = found.where("distance > 0") if exclude_self else found
+    near = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).select("q", "cell").collect()
+    if not near:
+        return 1
+    who, cell = np.array([r["q"] for r in near]), np.array([r["cell"] for r in near])
+    place = np.argsort(_cell_order(q, pivots), axis=1)[who, cell]
+    shares = np.zeros((len(q), len(pivots)))
+    np.add.at(shares, (who, place), 1)
+    shares = shares[np.unique(who)]
+    shares = np.cumsum(shares, axis=1) / shares.sum(axis=1, keepdims=True)
+    sure = shares.mean(axis=0) - 2 * shares.std(axis=0) / math.sqrt(len(shares))
+    enough = np.flatnonzero(sure >= recall)
+    return int(enough[0]) + 1 if len(enough) else len(pivots)
+
+
+def _first(found: pd.DataFrame, need: int) -> pd.DataFrame:
+    found = found.sort_values(["q", "distance", "cell"], kind="stable")
+    return found[found.groupby("q").cumcount() < need]
+
+
+def recall_at(found: DataFrame, queries: DataFrame, base: DataFrame, key: str, features: str | list[str], k: int, exclude_self: bool = True) -> DataFrame:
+    """``(queries, recall)``: share of the exact ``k`` nearest rows of ``queries`` that ``found`` holds.
+
+    Rows at the distance of the last exact neighbour count as found too: ties have no better half.
+    """
+    true = knn(queries, base, key, features, k, exclude_self=exclude_self).groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("distance").alias("reach"))
+    hits = found.join(true, "key").where(F.col("distance") <= F.col("reach") * (1 + ROUNDING)).groupBy("key").agg(F.count(F.lit(1)).alias("hits"))
+    both = true.join(hits, "key", "left").select("n", F.least(F.coalesce("hits", F.lit(0)), "n").alias("hits"))
+    return both.agg(F.count(F.lit(1)).alias("queries"), (F.sum("hits") / F.sum("n")).alias("recall"))
+
+
 def _cell_pairs(placed, pivots, base_stats, query_stats, need) -> dict[int, list[int]]:
     """Base cells that may hold one of the ``need`` nearest vectors of each query cell."""
     closest = Window.partitionBy("cell").orderBy("dist")
@@ -182,9 +289,14 @@ def _cell_pairs(placed, pivots, base_stats, query_stats, need) -> dict[int, list
     return out
 
 
-def _chunk(chunks: dict[int, int], name: str):
-    table = F.create_map(*[x for kv in chunks.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return F.pmod(F.xxhash64(name, F.lit(7)), table[F.col("cell")].cast("bigint")).cast("int")
+def _chunked(df: DataFrame, chunks: dict[int, int], by: str, name: str) -> DataFrame:
+    """Deal each cell's rows into its number of chunks; there are no more cells than pivots."""
+    split = [(cell, n) for cell, n in chunks.items() if n > 1]
+    if not split:
+        return df.withColumn(name, F.lit(0))
+    table = F.broadcast(df.sparkSession.createDataFrame(split, "cell int, __chunks int"))
+    dealt = F.pmod(F.xxhash64(by, F.lit(7)), F.coalesce("__chunks", F.lit(1)).cast("bigint")).cast("int")
+    return df.join(table, "cell", "left").withColumn(name, dealt).drop("__chunks")
 
 
 def _near(q: np.ndarray, b: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,9 +16,10 @@ from ..models.dbscan import dbscan
 from ..models.iforest import isolation_forest
 from ..models.neighbors import knn_classify, lof
 from ..operators import balance as b
-from ..operators.knn import knn
+from ..operators.knn import knn, recall_at
 from ..operators.metrics import clustering_metrics
 from ..operators.split import assign_folds
+from ..operators.vectors import squared_distance
 from ..plans.preprocess import fit_preparation
 from ..plans.run import run
 from ..plans.score import score
@@ -26,19 +27,15 @@ from .base import labelled_documents, rounded, table
 
 NUMBERS = ["n_chars", "n_blanks", "n_digits"]
 
-# Smaller grids than the defaults keep the registered runs short; every row still takes part.
+# Forests and boosting are registered on one grid point, which keeps the runs short; all other models run
+# their whole grids, and every row takes part.
 SHORT_GRIDS = {
-    "LogisticRegression": {"C": [0.1, 1.0]},
     "RandomForestClassifier": {"n_estimators": [10], "max_depth": [5]},
     "GradientBoostingClassifier": {"n_estimators": [5], "learning_rate": [0.1], "max_depth": [3]},
-    "SVC": {"C": [0.1]},
-    "KNeighborsClassifier": {"n_neighbors": [5], "weights": ["distance"]},
-    "LinearRegression": {},
-    "Ridge": {"alpha": [1.0]},
     "RandomForestRegressor": {"n_estimators": [10], "max_depth": [5]},
     "GradientBoostingRegressor": {"n_estimators": [5], "learning_rate": [0.1], "max_depth": [3]},
-    "robust_linear": {"C": [1.0]},
 }
+FOLDS = 5
 
 
 def _scaled_documents(spark, d):
@@ -51,10 +48,10 @@ def _training_table(spark, d, task: str):
     if task == "classification":
         df, features = _scaled_documents(spark, d)
         df = df.withColumn("label", F.col("toxic").cast("double"))
-        df, key = assign_folds(df, "doc_id", "label", 3), "doc_id"
+        df, key = assign_folds(df, "doc_id", "label", FOLDS), "doc_id"
     else:
         df, features = table(spark, d, "part").withColumn("name_length", F.length("p_name").cast("double")), ["p_size", "name_length"]
-        df = assign_folds(df.withColumn("label", F.col("p_retailprice")), "p_partkey", None, 3)
+        df = assign_folds(df.withColumn("label", F.col("p_retailprice")), "p_partkey", None, FOLDS)
         key = "p_partkey"
     return VectorAssembler(inputCols=features, outputCol="features").transform(df).select(key, "features", "label", "fold"), key, features
 
@@ -62,21 +59,29 @@ def _training_table(spark, d, task: str):
 def _trained(name: str, task: str):
     def query(spark, d):
         df, key, _ = _training_table(spark, d, task)
-        found = train.cross_validate(df, catalog.specs(task, [name], SHORT_GRIDS), task, key, 3)
+        found = train.cross_validate(df, catalog.specs(task, [name], SHORT_GRIDS), task, key, FOLDS)
         return train.cv_runs(spark, found).select("model", "params", "status", F.round("cv_mean", 3).alias("cv_mean"))
 
     return query
 
 
+def linear_search(spark, d):
+    """Fold scores of least squares and ridge over their grids, price on size, folds by key."""
+    df = table(spark, d, "part").selectExpr("p_partkey", "double(p_size) as x", "double(p_retailprice) as label", "int(p_partkey % 5) as fold")
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    found = train.cross_validate(df, catalog.specs("regression", ["LinearRegression", "Ridge"]), "regression", "p_partkey", FOLDS)
+    return rounded(train.cv_runs(spark, found), 6)
+
+
 def model_ranking(spark, d):
     df, key, _ = _training_table(spark, d, "regression")
-    found = train.cross_validate(df, catalog.specs("regression", None, SHORT_GRIDS), "regression", key, 3)
+    found = train.cross_validate(df, catalog.specs("regression", None, SHORT_GRIDS), "regression", key, FOLDS)
     return train.rank(spark, found).select("rank", "model", "best_params", "n_combos", "status")
 
 
 def model_importance(spark, d):
     df, key, features = _training_table(spark, d, "classification")
-    found = train.cross_validate(df, catalog.specs("classification", ["RandomForestClassifier"], SHORT_GRIDS), "classification", key, 3)
+    found = train.cross_validate(df, catalog.specs("classification", ["RandomForestClassifier"], SHORT_GRIDS), "classification", key, FOLDS)
     return train.feature_importance(spark, found[0].model, features)
 
 
@@ -106,6 +111,16 @@ def knn_tags(spark, d):
     return near.groupBy(F.col("key").alias("vec_id")).agg(F.count_if(F.col("tag") == F.col("neighbor_tag")).alias("same_label"))
 
 
+def knn_approximate(spark, d):
+    """The approximate search against the exact one: five rows a vector, their distances true, nine of ten found."""
+    e = table(spark, d, "embeddings")
+    near = cut_lineage(knn(e, e, "vec_id", "embedding", 5, vectors=True, exact=False))
+    true = F.sqrt(squared_distance(F.col("x"), F.col("neighbor_x")))
+    wrong = F.count_if(F.abs(F.col("distance") - true) > 1e-9)
+    found = near.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key", "neighbor").alias("pairs"), wrong.alias("wrong"))
+    return found.crossJoin(recall_at(near, e, e, "vec_id", "embedding", 5)).select("n", "pairs", "wrong", "queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def knn_vote(spark, d):
     e = table(spark, d, "embeddings")
     return knn_classify(e, e, "vec_id", "embedding", "label", 5, exclude_self=True).withColumnRenamed("key", "vec_id")
@@ -192,12 +207,12 @@ def _features(spark, d):
 
 def run_report(spark, d):
     """Dirty table to report."""
-    config = RunConfig(cv_folds=3, grids=SHORT_GRIDS)
+    config = RunConfig(grids=SHORT_GRIDS)
     return run(spark, _features(spark, d), "doc_id", "toxic", config=config, models=["LogisticRegression", "RandomForestClassifier"]).report
 
 
 def run_scored(spark, d):
-    config = RunConfig(cv_folds=3, grids=SHORT_GRIDS)
+    config = RunConfig(grids=SHORT_GRIDS)
     return run(spark, table(spark, d, "part"), "p_partkey", "p_retailprice", config=config, models=["LinearRegression", "Ridge"]).scored
 
 
@@ -205,7 +220,7 @@ def run_dedup(spark, d):
     """What a run counts as removed: equal rows and rows without a target; rows that differ in their key stay."""
     part = table(spark, d, "part").withColumn("p_retailprice", F.when(F.col("p_partkey") % 11 != 0, F.col("p_retailprice")))
     dirty = part.unionByName(part.where("p_partkey % 7 = 0")).drop("p_name")
-    result = run(spark, dirty, "p_partkey", "p_retailprice", config=RunConfig(cv_folds=3), models=["LinearRegression"])
+    result = run(spark, dirty, "p_partkey", "p_retailprice", config=RunConfig(), models=["LinearRegression"])
     kept = result.train.count() + result.test.count()
     return spark.createDataFrame(
         [(result.rows_in, result.duplicates_removed, result.null_targets_removed, kept)],
@@ -216,7 +231,7 @@ def run_dedup(spark, d):
 def score_saved(spark, d):
     """Train, store, load and score every document."""
     folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-    config = RunConfig(cv_folds=3, grids=SHORT_GRIDS, output_dir=folder, save_model=True)
+    config = RunConfig(grids=SHORT_GRIDS, output_dir=folder, save_model=True)
     df = _features(spark, d)
     run(spark, df, "doc_id", "toxic", config=config, models=["LogisticRegression", "RandomForestClassifier"])
     return score(spark, f"{folder}/model", df.drop("toxic"))
@@ -230,6 +245,7 @@ EPS = 1.12
 
 QUERIES = {
     "knn_exact": (knn_exact, f"select vec_id, neighbor, round(distance, 5) as distance, place::int as place from {NEAR} where place <= 5"),
+    "knn_approximate": (knn_approximate, """select 5 * count(*) as n, 5 * count(*) as pairs, 0 as wrong, count(*) as queries, true as enough from embeddings"""),
     "knn_tags": (knn_tags, f"select vec_id, count(*) filter (where label = neighbor_label) as same_label from {NEAR} where place <= 3 group by 1"),
     "knn_vote": (knn_vote, f"""select vec_id, arg_min(c, (-n, c)) as prediction from (select vec_id, neighbor_label as c, count(*) as n from {NEAR}
       where place <= 5 group by 1, 2) group by 1"""),
@@ -249,6 +265,16 @@ QUERIES = {
       covar_pop(p_retailprice, p_size) * count(*) / (var_pop(p_size) * count(*) + 10) as s from part)"""),
     **{f"train_{n}": (_trained(n, "classification"), None) for n in catalog.CLASSIFIERS},
     **{f"train_{n}": (_trained(n, "regression"), None) for n in catalog.REGRESSORS},
+    "linear_search": (linear_search, """with s as (select p_partkey % 5 as f, count(*)::double as n, sum(x) as x, sum(y) as y, sum(x * x) as xx, sum(x * y) as xy, sum(y * y) as yy
+        from (select p_partkey, p_size::double as x, p_retailprice::double as y from part) group by 1),
+      p as (select 'LinearRegression' as model, '{}' as params, 0.0::double as alpha union all
+        select 'Ridge', '{"alpha": ' || a || '}', a::double from (select unnest(['0.1', '1.0', '10.0']) as a)),
+      r as (select f, (select sum(n) from s) - n as n, (select sum(x) from s) - x as x, (select sum(y) from s) - y as y,
+        (select sum(xx) from s) - xx as xx, (select sum(xy) from s) - xy as xy from s),
+      b as (select f, model, params, (xy - x * y / n) / (xx - x * x / n + alpha) as b, r.n, r.x, r.y from r cross join p),
+      c as (select f, model, params, b, (y - b * x) / n as c from b),
+      e as (select model, params, 1 - (yy + n * c * c + b * b * xx - 2 * c * y - 2 * b * xy + 2 * b * c * x) / (yy - y * y / n) as r2 from c join s using (f))
+      select model, params, round(avg(r2), 6) as cv_mean, round(stddev_pop(r2), 6) as cv_std, 'ok' as status from e group by 1, 2"""),
     "model_ranking": (model_ranking, None),
     "model_importance": (model_importance, None),
     "smote": (_balanced(b.smote), """select toxic, is_synthetic, n from (select toxic, false as is_synthetic, count(*) as n from labels group by 1

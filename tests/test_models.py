@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from autoprep.models import catalog, train
+from autoprep.models import catalog, gram, train
 from autoprep.models.cluster import bisecting_kmeans, kmeans, pca
 from autoprep.operators.metrics import classification_metrics, clustering_metrics, regression_metrics
 from autoprep.operators.split import assign_folds
@@ -81,6 +81,63 @@ def test_ridge_solves_the_normal_equations(spark, weighted):
     assert model.coefficients.toArray() == pytest.approx(exact, rel=1e-6)
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_sums_score_like_refits(spark, weighted, monkeypatch):
+    """Solved and refitted searches agree."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 3)) * [3, 1, 0.2] + [5, 0, -1]
+    y = x @ [0.7, -1.0, 4.0] + rng.normal(size=150) + 50
+    df = ready(spark, x, y, rng.uniform(0.5, 3, 150), stratify=False)
+    models = catalog.specs("regression", ["LinearRegression", "Ridge"])
+    weight = "weight" if weighted else None
+    solved = train.cross_validate(df, models, "regression", "id", 3, weight)
+    monkeypatch.setattr(gram, "solvable", lambda *a: False)
+    refitted = train.cross_validate(df, models, "regression", "id", 3, weight)
+    for a, b in zip(solved, refitted):
+        assert a.best_params == b.best_params and len(a.runs) == len(b.runs)
+        assert [r[2] for r in a.runs] == pytest.approx([r[2] for r in b.runs], abs=1e-6)
+        assert [r[3] for r in a.runs] == pytest.approx([r[3] for r in b.runs], abs=1e-6)
+
+
+def test_sums_solve_the_normal_equations(spark):
+    """Features of very different sizes far from zero, one of them constant, and weights."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(size=200) * 1e4 + 1e6, rng.normal(size=200) * 1e-3, np.full(200, 7.0)])
+    y, w = 2e-4 * x[:, 0] + 900 * x[:, 1] + rng.normal(size=200), rng.uniform(0.5, 3, 200)
+    df = ready(spark, x, y, w, stratify=False)
+    fold = np.array([r["fold"] for r in df.orderBy("id").select("fold").collect()])
+    got = gram.fold_scores(gram.fold_sums(df, "weight"), [{"alpha": a} for a in (0.0, 0.1, 10.0)], 3)
+    for i, alpha in enumerate((0.0, 0.1, 10.0)):
+        for f in range(3):
+            a, b = fold != f, fold == f
+            v = w[a] / w[a].sum()
+            xc, yc = x[a][:, :2] - v @ x[a][:, :2], y[a] - v @ y[a]
+            beta = np.linalg.solve((xc * w[a, None]).T @ xc + alpha * np.eye(2), (xc * w[a, None]).T @ yc)
+            error = y[b] - (v @ y[a] + (x[b][:, :2] - v @ x[a][:, :2]) @ beta)
+            assert got[i][f] == pytest.approx(1 - (error @ error) / ((y[b] - y[b].mean()) ** 2).sum(), abs=1e-8)
+
+
+def jobs(spark):
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+
+
+def test_points_of_linear_models_cost_no_jobs(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(100, 2))
+    df, spent = ready(spark, x, x[:, 0] + rng.normal(size=100), stratify=False), []
+    for alphas in ([1.0], [0.1, 1.0, 10.0, 100.0]):
+        before = jobs(spark)
+        train.cross_validate(df, catalog.specs("regression", ["Ridge"], {"Ridge": {"alpha": alphas}}), "regression", "id", 3)
+        spent.append(jobs(spark) - before)
+    assert spent[0] == spent[1] < 12
+
+
+def test_sums_of_odd_folds(spark):
+    df = ready(spark, np.zeros((6, 1)), np.arange(6.0), stratify=False).withColumn("fold", F.lit(0)).cache()
+    assert gram.fold_scores(gram.fold_sums(df), [{}], 2) is None and gram.fold_sums(df.limit(0)) is None
+    assert gram.r2(gram.fold_sums(df)[0][1], gram.solve(gram.fold_sums(df)[0][0])) == pytest.approx(0.0)
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_logistic_penalty(spark, weighted):
     """The gradient of the summed loss plus half the squared norm vanishes at the fit."""

@@ -53,6 +53,56 @@ def test_knn_with_fewer_rows_than_neighbours(spark):
     assert len(got) == 6
 
 
+def work(monkeypatch, spark, x, k=10):
+    """Approximate neighbours, and how many distances their search asks for."""
+    asked, search = [], knn_module._probes
+    monkeypatch.setattr(knn_module, "_probes", lambda *a: asked.append((search(*a), len(a[2]))) or asked[-1][0])
+    df = frame(spark, x)
+    found = knn(df, df, "id", "x", k, exact=False).collect()
+    monkeypatch.setattr(knn_module, "_probes", search)
+    probes, cells = asked[0]
+    return found, len(x) * (cells + probes * len(x) / cells)
+
+
+def test_approximate_neighbours(spark, monkeypatch):
+    """At least nine of ten are found, every query gets its rows, and the work grows by less than the square."""
+    rng, spent = np.random.default_rng(3), {}
+    centres = rng.normal(size=(40, 16))
+    for n in (1500, 6000):
+        x = centres[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, 16))
+        found, spent[n] = work(monkeypatch, spark, x)
+        near, dist = brute(x, 10)
+        assert len(found) == 10 * n
+        hits = sum(r["neighbor"] in near[r["key"]] for r in found)
+        assert hits >= 0.9 * 10 * n
+        for r in found[::97]:
+            assert r["distance"] == pytest.approx(np.linalg.norm(x[r["key"]] - x[r["neighbor"]]), abs=1e-9)
+    assert spent[6000] / spent[1500] < 4 ** 1.75
+
+
+def test_approximate_neighbours_of_crowded_rows(spark):
+    """Copies, an empty base, a single row and queries that are no base rows."""
+    x = crowded()
+    df = frame(spark, x)
+    assert knn(df, df, "id", "x", 4, exact=False).groupBy("key").count().where("count = 4").count() == len(x)
+    assert knn(df, df.limit(0), "id", "x", 4, exact=False).count() == 0
+    assert knn(df.limit(0), df, "id", "x", 4, exact=False).count() == 0
+    one = frame(spark, x[:1])
+    assert knn(one, one, "id", "x", 4, exact=False).count() == 0
+    far = frame(spark, np.full((1, 2), 1e6))
+    assert knn(far, df, "id", "x", 4, exclude_self=False, exact=False).count() == 4
+
+
+def test_balancing_and_outliers_by_approximate_neighbours(spark):
+    x = crowded(400, 3)
+    y = (np.arange(400) >= 300).astype(int)
+    df = frame(spark, x, y).selectExpr("id", "x[0] as a", "x[1] as b", "x[2] as c", "y")
+    grown = b.smote(df, "id", ["a", "b", "c"], "y", exact=False)
+    assert grown.where("a is not null").groupBy("y").count().collect()[0]["count"] == 300
+    assert grown.where("a is not null").count() == 600
+    assert lof(frame(spark, x), "id", "x", 10, exact=False).count() == 400
+
+
 def test_knn_vote(spark):
     x, y = np.array([[0.0], [0.1], [5.0], [5.1]]), [0, 0, 1, 1]
     df = frame(spark, x, y)
