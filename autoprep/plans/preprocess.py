@@ -13,10 +13,18 @@ from ..functions.lineage import cut_lineage
 from ..operators import transform as tf
 from ..operators.clean import CleaningPlan, apply_bounds, fit_clean, fit_quick_clean, outlier_bounds
 from ..operators.profile import profile_columns
+from .features import Feature, apply_features, fit_features, load_features, save_features
 from .recommend import recommend_columns
 
 DICTIONARIES = {"label": tf.LabelEncode, "target": tf.TargetEncode, "frequency": tf.FrequencyEncode}
 PLAIN = {"impute": tf.Imputer, "onehot": tf.OneHot, "scale": tf.Scale}
+# What a caller's plan may say about a column.
+CHOICES = {
+    "impute": ("mean", "median", "zero", "mode", "none", "drop"),
+    "encode": ("label", "onehot", "target", "frequency", "none", "drop"),
+    "log1p": (True, False),
+    "scale": ("standard", "robust", "minmax", "none"),
+}
 
 
 @dataclass
@@ -31,10 +39,12 @@ class Preparation:
     features: list[str] = field(default_factory=list)
     log1p: list[str] = field(default_factory=list)
     actions: list[tuple] = field(default_factory=list)
+    derived: list[Feature] = field(default_factory=list)
 
     def clean(self, df: DataFrame) -> DataFrame:
         """Cleaned, capped and freed of identifier and rejected columns; gaps still open."""
-        df = apply_bounds(self.cleaning.transform(self.quick.transform(df)), self.bounds)
+        df = apply_features(self.quick.transform(df), self.derived)
+        df = apply_bounds(self.cleaning.transform(df), self.bounds)
         return df.drop(*[c for c in self.dropped if c in df.columns])
 
     def transform(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -65,7 +75,7 @@ class Preparation:
             steps.append(entry)
         doc = {"quick": self.quick.to_dict(), "cleaning": self.cleaning.to_dict(), "bounds": self.bounds,
                "dropped": self.dropped, "features": self.features, "log1p": self.log1p, "actions": self.actions,
-               "steps": steps}
+               "steps": steps, "derived": save_features(self.derived, f"{folder}/derived")}
         spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/preparation")
 
     @classmethod
@@ -81,34 +91,62 @@ class Preparation:
                 steps.append(PLAIN[kind](**e))
         return cls(CleaningPlan.from_dict(doc["quick"]), CleaningPlan.from_dict(doc["cleaning"]),
                    {c: tuple(b) for c, b in doc["bounds"].items()}, doc["dropped"], steps, doc["features"],
-                   doc["log1p"], [tuple(a) for a in doc["actions"]])
+                   doc["log1p"], [tuple(a) for a in doc["actions"]],
+                   load_features(spark, doc.get("derived", []), f"{folder}/derived"))
+
+
+def _decisions(state: DataFrame, plan: dict[str, dict]) -> list[dict]:
+    """Recommended decisions per column, overruled where the caller's plan says otherwise."""
+    for c, wishes in plan.items():
+        for what, choice in wishes.items():
+            if choice not in CHOICES.get(what, ()):
+                raise ValueError(f"plan for {c!r}: {what} cannot be {choice!r}")
+    # At most one row per column reaches the driver. Sketched distinct counts will do, as columns near
+    # a limit are counted exactly.
+    rows = [r.asDict() for r in recommend_columns(profile_columns(state, approx=True)).orderBy("position").collect()]
+    unknown = sorted(set(plan) - {r["column"] for r in rows})
+    if unknown:
+        raise ValueError(f"the plan names columns the cleaned table lacks: {unknown}")
+    for r in rows:
+        r.update(plan.get(r["column"], {}))
+        text = not is_numeric(state.schema[r["column"]].dataType)
+        if text and (r["impute"] in ("mean", "median", "zero") or r["log1p"] or r["scale"] in ("standard", "robust", "minmax")):
+            raise ValueError(f"plan for {r['column']!r}: a text column has no numbers to impute, log or scale")
+    return rows
 
 
 def fit_preparation(
-    train: DataFrame, target: str | None, key: list[str], label: str | None = None, feature_selection: bool = True
+    train: DataFrame, target: str | None, key: list[str], label: str | None = None, feature_selection: bool = True,
+    features: list[dict] = (), plan: dict[str, dict] | None = None,
 ) -> Preparation:
-    """Measure every step on the training rows. ``label`` is the numeric target for target encoding."""
+    """Measure every step on the training rows. ``label`` is the numeric target for target encoding.
+
+    ``features`` asks for derived columns (see ``plans.features``). They are built once light cleaning
+    has made numbers and dates of the texts, and from then on are columns like all others. ``plan``
+    overrules decisions about cleaned columns: ``{column: {"impute" | "encode" | "log1p" | "scale": choice}}``.
+    """
     aside = [c for c in [*key, target, label] if c is not None and c in train.columns]
     raw = train.drop(*aside)
     quick = fit_quick_clean(raw)
-    cleaning = fit_clean(quick.transform(raw), native_dates=True)
-    prep = Preparation(quick, cleaning)
-    prep.bounds = outlier_bounds(cleaning.transform(quick.transform(raw)))
+    derived, light = fit_features(quick.transform(raw), list(features))
+    cleaning = fit_clean(light, native_dates=True)
+    prep = Preparation(quick, cleaning, derived=derived)
+    # A derived column means what it says: a rare flag is no outlier.
+    prep.bounds = outlier_bounds(cleaning.transform(light).drop(*[f.new for f in derived]))
     prep.dropped = list(cleaning.ids)
 
     # The cleaned rows are written once; the passes below then read only the columns they need.
     labelled = train.select(*[col_of(c) for c in raw.columns], *([col_of(label).alias("__y")] if label else []))
     state = cut_lineage(prep.clean(labelled))
-    # Decisions come from their profile: at most one row per column reaches the driver. Sketched distinct
-    # counts will do, as columns near a limit are counted exactly.
-    plan = recommend_columns(profile_columns(state.drop("__y"), approx=True)).orderBy("position").collect()
-    prep.actions = [(c, "drop (id)") for c in prep.dropped]
-    impute = {r["column"]: r["impute"] for r in plan if r["impute"] in ("mean", "median")}
-    rejected = [r["column"] for r in plan if r["impute"] == "drop" or r["encode"] == "drop"]
+    decided = _decisions(state.drop("__y"), plan or {})
+    prep.actions = [(f.new, f"derive {f.method}") for f in derived] + [(c, "drop (id)") for c in prep.dropped]
+    rejected = [r["column"] for r in decided if r["impute"] == "drop" or r["encode"] == "drop"]
     prep.dropped += rejected
-    encode = {m: [r["column"] for r in plan if r["encode"] == m] for m in ("label", "onehot", "target")}
-    scale = {m: [r["column"] for r in plan if r["scale"] == m and r["column"] not in rejected] for m in ("standard", "robust")}
-    prep.log1p = [r["column"] for r in plan if r["log1p"]]
+    decided = [r for r in decided if r["column"] not in rejected]
+    impute = {r["column"]: r["impute"] for r in decided if r["impute"] in ("mean", "median", "zero", "mode")}
+    encode = {m: [r["column"] for r in decided if r["encode"] == m] for m in ("label", "onehot", "target", "frequency")}
+    scale = {m: [r["column"] for r in decided if r["scale"] == m] for m in ("standard", "robust", "minmax")}
+    prep.log1p = [r["column"] for r in decided if r["log1p"]]
     prep.actions += [(c, "drop") for c in rejected] + [(c, f"impute {m}") for c, m in impute.items()]
     prep.actions += [(c, f"encode {m}") for m, cs in encode.items() for c in cs]
     prep.actions += [(c, "log1p") for c in prep.log1p] + [(c, f"scale {m}") for m, cs in scale.items() for c in cs]
@@ -131,6 +169,8 @@ def fit_preparation(
     if encode["target"]:
         state = add(tf.TargetEncode.fit(state, encode["target"], "__y") if label
                     else tf.FrequencyEncode.fit(state, encode["target"]))
+    if encode["frequency"]:
+        state = add(tf.FrequencyEncode.fit(state, encode["frequency"]))
     for method, cols in scale.items():
         if cols:
             state = add(tf.Scale.fit(state, cols, method))

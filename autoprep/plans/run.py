@@ -66,12 +66,15 @@ def run(
     config: RunConfig | None = None,
     models: list[str] | None = None,
     duplicate_columns: list[str] | None = None,
+    features: list[dict] = (),
+    plan: dict[str, dict] | None = None,
 ) -> RunResult:
     """The whole way for one table. ``key`` names the row; it takes no part in the features.
 
     Rows equal in all columns, the key's included, are one row; with ``duplicate_columns`` those
     equal in these columns are, and the one with the smallest key stays. What goes, and rows
-    without a target, is counted in the result and the report. Every fitted value comes from
+    without a target, is counted in the result and the report. ``features`` adds derived columns and
+    ``plan`` overrules decisions about columns, as in ``fit_preparation``. Every fitted value comes from
     training rows only, and balancing touches the training part only.
     """
     config = config or RunConfig()
@@ -84,7 +87,7 @@ def run(
     quick = fit_quick_clean(data, target).transform(data)
     profile = profile_columns(quick.drop(key), target)
     if target is None:
-        return _without_target(spark, data, key, profile, config, removed)
+        return _without_target(spark, data, key, profile, config, removed, features, plan)
 
     row = target_profile(data, target)
     facts = row.first().asDict()
@@ -108,7 +111,7 @@ def run(
     train_raw = data.where(F.col("split") == "train").drop("split")
     test_raw = data.where(F.col("split") == "test").drop("split")
 
-    prep = fit_preparation(train_raw, target, [key], "__label", config.feature_selection)
+    prep = fit_preparation(train_raw, target, [key], "__label", config.feature_selection, features, plan)
     train = cut_lineage(prep.transform(train_raw, keep=[key, "__label"]))
     test = prep.transform(test_raw, keep=[key, "__label"])
     result = RunResult(
@@ -180,9 +183,9 @@ def _scored(predicted: DataFrame, key: str, task: str, classes: list | None) ->
     return scored(predicted, "__label", "prediction", task, [key])
 
 
-def _without_target(spark, data: DataFrame, key: str, profile: DataFrame, config: RunConfig, removed: dict) -> RunResult:
+def _without_target(spark, data: DataFrame, key: str, profile: DataFrame, config: RunConfig, removed: dict, features: list[dict], plan: dict | None) -> RunResult:
     """No target: prepare every row, cluster, and pick k by silhouette."""
-    prep = fit_preparation(data, None, [key], None, config.feature_selection)
+    prep = fit_preparation(data, None, [key], None, config.feature_selection, features, plan)
     train = cut_lineage(prep.transform(data, keep=[key]))
     clustered, runs = kmeans(train, prep.features, seed=config.seed)
     result = RunResult(spark, "clustering", profile_table(data), profile, prep,

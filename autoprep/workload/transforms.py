@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..functions.lookup import lookup
 from ..operators import transform as tf
 from ..operators.split import hash_split
+from ..plans.features import apply_features, fit_features, load_features, save_features
 from .base import DUCK_GAPPY_EVENTS, duck_hash, gappy_events, rounded, table
 
 SCALED = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -144,6 +147,24 @@ def replay_fitted(spark, d):
     return rounded(out.select("event_id", "value", "value_is_missing", "event_type"))
 
 
+def replay_features(spark, d):
+    """Derived columns fitted on the training part, stored, loaded and replayed on the test part."""
+    df = hash_split(table(spark, d, "part"), "p_partkey")
+    wanted = [
+        {"new": "to_brand", "method": "ratio", "source": ["p_retailprice"], "params": {"group_col": "p_brand"}},
+        {"new": "price_bin", "method": "bin", "source": ["p_retailprice"], "params": {"n_bins": 4}},
+        {"new": "name_length", "method": "str_len", "source": ["p_name"]},
+        {"new": "is_ring", "method": "keyword", "source": ["p_name"], "params": {"pattern": "RING"}},
+        {"new": "weight", "method": "interact", "source": ["p_size", "price_bin"]},
+        {"new": "log_price", "method": "log1p", "source": ["p_retailprice"]},
+    ]
+    made, _ = fit_features(df.where("split = 'train'"), wanted)
+    folder = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    loaded = load_features(spark, save_features(made, folder), folder)
+    out = apply_features(df.where("split = 'test'"), loaded)
+    return rounded(out.select("p_partkey", *[f.new for f in loaded]))
+
+
 def missing_totals(spark, d):
     """Share of gaps left after imputation, over several tables: none."""
     parts = []
@@ -225,6 +246,13 @@ QUERIES = {
     "drop_constant": (drop_constant, "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier"),
     "encode_classes": (encode_classes, """select o_orderkey, o_orderpriority, (dense_rank() over (order by o_orderpriority) - 1)::double as label,
       o_orderpriority as decoded from orders"""),
+    "replay_features": (replay_features, f"""with p as (select *, {duck_hash('p_partkey')} < 2000 as test from part),
+      m as (select p_brand, avg(p_retailprice) as mean from p where not test group by 1),
+      b as (select min(p_retailprice) as low, (max(p_retailprice) - min(p_retailprice)) / 4 as width from p where not test),
+      f as (select p_partkey, p_size, p_name, p_retailprice, p_brand, least(3, greatest(0, ceil((p_retailprice - low) / width)::int - 1)) as price_bin from p cross join b where test)
+      select p_partkey, round(coalesce(p_retailprice / mean, 1), 6) as to_brand, price_bin, length(p_name) as name_length,
+        (p_name ilike '%ring%')::int as is_ring, p_size * price_bin as weight, round(ln(1 + p_retailprice), 6) as log_price
+      from f left join m using (p_brand)"""),
     "replay_fitted": (replay_fitted, f"""with e as (select *, {duck_hash('event_id')} < 2000 as test from {GAPPY}),
       m as (select avg(value) as mean from e where not test),
       s as (select avg(coalesce(value, mean)) as a, stddev_pop(coalesce(value, mean)) as b from e, m where not test),

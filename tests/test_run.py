@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from autoprep import RunConfig
+from autoprep.plans import features
+from autoprep.plans.preprocess import fit_preparation
 from autoprep.plans.run import run
 from autoprep.plans.score import Artifact, score
 from autoprep.streaming.scoring import score_stream, write_scores
@@ -93,3 +95,54 @@ def test_rows_that_differ_in_their_key_stay_and_what_goes_is_counted(spark):
     assert items["duplicates removed"] == "10" and items["rows without a target removed"] == "5"
     few = run(spark, df, "id", "target", config=config, models=["LogisticRegression"], duplicate_columns=["a", "b", "target"])
     assert few.duplicates_removed == 388 and few.train.count() + few.test.count() == 12
+
+
+def test_features_and_plan_are_stored_and_replayed(spark, people, tmp_path):
+    """Derived columns and overruled decisions reach the model, the loaded artifact and the stream alike."""
+    table = people.drop("estado")
+    features.register("twice", lambda df, new, source, params: df.withColumn(new, 2 * F.col(source[0])))
+    wanted = [
+        {"new": "per_genero", "method": "ratio", "source": ["uso"], "params": {"group_col": "genero"}},
+        {"new": "uso_bin", "method": "bin", "source": ["uso"], "params": {"n_bins": 3}},
+        {"new": "largo", "method": "str_len", "source": ["codigo"]},
+        {"new": "con_9", "method": "keyword", "source": ["codigo"], "params": {"pattern": "CLI9"}},
+        {"new": "doble", "method": "twice", "source": ["uso"]},
+        {"new": "cruce", "method": "interact", "source": ["doble", "uso_bin"]},
+    ]
+    plan = {"genero": {"encode": "label"}, "uso": {"impute": "zero", "scale": "none"}, "doble": {"scale": "minmax"}}
+    config = RunConfig(cv_folds=2, grids=GRIDS, output_dir=str(tmp_path), save_model=True, feature_selection=False)
+    result = run(spark, table, "id", "gasto", config=config, models=["Ridge"], features=wanted, plan=plan)
+    actions = set(map(tuple, result.preparation.actions))
+    assert {("doble", "derive twice"), ("genero", "encode label"), ("uso", "impute zero"), ("doble", "scale minmax")} <= actions
+    assert {"per_genero", "uso_bin", "con_9", "doble", "cruce", "genero"} <= set(result.preparation.features)
+    gaps = result.preparation.transform(table.where("uso is null"), keep=["id"])
+    assert gaps.where("uso <> 0").isEmpty()
+
+    new = table.drop("gasto")
+    batch = score(spark, f"{tmp_path}/model", new)
+    direct = result.artifact.score(new)
+    assert batch.exceptAll(direct).isEmpty() and batch.count() == 420
+    new.write.parquet(f"{tmp_path}/arriving")
+    stream = spark.readStream.schema(new.schema).parquet(f"{tmp_path}/arriving")
+    query = write_scores(score_stream(spark, f"{tmp_path}/model", stream), f"{tmp_path}/scores", f"{tmp_path}/progress")
+    query.awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/scores").exceptAll(batch).isEmpty()
+    with pytest.raises(ValueError, match="lacks columns"):
+        score(spark, f"{tmp_path}/model", new.drop("codigo"))
+
+
+@pytest.mark.parametrize("wish", [
+    {"new": "x", "method": "nothing", "source": ["a"]}, {"new": "x", "method": "interact", "source": ["a"]},
+    {"new": "a", "method": "str_len", "source": ["a"]}, {"new": "x", "method": "keyword", "source": ["a"]},
+    {"new": "x", "method": "str_len", "source": ["z"]}, {"new": "x", "method": "ratio", "source": ["a"], "params": {"group_col": "z"}},
+])
+def test_wrong_wishes_are_named(spark, wish):
+    with pytest.raises(ValueError, match="feature"):
+        features.fit_features(spark.range(3).selectExpr("id as a", "id as b"), [wish])
+
+
+@pytest.mark.parametrize("plan", [{"a": {"impute": "guess"}}, {"z": {"impute": "mean"}}, {"a": {"colour": "red"}}, {"t": {"scale": "robust"}}])
+def test_wrong_plans_are_named(spark, plan):
+    df = spark.range(60).selectExpr("id", "id * 1.5 as a", "element_at(array('x', 'y', 'z'), int(id % 3 + 1)) as t")
+    with pytest.raises(ValueError, match="plan"):
+        fit_preparation(df, None, ["id"], plan=plan)
