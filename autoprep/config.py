@@ -40,6 +40,16 @@ BALANCE_REMEDY = {
     "extreme": "adasyn",
 }
 
+# Metrics that count per task; with uneven classes accuracy says little.
+TASK_METRICS = {
+    "classification": ("accuracy", "f1", "precision", "recall", "roc_auc"),
+    "classification_imbalanced": ("f1", "precision", "recall", "roc_auc"),
+    "regression": ("r2", "mse", "mae", "rmse"),
+    "clustering": ("silhouette", "davies_bouldin", "calinski_harabasz"),
+    "dimensionality_reduction": ("explained_variance_ratio",),
+    "anomaly_detection": ("silhouette",),
+}
+
 # Majority shares (percent) that make a target concentrated.
 CONCENTRATION_LEVELS = (("extreme", 80.0), ("severe", 60.0), ("moderate", 40.0))
 
@@ -61,6 +71,8 @@ SMALL_DICTIONARY_ROWS = 100_000
 class RunConfig:
     """Settings of an end-to-end run."""
 
+    # The defaults.
+
     test_size: float = 0.2
     seed: int = 42
     smote_k: int = 5

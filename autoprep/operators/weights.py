@@ -36,3 +36,11 @@ def balance_log(before: DataFrame, after: DataFrame, strategy: str) -> DataFrame
     sizes = before.agg(F.count(F.lit(1)).alias("original_size"))
     balanced = after.agg(F.count(F.lit(1))).scalar()
     return sizes.select(F.lit(strategy).alias("strategy"), "original_size", balanced.alias("balanced_size"))
+
+
+def balance_counts(balanced: DataFrame, test: DataFrame, label: str) -> DataFrame:
+    """``(split, <label>, is_synthetic, n)``: original and synthetic training rows, and test rows, per class."""
+    made = F.coalesce(F.col("is_synthetic"), F.lit(False)) if "is_synthetic" in balanced.columns else F.lit(False)
+    sides = balanced.select(F.lit("train").alias("split"), col_of(label), made.alias("is_synthetic")).unionByName(
+        test.select(F.lit("test").alias("split"), col_of(label), F.lit(False).alias("is_synthetic")))
+    return sides.groupBy("split", col_of(label), "is_synthetic").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import TASK_METRICS
+
 SKEW_MEDIAN = 1.0
 SKEW_ROBUST = 2.0
 DROP_NULL_PCT = 50
@@ -102,3 +104,8 @@ def recommend_weighting(target: DataFrame, forced: str | None = None) -> DataFra
     return recommend_task(target, forced).select(
         "name", "task", "concentration_level", F.when(heavy, "inverse_frequency").otherwise("none").alias("weighting")
     )
+
+
+def recommend_metrics(task: str, imbalanced: bool = False) -> tuple[str, ...]:
+    """Names of the metrics that count for a task, the leading one first."""
+    return TASK_METRICS["classification_imbalanced" if task == "classification" and imbalanced else task]

@@ -12,8 +12,24 @@ def _rows(spark, section: str, items: dict) -> DataFrame:
     return spark.createDataFrame([(section, k, None if v is None else str(v)) for k, v in items.items()], SCHEMA)
 
 
+def _balance_reason(decision: dict) -> str:
+    if decision["balance"] == "none":
+        return "classes are even enough" if decision["task"] == "classification" else "only classes are balanced"
+    few = decision["minority_count"]
+    size = f"{few} rows in the smallest class"
+    return f"{decision['balance_level']} imbalance, {size}" + (": too few for the usual remedy" if few < 6 else "")
+
+
+def _relevant(scores: dict, metrics: tuple) -> dict:
+    """The scores that count for the task, the leading metric first."""
+    return {name: v for m in metrics for name, v in scores.items() if name in (m, f"{m}_weighted")}
+
+
 def report(result) -> DataFrame:
-    """Data, preprocessing, models, ensemble, comparison and recommendations of a run."""
+    """Data, cleaning, preprocessing, models, ensemble, comparison and recommendations of a run.
+
+    Scores are those that count for the task: with uneven classes accuracy is left out.
+    """
     spark, parts = result.spark, []
     sizes = [
         F.struct(F.lit("data").alias("section"), F.lit(item).alias("item"), F.col(c).cast("string").alias("value"))
@@ -26,8 +42,24 @@ def report(result) -> DataFrame:
     if result.target_row:
         t = result.target_row
         parts.append(_rows(spark, "data", {"target": t["name"], "task": result.task, "target values": t["unique_count"]}))
+    else:
+        parts.append(_rows(spark, "data", {"task": result.task}))
+    cleaned = dict.fromkeys([*result.preparation.quick.log_rows, *result.preparation.cleaning.log_rows])
+    entries = [("cleaning", c, rule) for c, rule in cleaned]
+    entries += [("cleaning", c, f"outliers capped to {low} .. {high}") for c, (low, high) in result.preparation.bounds.items()]
+    parts.append(spark.createDataFrame(entries, SCHEMA))
     parts.append(result.actions.select(
         F.lit("preprocessing").alias("section"), F.col("column").alias("item"), F.col("action").alias("value")))
+    if result.decision:
+        d = result.decision
+        parts.append(_rows(spark, "preprocessing", {
+            "balance strategy": d["balance"], "reason for the strategy": _balance_reason(d), "target weighting": d["weighting"]}))
+    if result.balance_counts is not None:
+        parts.append(result.balance_counts.select(
+            F.lit("preprocessing").alias("section"),
+            F.concat_ws(" ", F.lit("rows of class"), F.col("class").cast("string"), F.lit("in"), "split",
+                        F.when(F.col("is_synthetic"), F.lit("(synthetic)"))).alias("item"),
+            F.col("n").cast("string").alias("value")))
     if result.balance_log is not None:
         b = result.balance_log
         parts.append(b.select(F.lit("preprocessing").alias("section"), F.lit("balance").alias("item"),
@@ -38,12 +70,15 @@ def report(result) -> DataFrame:
         parts.append(result.ranking.select(
             F.lit("models").alias("section"), F.concat_ws(". ", "rank", "model").alias("item"),
             F.when(F.col("cv_mean").isNull(), F.col("status")).otherwise(
-                F.concat_ws(" ", F.bround("cv_mean", 4), F.lit("±"), F.bround("cv_std", 4), "best_params")).alias("value"),
+                F.concat_ws(" ", F.bround("cv_mean", 4), F.lit("±"), F.bround("cv_std", 4), "best_params",
+                            F.concat(F.format_number("seconds", 1), F.lit(" s")))).alias("value"),
         ))
+    if result.task_scores:
+        parts.append(_rows(spark, "metrics", _relevant(result.task_scores, result.metrics)))
     if result.ensemble_scores:
-        parts.append(_rows(spark, "ensemble", {"method": result.ensemble_method, "models": result.ensemble_models,
-                                               **result.ensemble_scores}))
-        first = next(iter(result.ensemble_scores))
+        relevant = _relevant(result.ensemble_scores, result.metrics)
+        parts.append(_rows(spark, "ensemble", {"method": result.ensemble_method, "models": result.ensemble_models, **relevant}))
+        first = next(iter(relevant))
         best = result.best_test_scores or {}
         if best.get(first) is not None:
             parts.append(_rows(spark, "improvement", {
@@ -52,6 +87,7 @@ def report(result) -> DataFrame:
                 f"ensemble, test {first}": result.ensemble_scores[first],
                 f"ensemble minus best, test {first}": round(result.ensemble_scores[first] - best[first], 4),
             }))
+    parts.append(_rows(spark, "run", {"seconds": round(result.seconds, 1)}))
     if result.target_row:
         advice = {"features": "review the most important features of the best model",
                   "validation": "validate on data from a later period"}

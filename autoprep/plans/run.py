@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,6 @@ from ..config import RunConfig
 from ..functions.columns import col_of
 from ..functions.lineage import cut_lineage
 from ..models.catalog import specs
-from ..models.cluster import kmeans
 from ..models.train import cross_validate, cv_runs, feature_importance, rank, ranked, test_scores
 from ..operators.balance import balance
 from ..operators.clean import dedup, fit_quick_clean
@@ -19,12 +19,13 @@ from ..operators.metrics import binary_auc, classification_metrics, regression_m
 from ..operators.profile import profile_columns, profile_table, target_profile
 from ..operators.split import assign_folds, hash_split, stratified_split
 from ..operators.transform import decode_target, encode_target, target_classes
-from ..operators.weights import balance_log, class_weights, inverse_frequency_weights
+from ..operators.weights import balance_counts, balance_log, class_weights, inverse_frequency_weights
 from ..sources.tables import write_predictions
 from .preprocess import Preparation, fit_preparation
-from .recommend import recommend_balance, recommend_weighting
+from .recommend import recommend_balance, recommend_metrics, recommend_weighting
 from .report import report
 from .score import Artifact, assemble, scored
+from .unsupervised import TASKS, search, task_scores
 
 
 @dataclass
@@ -38,7 +39,12 @@ class RunResult:
     train: DataFrame
     test: DataFrame | None = None
     target_row: dict | None = None
+    decision: dict = field(default_factory=dict)
+    metrics: tuple = ()
+    task_scores: dict = field(default_factory=dict)
+    seconds: float = 0.0
     balance_log: DataFrame | None = None
+    balance_counts: DataFrame | None = None
     balance_error: str | None = None
     trained: list = field(default_factory=list)
     rows_in: int = 0
@@ -76,24 +82,36 @@ def run(
     without a target, is counted in the result and the report. ``features`` adds derived columns and
     ``plan`` overrules decisions about columns, as in ``fit_preparation``. Every fitted value comes from
     training rows only, and balancing touches the training part only.
+
+    Without a target, or with ``force_task`` one of "clustering", "dimensionality_reduction" and
+    "anomaly_detection", every row is prepared and the task's models are searched (``plans.unsupervised``);
+    a target that was named then takes no part, and rows without one stay.
     """
+    started = time.time()
     config = config or RunConfig()
+    if force_task not in (None, "classification", "regression", *TASKS):
+        raise ValueError(f"unknown task {force_task!r}")
+    if target is None and force_task in ("classification", "regression"):
+        raise ValueError(f"{force_task} needs a target")
     if target is not None and target not in df.columns:
         raise KeyError(target)
     unique = cut_lineage(dedup(df, duplicate_columns, key))
     rows_in, distinct = df.count(), unique.count()
+    if force_task in TASKS and target is not None:
+        unique, target = unique.drop(target), None
     data = unique.where(col_of(target).isNotNull()) if target else unique
     removed = {"rows_in": rows_in, "duplicates_removed": rows_in - distinct, "null_targets_removed": distinct - data.count()}
     quick = fit_quick_clean(data, target).transform(data)
     profile = profile_columns(quick.drop(key), target)
     if target is None:
-        return _without_target(spark, data, key, profile, config, removed, features, plan)
+        return _without_target(spark, data, key, profile, config, removed, features, plan, force_task or "clustering", models, started)
 
     row = target_profile(data, target)
     facts = row.first().asDict()
     decision = recommend_balance(row, force_task).first()
     task, strategy = decision["task"], decision["balance"]
     weighting = recommend_weighting(row, force_task).first()["weighting"]
+    metrics = recommend_metrics(task, task == "classification" and decision["imbalanced"])
     classes = None
     if task == "classification":
         classes = target_classes(data, target)
@@ -117,6 +135,7 @@ def run(
     result = RunResult(
         spark, task, profile_table(df), profile, prep,
         spark.createDataFrame(prep.actions, "column string, action string"), train, test, facts, **removed,
+        decision={**decision.asDict(), "weighting": weighting}, metrics=metrics,
     )
 
     balanced = train
@@ -124,6 +143,7 @@ def run(
         try:
             balanced = cut_lineage(balance(train, key, prep.features, "__label", strategy, config.smote_k, config.seed))
             result.balance_log = balance_log(train, balanced, strategy)
+            result.balance_counts = balance_counts(balanced, test, "__label").withColumnRenamed("__label", "class")
         except ValueError as e:
             result.balance_error = f"{strategy}: {e}"
     folds = assign_folds(balanced, key, "__label" if task == "classification" else None, config.cv_folds, config.seed)
@@ -142,6 +162,7 @@ def run(
     result.runs, result.ranking = cv_runs(spark, result.trained), rank(spark, result.trained)
     usable = [t for t in result.trained if t.model is not None]
     if not usable:
+        result.seconds = time.time() - started
         result.report = report(result)
         _write(result, key, config)
         return result
@@ -159,6 +180,7 @@ def run(
     result.ensemble_models = [t.name for t in members]
     result.ensemble_method = config.ensemble_method if len(members) > 1 else "single"
     if tested.isEmpty():
+        result.seconds = time.time() - started
         result.report = report(result)
         _write(result, key, config)
         return result
@@ -171,6 +193,7 @@ def run(
         if len(classes) == 2:
             result.ensemble_scores.update(binary_auc(predicted, "__label", "prediction").first().asDict())
     result.scored = _scored(predicted, key, task, classes)
+    result.seconds = time.time() - started
     result.report = report(result)
     _write(result, key, config)
     return result
@@ -183,18 +206,23 @@ def _scored(predicted: DataFrame, key: str, task: str, classes: list | None) ->
     return scored(predicted, "__label", "prediction", task, [key])
 
 
-def _without_target(spark, data: DataFrame, key: str, profile: DataFrame, config: RunConfig, removed: dict, features: list[dict], plan: dict | None) -> RunResult:
-    """No target: prepare every row, cluster, and pick k by silhouette."""
+def _without_target(
+    spark, data: DataFrame, key: str, profile: DataFrame, config: RunConfig, removed: dict, features: list[dict],
+    plan: dict | None, task: str, models: list[str] | None, started: float,
+) -> RunResult:
+    """No target: prepare every row, search the task's models, and keep the rows of the best."""
     prep = fit_preparation(data, None, [key], None, config.feature_selection, features, plan)
     train = cut_lineage(prep.transform(data, keep=[key]))
-    clustered, runs = kmeans(train, prep.features, seed=config.seed)
-    result = RunResult(spark, "clustering", profile_table(data), profile, prep,
-                       spark.createDataFrame(prep.actions, "column string, action string"), train, **removed)
-    result.scored = clustered.select(key, "cluster")
-    result.runs = spark.createDataFrame(
-        [("KMeans", f'{{"n_clusters": {k}}}', s, 0.0, "ok") for k, s in runs],
-        "model string, params string, cv_mean double, cv_std double, status string")
-    result.best_score = max(s for _, s in runs)
+    result = RunResult(spark, task, profile_table(data), profile, prep,
+                       spark.createDataFrame(prep.actions, "column string, action string"), train, **removed,
+                       metrics=recommend_metrics(task))
+    result.trained, result.scored = search(train, key, prep.features, task, models, config.grids, config.seed)
+    result.runs, result.ranking = cv_runs(spark, result.trained), rank(spark, result.trained)
+    if result.scored is not None:
+        result.scored = cut_lineage(result.scored)
+        result.best_score = result.trained[0].cv_mean
+        result.task_scores = task_scores(train, key, prep.features, task, result.trained, result.scored)
+    result.seconds = time.time() - started
     result.report = report(result)
     _write(result, key, config)
     return result

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col_of
 from ..models.ensemble import ensemble_mean, ensemble_vote
+from ..models.train import KnnModel
 from ..operators.transform import decode_target
 from .preprocess import Preparation
 
@@ -60,19 +61,27 @@ class Artifact:
         return out.withColumnRenamed("prediction", "prediccion")
 
     def save(self, spark: SparkSession, folder: str) -> None:
+        """A nearest-neighbour model is its training rows: they are stored as a table, and searched anew when scoring."""
         self.preparation.save(spark, folder)
+        neighbors = {}
         for i, m in enumerate(self.models):
-            if not hasattr(m, "write"):
-                raise ValueError(f"{type(m).__name__} keeps its training table and cannot be stored as a model")
-            PipelineModel([m]).write().overwrite().save(f"{folder}/models/{i}")
+            if isinstance(m, KnnModel):
+                m.train.select(col_of(m.key), "features", "label").write.mode("overwrite").parquet(f"{folder}/models/{i}")
+                neighbors[i] = {"key": m.key, "n_neighbors": m.n_neighbors, "weights": m.weights}
+            else:
+                PipelineModel([m]).write().overwrite().save(f"{folder}/models/{i}")
         doc = {"weights": self.weights, "task": self.task, "key": self.key, "classes": self.classes,
-               "models": len(self.models), "meta": self.meta, "version": 1}
+               "models": len(self.models), "neighbors": neighbors, "meta": self.meta, "version": 1}
         spark.createDataFrame([(json.dumps(doc, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/artifact")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Artifact:
         doc = json.loads(spark.read.text(f"{folder}/artifact").first()["value"])
-        models = [PipelineModel.load(f"{folder}/models/{i}") for i in range(doc["models"])]
+        neighbors = doc.get("neighbors", {})
+        models = [
+            KnnModel(spark.read.parquet(f"{folder}/models/{i}"), **neighbors[str(i)]) if str(i) in neighbors
+            else PipelineModel.load(f"{folder}/models/{i}") for i in range(doc["models"])
+        ]
         return cls(Preparation.load(spark, folder), models, doc["weights"], doc["task"], doc["key"], doc["classes"], doc["meta"])
 
 

@@ -6,6 +6,7 @@ from autoprep.plans import features
 from autoprep.plans.preprocess import fit_preparation
 from autoprep.plans.run import run
 from autoprep.plans.score import Artifact, score
+from autoprep.plans.unsupervised import search
 from autoprep.streaming.scoring import score_stream, write_scores
 
 GRIDS = {"LogisticRegression": {"C": [1.0]}, "RandomForestClassifier": {"n_estimators": [5], "max_depth": [4]},
@@ -42,8 +43,21 @@ def test_classification_from_dirty_table_to_stream(spark, people, tmp_path):
     assert set(result.ensemble_scores) == {"accuracy", "f1_weighted", "precision_weighted", "recall_weighted", "roc_auc"}
     row = result.scored.first()
     assert row["correcto"] == (row["actual"] == row["prediccion"])
-    sections = {r["section"] for r in result.report.collect()}
-    assert {"data", "preprocessing", "models", "ensemble", "improvement", "recommendations"} <= sections
+    lines = result.report.collect()
+    assert {"data", "cleaning", "preprocessing", "models", "ensemble", "improvement", "run", "recommendations"} <= {r["section"] for r in lines}
+    # The classes are uneven, so the report leads with f1 and has no accuracy.
+    assert result.decision["imbalanced"] and result.metrics[0] == "f1"
+    shown = {r["item"] for r in lines if r["section"] == "ensemble"}
+    assert "f1_weighted" in shown and "roc_auc" in shown and not any("accuracy" in r["item"] for r in lines)
+    cleaning = {(r["item"], r["value"]) for r in lines if r["section"] == "cleaning"}
+    assert cleaning >= {tuple(r) for r in result.preparation.quick.log_rows} and any(v.startswith("outliers capped") or c == "ingreso" for c, v in cleaning)
+    counts = {(r["split"], r["class"], r["is_synthetic"]): r["n"] for r in result.balance_counts.collect()}
+    before = {r["__label"]: r["count"] for r in result.train.groupBy("__label").count().collect()}
+    after = result.balance_log.first()["balanced_size"]
+    assert sum(n for (s, _, _), n in counts.items() if s == "train") == after
+    assert all(counts.get(("train", c, False), 0) <= n for c, n in before.items())
+    assert sum(n for (s, _, _), n in counts.items() if s == "test") == result.test.count()
+    assert all(r["value"].endswith(" s") for r in lines if r["section"] == "models")
 
     new = table.drop("estado")
     batch = score(spark, f"{tmp_path}/model", new)
@@ -80,8 +94,55 @@ def test_rare_class_falls_back_to_weights(spark):
 def test_without_target(spark, people):
     result = run(spark, people.drop("estado", "gasto"), "id")
     assert result.task == "clustering" and result.scored.count() == 400 and result.test is None
+    assert {t.name for t in result.trained} == {"KMeans", "BisectingKMeans"} and result.runs.count() == 12
+    assert {r["item"] for r in result.report.where("section = 'metrics'").collect()} == {"silhouette", "davies_bouldin", "calinski_harabasz"}
+    assert abs(result.task_scores["silhouette"] - result.best_score) < 1e-6
     with pytest.raises(KeyError):
         run(spark, people, "id", "nothing")
+    with pytest.raises(ValueError, match="unknown task"):
+        run(spark, people, "id", force_task="guess")
+    with pytest.raises(ValueError, match="needs a target"):
+        run(spark, people, "id", force_task="regression")
+
+
+def test_forced_tasks_without_a_target(spark, tmp_path):
+    """Two tight groups and ten rows far away; the named target takes no part."""
+    far = F.col("id") >= 200
+    df = spark.range(210).select(
+        "id", F.when(far, 40 + F.col("id") % 7).otherwise((F.col("id") % 2) * 10 + (F.col("id") % 5) / 10).alias("a"),
+        F.when(far, -30 - F.col("id") % 3).otherwise((F.col("id") % 2) * 10 + (F.col("id") % 11) / 20).alias("b"),
+        F.when(F.col("id") % 3 == 0, None).otherwise("y").alias("target"))
+    config = RunConfig(output_dir=str(tmp_path), grids={"DBSCAN": {"eps": [0.3], "min_samples": [3]}, "KMeans": {"n_clusters": [3, 4]}, "IsolationForest": {"n_estimators": [20]},
+                                                          "LocalOutlierFactor": {"n_neighbors": [10], "contamination": [0.05]}})
+    groups = run(spark, df, "id", "target", "clustering", config, ["DBSCAN", "KMeans"])
+    assert groups.task == "clustering" and groups.scored.count() == 210 and groups.null_targets_removed == 0
+    assert "target" not in groups.preparation.features and {t.status for t in groups.trained} == {"ok"}
+    names = {r["model"]: r["n_combos"] for r in groups.ranking.collect()}
+    assert names == {"DBSCAN": 1, "KMeans": 2}
+
+    odd = run(spark, df, "id", "target", "anomaly_detection", config, ["IsolationForest", "LocalOutlierFactor"])
+    assert odd.metrics == ("silhouette",) and odd.runs.count() == 4 and odd.scored.columns == ["id", "anomaly_score", "is_outlier"]
+    best = odd.trained[0]
+    assert best.cv_mean == max(r[2] for t in odd.trained for r in t.runs)
+
+    axes = run(spark, df.drop("target"), "id", None, "dimensionality_reduction", config)
+    assert axes.scored.columns[:2] == ["id", "component_1"] and axes.task_scores["explained_variance_ratio"] >= 0.95 - 1e-9
+    assert axes.runs.count() == 3 and spark.read.option("header", True).csv(f"{tmp_path}/predictions").count() == 210
+    wrong, rows = search(df.select("id", "a", "b"), "id", ["a", "b"], "clustering", ["DBSCAN"], {"DBSCAN": {"eps": [-1.0]}})
+    assert wrong[0].status.startswith("failed") and rows is None
+    with pytest.raises(ValueError, match="no models"):
+        search(df, "id", ["a", "b"], "clustering", ["PCA"])
+
+
+def test_nearest_neighbours_are_stored(spark, people, tmp_path):
+    table = people.drop("gasto", "codigo")
+    config = RunConfig(cv_folds=2, grids={**GRIDS, "KNeighborsClassifier": {"n_neighbors": [3], "weights": ["distance"]}},
+                       output_dir=str(tmp_path), save_model=True)
+    result = run(spark, table, "id", "estado", config=config, models=["KNeighborsClassifier", "LogisticRegression"])
+    assert {t.status for t in result.trained} == {"ok"}
+    new = table.where("id % 5 = 1").drop("estado").withColumn("id", F.col("id") + 5000)
+    loaded, direct = score(spark, f"{tmp_path}/model", new), result.artifact.score(new)
+    assert loaded.count() == new.count() and loaded.exceptAll(direct).isEmpty()
 
 
 def test_rows_that_differ_in_their_key_stay_and_what_goes_is_counted(spark):
