@@ -16,14 +16,15 @@ from ..models.dbscan import dbscan
 from ..models.iforest import isolation_forest
 from ..models.neighbors import knn_classify, lof
 from ..operators import balance as b
+from ..operators import weights as w
 from ..operators.knn import knn, recall_at
 from ..operators.metrics import clustering_metrics
-from ..operators.split import assign_folds
+from ..operators.split import assign_folds, hash_split
 from ..operators.vectors import squared_distance
 from ..plans.preprocess import fit_preparation
 from ..plans.run import run
 from ..plans.score import score
-from .base import labelled_documents, rounded, table
+from .base import duck_hash, labelled_documents, rounded, table
 
 NUMBERS = ["n_chars", "n_blanks", "n_digits"]
 
@@ -154,6 +155,14 @@ def _balanced(sampler):
     return query
 
 
+def balance_counts(spark, d):
+    """Training rows by class, original and synthetic, and test rows, after oversampling the training part."""
+    df, features = _scaled_documents(spark, d)
+    df = cut_lineage(hash_split(df, "doc_id"))
+    grown = b.smote(df.where("split = 'train'").drop("split"), "doc_id", features, "toxic")
+    return w.balance_counts(grown, df.where("split = 'test'"), "toxic")
+
+
 def kmeans_clusters(spark, d):
     return kmeans(table(spark, d, "embeddings"), "embedding")[0].select("vec_id", "cluster")
 
@@ -279,6 +288,11 @@ QUERIES = {
     "model_importance": (model_importance, None),
     "smote": (_balanced(b.smote), """select toxic, is_synthetic, n from (select toxic, false as is_synthetic, count(*) as n from labels group by 1
       union all select toxic, true, (select max(n) from (select count(*) as n from labels group by toxic)) - count(*) from labels group by 1) where n > 0"""),
+    "balance_counts": (balance_counts, f"""with a as (select toxic, {duck_hash('doc_id')} >= 2000 as train from labels),
+      t as (select toxic, count(*) as n from a where train group by 1)
+      select 'train' as split, toxic, false as is_synthetic, n from t
+      union all select 'train', toxic, true, (select max(n) from t) - n from t where n < (select max(n) from t)
+      union all select 'test', toxic, false, count(*) from a where not train group by toxic"""),
     "adasyn": (_balanced(b.adasyn), None),
     "smote_enn": (_balanced(b.smote_enn), None),
     "smote_tomek": (_balanced(b.smote_tomek), None),
