@@ -93,6 +93,29 @@ def test_approximate_neighbours_of_crowded_rows(spark):
     assert knn(far, df, "id", "x", 4, exclude_self=False, exact=False).count() == 4
 
 
+def test_vectors_are_attached_after_the_ranking(spark):
+    """No candidate carries vectors: the ranking is written without them, and the plan left only attaches them."""
+    x = crowded(600, 16)
+    near = knn(frame(spark, x), frame(spark, x), "id", "x", 4, vectors=True, exact=False)
+    assert "Window" not in near._jdf.queryExecution().optimizedPlan().toString()
+    rows = near.collect()
+    assert len(rows) == 2400
+    assert all(r["x"] == x[r["key"]].tolist() and r["neighbor_x"] == x[r["neighbor"]].tolist() for r in rows)
+
+
+def test_neighbouring_cells_share_a_block():
+    """A query travels once to a block, however many of its cells it asks; no block is larger than allowed."""
+    rng = np.random.default_rng(4)
+    pivots = rng.normal(size=(100, 2))
+    stats = [{"cell": c, "n": 1000 if c == 7 else 50} for c in range(100)]
+    blocks = knn_module._blocks(pivots, stats, 300)
+    assert set(blocks) == set(range(100)) and blocks[7][1] >= 4
+    held = {}
+    for c, (first, parts) in blocks.items():
+        held[first] = held.get(first, 0) + stats[c]["n"] / parts
+    assert max(held.values()) <= 300 and sum(p for _, p in set(blocks.values())) < 40
+
+
 def test_balancing_and_outliers_by_approximate_neighbours(spark):
     x = crowded(400, 3)
     y = (np.arange(400) >= 300).astype(int)
