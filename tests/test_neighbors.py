@@ -269,3 +269,19 @@ def test_dbscan_in_many_dimensions_edge_cases(spark):
     assert {r["key"]: r["cluster"] for r in dbscan(df, "id", "x", 1.0, 2).collect()} == {1: 0, 2: 0, 3: -1, 4: -1, 5: -1}
     with pytest.raises(ValueError):
         dbscan(df, "id", "x", 0.0, 2)
+
+
+def test_dbscan_blocks_meet_once_for_all_their_cells():
+    """Forty cells that all may touch share a few blocks, and rows travel by blocks, not by cells."""
+    from autoprep.models import dbscan_blocks
+
+    pivots = np.random.default_rng(6).normal(size=(40, 5))
+    stats = [{"cell": c, "n": 900 if c == 3 else 50, "near": 0.0, "far": 9.0} for c in range(40)]
+    blocks = knn_module._blocks(pivots, stats, 400)
+    wanted = dbscan_blocks._wanted(pivots, stats, 1.0)
+    met = dbscan_blocks._meetings(wanted, blocks)
+    ids = {first + i for first, parts in blocks.values() for i in range(parts)}
+    assert wanted.all() and len(ids) < 15
+    assert sorted(met) == [(a, b) for a in sorted(ids) for b in sorted(ids) if a <= b]
+    apart = dbscan_blocks._wanted(pivots, [s | {"far": 0.01} for s in stats], 0.01)
+    assert len(dbscan_blocks._meetings(apart, blocks)) < len(met)
