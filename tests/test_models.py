@@ -44,6 +44,17 @@ def test_neighbour_vote_in_the_search(signal):
     assert found[0].cv_mean > 0.8
 
 
+def test_one_search_a_fold_answers_all_points(signal, monkeypatch):
+    searches, search = [], train.labelled_neighbors
+    monkeypatch.setattr(train, "labelled_neighbors", lambda *a: searches.append(a) or search(*a))
+    found = train.cross_validate(signal, catalog.specs("classification", ["KNeighborsClassifier"]), "classification", "id", 3)[0]
+    assert len(searches) == 3 and len(found.runs) == 6 and found.status == "ok"
+    one, two = signal.where("fold <> 1"), signal.where("fold = 1")
+    points = catalog.specs("classification", ["KNeighborsClassifier"])[0].points()
+    alone = [train._evaluator("classification").evaluate(train.KnnModel(one, "id", **p).transform(two)) for p in points]
+    assert train._vote_scores(points, one, two, "id", train._evaluator("classification")) == pytest.approx(alone)
+
+
 def test_a_failing_point_is_reported(signal):
     grid = {"RandomForestClassifier": {"n_estimators": [5], "max_depth": [99]}, "LogisticRegression": {"C": [1.0]}}
     found = train.ranked(train.cross_validate(signal, catalog.specs("classification", list(grid), grid), "classification", "id", 3))
