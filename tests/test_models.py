@@ -55,6 +55,20 @@ def test_one_search_a_fold_answers_all_points(signal, monkeypatch):
     assert train._vote_scores(points, one, two, "id", train._evaluator("classification")) == pytest.approx(alone)
 
 
+def test_fits_read_rows_dealt_over_tasks(signal, monkeypatch):
+    """The signal comes as one partition; a fit sees even ones that do not depend on where the rows lay."""
+    monkeypatch.setattr(train, "TASK_ROWS", 50)
+    seen = []
+    monkeypatch.setattr(train, "_facts", lambda data, *a, facts=train._facts: seen.append(data) or facts(data, *a))
+    grid = {"RandomForestClassifier": {"n_estimators": [3], "max_depth": [3]}}
+    scores = []
+    for df in (signal, signal.repartition(7)):
+        scores.append(train.cross_validate(df, catalog.specs("classification", list(grid), grid), "classification", "id", 3)[0].cv_mean)
+        sizes = [r["count"] for r in seen[-1].groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 6 and max(sizes) < 100
+    assert scores[0] == scores[1]
+
+
 def test_a_failing_point_is_reported(signal):
     grid = {"RandomForestClassifier": {"n_estimators": [5], "max_depth": [99]}, "LogisticRegression": {"C": [1.0]}}
     found = train.ranked(train.cross_validate(signal, catalog.specs("classification", list(grid), grid), "classification", "id", 3))
