@@ -47,6 +47,22 @@ def test_knn_equals_brute_force(spark, monkeypatch, block):
         assert sum(map(len, wanted.values())) < cells * len(wanted)
 
 
+def test_blocks_stay_few_where_bounds_prune_nothing(spark, monkeypatch):
+    """Every query asks every cell: traffic is rows times blocks, so small blocks would make it grow with the square."""
+    monkeypatch.setattr(knn_module, "MIN_BLOCK_ROWS", 32)
+    monkeypatch.setattr(knn_module, "BLOCK_ROWS", 32)
+    seen, blocks = [], knn_module._blocks
+    monkeypatch.setattr(knn_module, "_blocks", lambda *a: seen.append(blocks(*a)) or seen[-1])
+    x = np.random.default_rng(5).normal(size=(900, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id bigint, x array<float>")
+    got = knn(df, df, "id", "x", 4, vectors=True).orderBy("key", "rank").collect()
+    near, dist = brute(x.astype(float), 4)
+    assert [r["neighbor"] for r in got] == near.ravel().tolist()
+    assert [r["distance"] for r in got] == pytest.approx(dist.ravel().tolist(), abs=1e-12)
+    assert all(r["neighbor_x"] == x[r["neighbor"]].tolist() and r["x"] == x[r["key"]].tolist() for r in got)
+    assert sum(dict(seen[0].values()).values()) <= 12
+
+
 def test_knn_with_fewer_rows_than_neighbours(spark):
     x = np.array([[0.0], [1.0], [5.0]])
     got = knn(frame(spark, x), frame(spark, x), "id", "x", 10).collect()
