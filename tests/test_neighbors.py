@@ -63,6 +63,27 @@ def test_blocks_stay_few_where_bounds_prune_nothing(spark, monkeypatch):
     assert sum(dict(seen[0].values()).values()) <= 12
 
 
+def test_a_task_holds_one_meeting(spark, monkeypatch):
+    """However well the vectors compress, a task gets no more rows than a meeting may have."""
+    monkeypatch.setattr(knn_module, "MIN_BLOCK_ROWS", 64)
+
+    def spied(cells, d, need):
+        def note(asked, base):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            columns = [[TaskContext.get().partitionId()], [-1], [float(asked.num_rows)], [0], [0]]
+            return pa.table([pa.array(c) for c in columns], names=["qid", "neighbor", "distance", "tag", "neighbor_tag"]).cast(
+                pa.schema([("qid", pa.int64()), ("neighbor", pa.int64()), ("distance", pa.float64()), ("tag", pa.int32()), ("neighbor_tag", pa.int32())]))
+
+        return note
+
+    monkeypatch.setattr(knn_module, "_best_of", spied)
+    x = np.random.default_rng(6).normal(size=(900, 3))
+    got = knn(frame(spark, x), frame(spark, x), "id", "x", 200).collect()
+    assert len(got) > 8 and len({r["key"] for r in got}) == len(got)
+
+
 def test_knn_with_fewer_rows_than_neighbours(spark):
     x = np.array([[0.0], [1.0], [5.0]])
     got = knn(frame(spark, x), frame(spark, x), "id", "x", 10).collect()
