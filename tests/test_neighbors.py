@@ -84,6 +84,24 @@ def test_a_task_holds_one_meeting(spark, monkeypatch):
     assert len(got) > 8 and len({r["key"] for r in got}) == len(got)
 
 
+def test_equal_queries_are_searched_once(monkeypatch):
+    import pyarrow as pa
+
+    seen, search = [], knn_module._search
+    monkeypatch.setattr(knn_module, "_search", lambda cells, q, *a: seen.append(len(q)) or search(cells, q, *a))
+    cells = knn_module._Bounded(np.zeros((1, 2)), [{"cell": 0, "n": 3, "near": 0.0, "far": 9.0}], {}, {})
+    base = pa.table({"x": [[0.0, 0.0], [1.0, 0.0], [0.0, 3.0]], "cell": pa.array([0, 0, 0], pa.int32()), "ids": [[10, 11], [12], [13]], "tags": [[0, 0], [1], [0]]})
+    points = [[0.0, 1.0], [1.0, 0.0], [0.0, 1.0], [0.0, 1.0], [1.0, 0.0]]
+    asked = pa.table({"qid": [5, 4, 3, 2, 1], "x": points, "cell": pa.array([0] * 5, pa.int32()), "dist": [1.0] * 5, "reach": [float("inf")] * 5, "tag": [7] * 5})
+    got = knn_module._best_of(cells, 2, 3)(asked, base)
+    found = {q: [] for q in (1, 2, 3, 4, 5)}
+    for q, n, d in zip(*(got[c].to_pylist() for c in ("qid", "neighbor", "distance"))):
+        found[q].append((n, round(d, 6)))
+    assert found[5] == found[3] == found[2] == [(10, 1.0), (11, 1.0), (12, 1.414214)]
+    assert found[4] == found[1] == [(12, 0.0), (10, 1.0), (11, 1.0)]
+    assert seen == [2]
+
+
 def test_knn_with_fewer_rows_than_neighbours(spark):
     x = np.array([[0.0], [1.0], [5.0]])
     got = knn(frame(spark, x), frame(spark, x), "id", "x", 10).collect()
