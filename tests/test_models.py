@@ -7,6 +7,7 @@ from autoprep.models import catalog, gram, train
 from autoprep.models.cluster import bisecting_kmeans, kmeans, pca
 from autoprep.operators.metrics import classification_metrics, clustering_metrics, regression_metrics
 from autoprep.operators.split import assign_folds
+from autoprep.workload import models as workload
 
 
 def ready(spark, x, y, weight=None, folds=3, stratify=True):
@@ -207,3 +208,27 @@ def test_metric_tables(spark):
     row = regression_metrics(exact, "y", "p").first()
     assert row["mse"] == pytest.approx(0.4167) and row["r2"] == pytest.approx(0.7321) and row["mae"] == 0.5
     assert regression_metrics(exact.withColumn("y", F.lit(1.0)), "y", "p").first()["r2"] is None
+
+
+def test_first_rounds_score_like_fits_of_their_own(signal, monkeypatch):
+    """One boost a fold answers all numbers of rounds, exactly as separate fits do; a number that cannot be fitted fails alone."""
+    grid = {"GradientBoostingRegressor": {"n_estimators": [3, 0, 6], "learning_rate": [0.1, 0.5], "max_depth": [2]}}
+    models, fits, fit = catalog.specs("regression", list(grid), grid), [], train._fit
+    monkeypatch.setattr(train, "_fit", lambda spec, point, *a: fits.append(point) or fit(spec, point, *a))
+    shared = train.cross_validate(signal, models, "regression", "id", 3, "weight")[0]
+    assert [p["n_estimators"] for p in fits].count(6) >= 6 and 3 not in [p["n_estimators"] for p in fits[:-1]]
+    monkeypatch.setattr(train, "_groups", lambda spec, points: [[i] for i in range(len(points))])
+    alone = train.cross_validate(signal, models, "regression", "id", 3, "weight")[0]
+    assert shared.best_params == alone.best_params and len(shared.runs) == 6
+    assert [r[:4] for r in shared.runs] == [r[:4] for r in alone.runs]
+    assert [r[4][:6] for r in shared.runs] == [r[4][:6] for r in alone.runs] == ["ok", "ok", "failed", "failed", "ok", "ok"]
+
+
+def test_model_ranking_searches_whole_grids(spark, data, monkeypatch):
+    seen = []
+    monkeypatch.setattr(train, "cross_validate", lambda df, models, task, key, folds: seen.append((df.count(), models, folds)) or [])
+    workload.model_ranking(spark, data)
+    rows, models, folds = seen[0]
+    assert rows == spark.read.parquet(f"{data}/part.parquet").count() and folds == 5
+    assert {m.name: m.grid for m in models} == {n: catalog.GRIDS[n] for n in list(catalog.REGRESSORS)[:4]}
+    assert [len(m.points()) for m in models] == [1, 3, 9, 8]
