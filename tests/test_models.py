@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from autoprep.models import catalog, gram, train
+from autoprep.models import boost, catalog, gram, train
 from autoprep.models.cluster import bisecting_kmeans, kmeans, pca
 from autoprep.operators.metrics import classification_metrics, clustering_metrics, regression_metrics
 from autoprep.operators.split import assign_folds
@@ -214,6 +214,7 @@ def test_first_rounds_score_like_fits_of_their_own(signal, monkeypatch):
     """One boost a fold answers all numbers of rounds, exactly as separate fits do; a number that cannot be fitted fails alone."""
     grid = {"GradientBoostingRegressor": {"n_estimators": [3, 0, 6], "learning_rate": [0.1, 0.5], "max_depth": [2]}}
     models, fits, fit = catalog.specs("regression", list(grid), grid), [], train._fit
+    monkeypatch.setattr(boost, "VALUES", 10)
     monkeypatch.setattr(train, "_fit", lambda spec, point, *a: fits.append(point) or fit(spec, point, *a))
     shared = train.cross_validate(signal, models, "regression", "id", 3, "weight")[0]
     assert [p["n_estimators"] for p in fits].count(6) >= 6 and 3 not in [p["n_estimators"] for p in fits[:-1]]
@@ -232,3 +233,32 @@ def test_model_ranking_searches_whole_grids(spark, data, monkeypatch):
     assert rows == spark.read.parquet(f"{data}/part.parquet").count() and folds == 5
     assert {m.name: m.grid for m in models} == {n: catalog.GRIDS[n] for n in list(catalog.REGRESSORS)[:4]}
     assert [len(m.points()) for m in models] == [1, 3, 9, 8]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_boosts_of_sums_score_like_refits(spark, weighted, monkeypatch):
+    """Few values, many values, zeros and a constant; a point that cannot be fitted fails alone."""
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.integers(-3, 4, 1500), rng.normal(size=1500) * 100, rng.integers(0, 60, 1500), np.full(1500, 2.0)]).astype(float)
+    y = np.sin(x[:, 0]) + x[:, 1] / 80 + (x[:, 2] > 30) + rng.normal(size=1500) * 0.3 + 20
+    df = ready(spark, x, y, rng.uniform(0.5, 3, 1500), stratify=False)
+    grid = {"GradientBoostingRegressor": {"n_estimators": [1, 8, 0], "learning_rate": [0.1, 0.4], "max_depth": [0, 1, 3]}}
+    models, weight = catalog.specs("regression", list(grid), grid), "weight" if weighted else None
+    solved = train.cross_validate(df, models, "regression", "id", 3, weight)[0]
+    monkeypatch.setattr(boost, "solvable", lambda *a: False)
+    refitted = train.cross_validate(df, models, "regression", "id", 3, weight)[0]
+    assert solved.best_params == refitted.best_params and len(solved.runs) == 18 and solved.cv_mean > 0.8
+    for a, b in zip(solved.runs, refitted.runs):
+        assert a[:2] == b[:2] and a[4][:6] == b[4][:6] == ("failed" if '"n_estimators": 0' in a[1] else "ok")
+        assert a[2:4] == (None, None) == b[2:4] or a[2:4] == pytest.approx(b[2:4], abs=1e-9)
+
+
+def test_boosted_points_cost_no_jobs(spark, signal):
+    spent = []
+    for rounds in ([2], [2, 4, 40]):
+        before = jobs(spark)
+        got = boost.fold_scores(signal, [{"n_estimators": n, "max_depth": d} for n in rounds for d in (2, 3)], 3)
+        spent.append(jobs(spark) - before)
+        assert len(got) == 2 * len(rounds) and all(len(s) == 3 for s in got.values())
+    assert max(spent) < 20 and abs(spent[0] - spent[1]) < 3
+    assert boost.fold_scores(signal, [{"n_estimators": 2}], 4) == {} == boost.fold_scores(signal.limit(0), [{}], 3)
